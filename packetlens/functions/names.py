@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlens import constants as K
@@ -85,7 +82,8 @@ def listed_suffix(name: Column | str, listed: list[str]) -> Column:
 
 
 def _ends_with_any(name: Column, suffixes: list[str]) -> Column:
-    return reduce(or_, [name.endswith(s) for s in suffixes])
+    # One pattern, so that a long name expression is evaluated once and not per suffix.
+    return name.rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
 
 
 def is_local_name(name: Column | str, suffixes: list[str]) -> Column:
@@ -123,24 +121,27 @@ def is_similar(a: Column, b: Column, max_distance: int = K.MAX_EDIT_DISTANCE) ->
     return (F.abs(F.length(a) - F.length(b)) <= max_distance) & (F.levenshtein(a, b, max_distance) >= 0)
 
 
-def imitated_brand(name: Column | str, brands: list[str] | None = None) -> Column:
-    """The brand a domain imitates, else NULL. An exact brand name imitates nothing.
+def with_imitated_brand(df: DataFrame, name: str, output: str = "spoofed_brand", brands: list[str] | None = None) -> DataFrame:
+    """Adds the brand a domain imitates, else NULL. An exact brand name imitates nothing.
 
-    The brand list is a short constant, so this is one CASE per brand rather than a join;
-    of several candidates the alphabetically first wins.
+    The brand list is a short constant, so this is one CASE arm per brand rather than a join;
+    of several candidates the alphabetically first wins. The normalised forms are columns of
+    their own, so every arm reads them instead of computing them again. Apply to distinct names.
     """
     brands = sorted(brands or K.BRANDS)
-    clean = clean_domain(name)
-    labels = F.split(clean, r"\.")
-    main = F.try_element_at(labels, F.lit(-2))
-    main_normal, full_normal = normalize_lookalike(main), normalize_lookalike(clean)
+    named = df.withColumn("_clean", clean_domain(name))
+    named = named.withColumn("_main", F.try_element_at(F.split("_clean", r"\."), F.lit(-2)))
+    named = named.withColumns({"_main_norm": normalize_lookalike("_main"), "_full_norm": normalize_lookalike("_clean")})
+    main, main_norm, full_norm, clean = (F.col(c) for c in ("_main", "_main_norm", "_full_norm", "_clean"))
 
     def imitates(brand):
         b = F.lit(brand)
-        return (main_normal == b) | is_similar(main, b) | (full_normal.contains(b) & ~clean.contains(b))
+        return (main_norm == b) | is_similar(main, b) | (full_norm.contains(b) & ~clean.contains(b))
 
     first = F.coalesce(*[F.when(imitates(b), F.lit(b)) for b in brands])
-    return F.when((F.size(labels) >= 2) & ~main.isin(brands), first)
+    return named.withColumn(output, F.when(main.isNotNull() & ~main.isin(brands), first)).drop(
+        "_clean", "_main", "_main_norm", "_full_norm"
+    )
 
 
 def tunnel_tools(name: Column | str) -> Column:

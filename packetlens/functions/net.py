@@ -118,11 +118,6 @@ def is_valid_address(ip: Column | str) -> Column:
     return is_ipv4(ip) | F.coalesce(as_col(ip).rlike(_V6_SHAPE), F.lit(False))
 
 
-def is_multicast(ip: Column | str) -> Column:
-    """224.0.0.0/4 or ff00::/8."""
-    return F.coalesce(as_col(ip).rlike(r"^(2(2[4-9]|3[0-9])\.|ff[0-9a-f]{2}:)"), F.lit(False))
-
-
 def is_dotted_quad(ip: Column | str) -> Column:
     """Loose check used for display filters: four integer parts, each 0 to 255."""
     return F.coalesce(as_col(ip).rlike(r"^(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(?!$)|$)){4}$"), F.lit(False))

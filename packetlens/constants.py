@@ -19,6 +19,10 @@ ACK_BIT = 0x10
 
 UNKNOWN = "UNKNOWN"
 
+# Transport and application protocols of the data model.
+PROTOCOLS = ["TCP", "UDP", "ICMP", "IGMP", "OTHER"]
+APP_PROTOCOLS = ["HTTP", "HTTPS", "DNS", "TLS", "SSH", "FTP", "SMTP", "SMB", "RDP", "DHCP", "NTP"]
+
 # Well-known port -> application protocol. UNKNOWN entries end the search.
 PORT_APP_PROTOCOL = {
     20: "FTP",

@@ -17,3 +17,8 @@ def literal_map(values: dict) -> Column:
 def rank_of(c: Column | str, ranks: dict, default: int = 99) -> Column:
     """Sort rank of an enumerated text column; unknown values sort last."""
     return F.coalesce(F.try_element_at(literal_map(ranks), as_col(c)), F.lit(default))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value`` computed once, however often the body (or a pushed-down filter) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from packetlens import constants as K
-from packetlens.functions import as_col
+from packetlens.functions import as_col, let
 
 
 def _labels(name: Column) -> Column:
@@ -48,12 +48,17 @@ def entropy(text: Column | str) -> Column:
 
     A higher-order expression over the distinct characters: apply it to distinct names.
     """
+    def bits(t):
+        n = F.length(t)
+
+        def share(c):
+            return (n - F.length(F.replace(t, c, F.lit("")))) / n
+
+        shares = F.transform(F.array_distinct(F.split(t, "")), share)
+        return F.round(F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)), 9)
+
     text = F.lower(as_col(text))
-    chars = F.split(text, "")
-    n = F.size(chars).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-    bits = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.round(bits, 9))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0.0)).otherwise(let(text, bits))
 
 
 def has_suspicious_tld(name: Column | str, extended: bool = False) -> Column:
@@ -121,27 +126,33 @@ def is_similar(a: Column, b: Column, max_distance: int = K.MAX_EDIT_DISTANCE) ->
     return (F.abs(F.length(a) - F.length(b)) <= max_distance) & (F.levenshtein(a, b, max_distance) >= 0)
 
 
-def with_imitated_brand(df: DataFrame, name: str, output: str = "spoofed_brand", brands: list[str] | None = None) -> DataFrame:
-    """Adds the brand a domain imitates, else NULL. An exact brand name imitates nothing.
+def imitated_brand(name: Column | str, brands: list[str] | None = None) -> Column:
+    """The brand a domain imitates, else NULL. An exact brand name imitates nothing.
 
-    The brand list is a short constant, so this is one CASE arm per brand rather than a join;
-    of several candidates the alphabetically first wins. The normalised forms are columns of
-    their own, so every arm reads them instead of computing them again. Apply to distinct names.
+    The brand list is a short constant that is searched per name, not joined; of several
+    candidates the alphabetically first wins. Apply to distinct names.
     """
     brands = sorted(brands or K.BRANDS)
-    named = df.withColumn("_clean", clean_domain(name))
-    named = named.withColumn("_main", F.try_element_at(F.split("_clean", r"\."), F.lit(-2)))
-    named = named.withColumns({"_main_norm": normalize_lookalike("_main"), "_full_norm": normalize_lookalike("_clean")})
-    main, main_norm, full_norm, clean = (F.col(c) for c in ("_main", "_main_norm", "_full_norm", "_clean"))
-
-    def imitates(brand):
-        b = F.lit(brand)
-        return (main_norm == b) | is_similar(main, b) | (full_norm.contains(b) & ~clean.contains(b))
-
-    first = F.coalesce(*[F.when(imitates(b), F.lit(b)) for b in brands])
-    return named.withColumn(output, F.when(main.isNotNull() & ~main.isin(brands), first)).drop(
-        "_clean", "_main", "_main_norm", "_full_norm"
-    )
+
+    def search(clean):
+        main = F.try_element_at(F.split(clean, r"\."), F.lit(-2))
+        parts = F.struct(
+            clean.alias("clean"),
+            main.alias("main"),
+            normalize_lookalike(main).alias("main_normal"),
+            normalize_lookalike(clean).alias("full_normal"),
+        )
+        return let(parts, imitated)
+
+    def imitated(p):
+        def by(brand):
+            hidden = p["full_normal"].contains(brand) & ~p["clean"].contains(brand)
+            return (p["main_normal"] == brand) | is_similar(p["main"], brand) | hidden
+
+        hits = F.filter(F.array(*[F.lit(b) for b in brands]), by)
+        return F.when(p["main"].isNotNull() & ~p["main"].isin(brands), F.get(hits, F.lit(0)))
+
+    return let(clean_domain(name), search)
 
 
 def tunnel_tools(name: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from packetlens import constants as K
-from packetlens.functions import as_col, literal_map
+from packetlens.functions import as_col, let, literal_map
 
 # ---- keys ----------------------------------------------------------------------------------
 
@@ -123,13 +123,18 @@ def is_dotted_quad(ip: Column | str) -> Column:
     return F.coalesce(as_col(ip).rlike(r"^(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(?!$)|$)){4}$"), F.lit(False))
 
 
-def cdn_range(number: Column | str, ranges: list[str] | None = None) -> Column:
-    """The first listed network that contains an :func:`ipv4_number`, else NULL.
+def cdn_range(ip: Column | str, ranges: list[str] | None = None) -> Column:
+    """The first listed network that contains the address, else NULL.
 
-    The list is a short constant, so containment is a CASE over number ranges: no join.
+    The list is a short constant that is searched per address: no join.
     """
-    number = as_col(number)
-    return F.coalesce(*[F.when(number.between(*_bounds(c)), F.lit(c)) for c in (ranges or K.CDN_RANGES)])
+    listed = F.array(*[
+        F.struct(F.lit(low).cast("bigint").alias("low"), F.lit(high).cast("bigint").alias("high"), F.lit(c).alias("cidr"))
+        for c in (ranges or K.CDN_RANGES)
+        for low, high in [_bounds(c)]
+    ])
+    hits = let(ipv4_number(ip), lambda number: F.filter(listed, lambda r: number.between(r["low"], r["high"])))
+    return F.get(hits, F.lit(0))["cidr"]
 
 
 # ---- direction -----------------------------------------------------------------------------

@@ -24,26 +24,40 @@ class Tables:
     tls: DataFrame | None = None
 
 
+def _last_app_protocol() -> Column:
+    """Last application protocol that is not UNKNOWN, as one BIGINT: time in microseconds, then protocol number.
+
+    A number keeps the aggregate in the hash table; text or struct state would make Spark sort instead.
+    """
+    number = F.array_position(F.array(*[F.lit(p) for p in K.APP_PROTOCOLS]), F.col("app_protocol"))
+    micros = F.round(F.col("ts") * 1_000_000).cast("bigint")
+    return F.max(F.when(number > 0, micros * 16 + number))
+
+
+def _app_protocol_name(packed: Column) -> Column:
+    names = F.array(*[F.lit(p) for p in K.APP_PROTOCOLS])
+    return F.coalesce(F.get(names, (F.pmod(packed, F.lit(16)) - 1).cast("int")), F.lit(K.UNKNOWN))
+
+
 def build_flows(packets: DataFrame) -> DataFrame:
     """One row per directed 5-tuple.
 
     Every aggregate keeps fixed-size state (flags are OR-ed as bits), so the map-side
     combine reduces even a 5-tuple that carries a third of all packets to one row per task.
     """
-    return packets.groupBy(*FLOW_KEYS).agg(
-        F.count(F.lit(1)).alias("packet_count"),
-        F.sum("length").alias("byte_count"),
-        F.sum("payload_length").alias("payload_bytes"),
-        F.min("ts").alias("start_time"),
-        F.max("ts").alias("end_time"),
-        F.bit_or("flag_bits").alias("flag_bits"),
-        F.coalesce(
-            F.max_by(
-                F.when(F.col("app_protocol") != K.UNKNOWN, F.col("app_protocol")),
-                F.when(F.col("app_protocol") != K.UNKNOWN, F.struct("ts", "seq")),
-            ),
-            F.lit(K.UNKNOWN),
-        ).alias("app_protocol"),
+    return (
+        packets.groupBy(*FLOW_KEYS)
+        .agg(
+            F.count(F.lit(1)).alias("packet_count"),
+            F.sum("length").alias("byte_count"),
+            F.sum("payload_length").alias("payload_bytes"),
+            F.min("ts").alias("start_time"),
+            F.max("ts").alias("end_time"),
+            F.bit_or("flag_bits").alias("flag_bits"),
+            _last_app_protocol().alias("_app"),
+        )
+        .withColumn("app_protocol", _app_protocol_name(F.col("_app")))
+        .drop("_app")
     )
 
 
@@ -68,15 +82,22 @@ def _directed(value: Column, forward: bool) -> Column:
     return F.sum(F.when(from_a if forward else ~from_a, value).otherwise(0))
 
 
+def _protocol_bit(protocol: Column) -> Column:
+    arms = [F.when(protocol == p, F.lit(1 << i)) for i, p in enumerate(K.PROTOCOLS)]
+    return F.coalesce(*arms, F.lit(1 << K.PROTOCOLS.index("OTHER")))
+
+
+def _protocol_names(bits: Column) -> Column:
+    arms = [F.when(bits.bitwiseAND(F.lit(1 << i)) > 0, F.lit(p)) for i, p in enumerate(K.PROTOCOLS)]
+    return F.array_sort(F.array_compact(F.array(*arms)))
+
+
 def build_conversations(packets: DataFrame) -> DataFrame:
     """One row per pair of addresses, with the two directions kept apart.
 
     The port set is bounded by the 65,535 possible ports; a plan that does not read it
     drops it from the aggregate.
     """
-    used_ports = F.filter(
-        F.array("src_port", "dst_port"), lambda p: p.isNotNull() & (p != 0)
-    )
     pairs = packets.select(
         F.least("src_ip", "dst_ip").alias("ip_a"),
         F.greatest("src_ip", "dst_ip").alias("ip_b"),
@@ -97,12 +118,13 @@ def build_conversations(packets: DataFrame) -> DataFrame:
             _directed(F.col("length"), False).alias("bytes_b_to_a"),
             F.min("ts").alias("start_time"),
             F.max("ts").alias("end_time"),
-            F.array_sort(F.collect_set("protocol")).alias("protocols"),
+            F.bit_or(_protocol_bit(F.col("protocol"))).alias("_protocols"),
             F.collect_set(F.when(F.col("src_port") != 0, F.col("src_port"))).alias("_src_ports"),
             F.collect_set(F.when(F.col("dst_port") != 0, F.col("dst_port"))).alias("_dst_ports"),
         )
+        .withColumn("protocols", _protocol_names(F.col("_protocols")))
         .withColumn("ports_used", F.array_sort(F.array_union("_src_ports", "_dst_ports")))
-        .drop("_src_ports", "_dst_ports")
+        .drop("_src_ports", "_dst_ports", "_protocols")
     )
 
 

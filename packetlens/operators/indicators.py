@@ -49,7 +49,7 @@ def under_listed(domains: DataFrame, listed: DataFrame, column: str = "domain")
 
 def classify_domains(domains: DataFrame, legit: DataFrame) -> DataFrame:
     """Adds ``spoofed_brand`` and ``is_legit`` to distinct domains; look-alikes are never legit."""
-    branded = names.with_imitated_brand(domains, "domain")
+    branded = domains.withColumn("spoofed_brand", names.imitated_brand("domain"))
     known = under_listed(domains, legit).withColumn("_known", F.lit(True))
     return (
         branded.join(known, "domain", "left")
@@ -153,49 +153,71 @@ def _with_flags(values: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
-def classify_addresses(ips: DataFrame, flagged: DataFrame, skip_cdn: bool = True) -> DataFrame:
-    """Priority and reason of each address (column ``ip``); ``skip`` means no look-up."""
-    rows = _with_flags(ips.select(F.col("ip").alias("value")).distinct(), _flags(flagged, "ip"))
-    rows = rows.withColumn("_number", net.ipv4_number("value"))
-    cdn = net.cdn_range("_number") if skip_cdn else F.lit(None).cast("string")
-    rows = rows.withColumn(
-        "_skip",
+def _address_skip(skip_cdn: bool) -> Column:
+    cdn = net.cdn_range("value") if skip_cdn else F.lit(None).cast("string")
+    return (
         F.when(~net.is_valid_address("value"), "Invalid IP format")
         .when(net.is_private("value", "registry"), "Private IP range")
         .when(net.is_private("value", "non_global"), "Reserved/special address")
-        .otherwise(F.concat(F.lit("Known CDN range ("), cdn, F.lit(")"))),
+        .otherwise(F.concat(F.lit("Known CDN range ("), cdn, F.lit(")")))
     )
-    return _classified(rows, "ip", "medium", "External IP from traffic")
 
 
-def classify_domain_priority(domains: DataFrame, flagged: DataFrame, skip_safe: bool = True) -> DataFrame:
-    """Priority and reason of each domain (column ``domain``); ``skip`` means no look-up."""
-    values = domains.select(names.clean_domain("domain").alias("value")).distinct()
-    rows = _with_flags(values, _flags(flagged, "domain"))
+def _domain_skip(skip_safe: bool) -> Column:
     safe = names.listed_suffix("value", K.SAFE_DOMAINS_PRIORITY) if skip_safe else F.lit(None).cast("string")
-    rows = rows.withColumn("_safe", safe).withColumn(
-        "_skip",
-        F.when(F.col("value") == "", "Empty domain")
-        .when(F.col("_safe").isNotNull(), F.concat(F.lit("Known safe domain ("), F.col("_safe"), F.lit(")")))
-        .when(names.is_local_name("value", K.REVERSE_SUFFIXES), "Reverse DNS lookup")
-        .when(names.is_local_name("value", K.LOCAL_SUFFIXES_PRIORITY), "Local domain"),
+    return F.coalesce(
+        F.when(F.col("value") == "", "Empty domain"),
+        F.concat(F.lit("Known safe domain ("), safe, F.lit(")")),
+        F.when(names.is_local_name("value", K.REVERSE_SUFFIXES), "Reverse DNS lookup"),
+        F.when(names.is_local_name("value", K.LOCAL_SUFFIXES_PRIORITY), "Local domain"),
     )
-    return _classified(rows, "domain", "low", "Domain from traffic")
 
 
-def _classified(rows: DataFrame, kind: str, quiet: str, quiet_reason: str) -> DataFrame:
-    count, skip = F.col("detection_count"), F.col("_skip")
-    kept = skip.isNull()
+def _kept(values: DataFrame, flags: DataFrame, kind: str, quiet: str, quiet_reason: str) -> DataFrame:
+    """Priority and reason of values that are not skipped."""
+    rows = _with_flags(values, flags)
+    count = F.col("detection_count")
     return rows.select(
         "value",
         F.lit(kind).alias("indicator_type"),
-        F.when(kept, _flag_priority(count, quiet)).otherwise("skip").alias("priority"),
-        F.when(kept, _flag_reason(count, F.col("source_detectors"), quiet_reason)).otherwise(skip).alias("reason"),
-        F.when(kept, F.col("source_detectors")).otherwise(F.array().cast("array<string>")).alias("source_detectors"),
-        F.when(kept, count).otherwise(F.lit(0)).alias("detection_count"),
+        _flag_priority(count, quiet).alias("priority"),
+        _flag_reason(count, F.col("source_detectors"), quiet_reason).alias("reason"),
+        "source_detectors",
+        count.alias("detection_count"),
+    )
+
+
+def _skipped(values: DataFrame, reason: Column, kind: str) -> DataFrame:
+    return values.select("value", reason.alias("reason")).where(F.col("reason").isNotNull()).select(
+        "value",
+        F.lit(kind).alias("indicator_type"),
+        F.lit("skip").alias("priority"),
+        "reason",
+        F.array().cast("array<string>").alias("source_detectors"),
+        F.lit(0).cast("bigint").alias("detection_count"),
     )
 
 
+def classify_addresses(ips: DataFrame, flagged: DataFrame, skip_cdn: bool = True, with_skipped: bool = True) -> DataFrame:
+    """Priority and reason of each address (column ``ip``); ``skip`` means no look-up.
+
+    Skipped values are filtered before anything is joined to them.
+    """
+    values, reason = ips.select(F.col("ip").alias("value")).distinct(), _address_skip(skip_cdn)
+    kept = _kept(values.where(reason.isNull()), _flags(flagged, "ip"), "ip", "medium", "External IP from traffic")
+    return kept.unionByName(_skipped(values, reason, "ip")) if with_skipped else kept
+
+
+def classify_domain_priority(
+    domains: DataFrame, flagged: DataFrame, skip_safe: bool = True, with_skipped: bool = True
+) -> DataFrame:
+    """The same for domains (column ``domain``)."""
+    values = domains.select(names.clean_domain("domain").alias("value")).distinct()
+    reason = _domain_skip(skip_safe)
+    kept = _kept(values.where(reason.isNull()), _flags(flagged, "domain"), "domain", "low", "Domain from traffic")
+    return kept.unionByName(_skipped(values, reason, "domain")) if with_skipped else kept
+
+
 def prioritize_indicators(
     ips: DataFrame,
     domains: DataFrame,
@@ -205,25 +227,24 @@ def prioritize_indicators(
     skip_safe: bool = True,
 ) -> DataFrame:
     """All indicators worth a look-up, with priority and reason."""
-    by_ip = classify_addresses(ips, flagged_ips, skip_cdn)
-    by_domain = classify_domain_priority(domains, flagged_domains, skip_safe)
-    return by_ip.unionByName(by_domain).where(F.col("priority") != "skip")
+    by_ip = classify_addresses(ips, flagged_ips, skip_cdn, with_skipped=False)
+    return by_ip.unionByName(classify_domain_priority(domains, flagged_domains, skip_safe, with_skipped=False))
 
 
 def cap_by_priority(indicators: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """All critical indicators and the first few of each other priority.
 
-    The window has one partition per priority, but the constant rank bound is applied in
-    every task before the shuffle, so at most the largest cap of rows per task arrives there.
+    The constant rank bound is applied in every task before the shuffle, so at most the
+    largest cap of rows per task and priority arrives in a window. Critical indicators are
+    ranked alone, one window each, so none is cut.
     """
     caps = K.PRIORITY_CAPS if caps is None else caps
-    critical = indicators.where(F.col("priority") == "critical")
-    others = indicators.where(F.col("priority") != "critical")
+    critical = F.col("priority") == "critical"
+    order = [F.col("detection_count").desc(), F.col("indicator_type"), F.col("value")]
+    alone = indicators.withColumn("_alone", F.when(critical, F.concat_ws(":", "indicator_type", "value")))
+    first = top_per_key(alone, ["priority", "_alone"], order, max(1, *caps.values()))
     limit = F.coalesce(*[F.when(F.col("priority") == p, F.lit(n)) for p, n in caps.items()], F.lit(0))
-    first = top_per_key(
-        others, ["priority"], [F.col("detection_count").desc(), F.col("indicator_type"), F.col("value")], max(caps.values())
-    )
-    return critical.unionByName(first.where(F.col("key_rank") <= limit).drop("key_rank"))
+    return first.where(critical | (F.col("key_rank") <= limit)).drop("key_rank", "_alone")
 
 
 def indicator_order() -> list[Column]:

@@ -112,11 +112,15 @@ def timeline(packets: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     start = packets.select(F.min("ts").alias("t")).scalar()
     end = packets.select(F.max("ts").alias("t")).scalar()
     bucket = F.floor((F.col("ts") - start) / bucket_seconds)
-    directed = packets.where(end > start).select(
+    classed = packets.where(end > start).withColumns(
+        {"_src_private": net.is_private("src_ip"), "_dst_private": net.is_private("dst_ip")}
+    )
+    src_private, dst_private = F.col("_src_private"), F.col("_dst_private")
+    directed = classed.select(
         bucket.alias("bucket"),
         "length",
-        F.when(net.is_outbound(), F.col("length")).otherwise(0).alias("out_bytes"),
-        F.when(net.is_inbound(), F.col("length")).otherwise(0).alias("in_bytes"),
+        F.when(src_private & ~dst_private, F.col("length")).otherwise(0).alias("out_bytes"),
+        F.when(~src_private & dst_private, F.col("length")).otherwise(0).alias("in_bytes"),
         F.explode(
             F.array(
                 F.struct(F.col("src_ip").alias("ip"), F.lit(1).alias("one")),

@@ -92,7 +92,7 @@ def _all_names(spark, sf):
 
 @query("typosquats", ["dns_v", "tls_v"], "SELECT domain, spoofed_brand FROM spoofs", BRAND_CTE)
 def typosquats(spark, sf):
-    return names.with_imitated_brand(_all_names(spark, sf), "domain").where("spoofed_brand IS NOT NULL")
+    return _all_names(spark, sf).withColumn("spoofed_brand", names.imitated_brand("domain")).where("spoofed_brand IS NOT NULL")
 
 
 @query("legit_domains_removed", ["dns_v", "tls_v"], "SELECT domain FROM known WHERE is_legit", BRAND_CTE)
@@ -516,7 +516,7 @@ def filter_exfiltration(spark, sf):
 
 @query("filter_port_scan", ["traffic_v"], f"""
 SELECT concat('Port Scan: ', src_ip, ' → ', dst_ip) AS name, concat('ip.src == ', src_ip, ' && ip.dst == ', dst_ip, ' && tcp.flags.syn == 1 && tcp.flags.ack == 0') AS filter,
-  'SYN scan traffic from ' || src_ip AS description, {_f('port_scan', 'medium', 0.7)} FROM {_PAIRS}""")
+  'SYN scan traffic from ' || src_ip AS description, {_f('port_scan', 'medium', 0.8)} FROM {_PAIRS}""")
 def filter_port_scan(spark, sf):
     return D.port_scan_filter(_pairs(spark, sf), "src_ip", "dst_ip")
 

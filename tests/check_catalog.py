@@ -26,7 +26,7 @@ def main(sf_dir, wanted):
                 result = f"no sql, {df.count()} rows"
             else:
                 result = difference(df, con, q.sql)
-        except Exception as e:  # report and go on
+        except Exception as e:
             result = f"{type(e).__name__}: {str(e)[:1500]}"
         ok = result is None or result.startswith("no sql")
         bad += not ok

@@ -22,3 +22,12 @@ def rank_of(c: Column | str, ranks: dict, default: int = 99) -> Column:
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value`` computed once, however often the body (or a pushed-down filter) uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_place(condition: Column) -> Column:
+    """An expensive condition that must run where it is written, after a distinct or an aggregation.
+
+    Catalyst moves plain filters below the aggregation, where they would run on every row
+    instead of every distinct value. It does not move a condition that reads the partition id.
+    """
+    return F.when(F.spark_partition_id() >= 0, condition)

@@ -34,7 +34,7 @@ def conversation_key(a="src_ip", b="dst_ip") -> Column:
 
 # ---- address classes -----------------------------------------------------------------------
 
-_STRICT_V4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(?!$)|$)){4}$"
+_STRICT_V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?!$)|$)){4}$"
 
 # Any-magnitude octets: the simple rules only look at the leading ones.
 _CORE_PRIVATE = (
@@ -48,10 +48,10 @@ _DETECTOR_PRIVATE = r"^(10\.|127\.|192\.168\.|172\.0*(1[6-9]|2[0-9]|3[01])(\.|$)
 
 # The registry's private IPv4 networks as text, for strict dotted quads.
 _V4_REGISTRY = (
-    r"^((0|10|127)\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|192\.0\.2\.|192\.0\.0\.(?!9$|10$)"
+    r"(?:(?:0|10|127)\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.|192\.0\.2\.|192\.0\.0\.(?!9$|10$)"
     r"|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2[45][0-9]\.)"
 )
-_V4_REGISTRY_OR_MULTICAST = _V4_REGISTRY + r"|^2(2[4-9]|3[0-9])\."
+_V4_MULTICAST = r"2(?:2[4-9]|3[0-9])\."
 
 # IPv6 registry ranges, matched on the canonical lower-case text the decoder emits.
 _V6_SHAPE = r"^[0-9a-f:]*:[0-9a-f:.]*$"
@@ -100,15 +100,18 @@ def is_private(ip: Column | str, mode: str = "core") -> Column:
         return F.coalesce(ip.rlike(_DETECTOR_PRIVATE), F.lit(False))
     if mode == "api":
         return F.coalesce(ip.rlike(_API_PRIVATE), F.lit(False))
-    ip = F.when(ip.rlike(r"^::ffff:[0-9.]+$"), F.substring(ip, 8, 15)).otherwise(ip)
-    v6_private = ip.rlike(_V6_PRIVATE) & ~ip.rlike(_V6_PRIVATE_EXCEPTIONS)
-    is_v6 = ip.rlike(_V6_SHAPE)
+    # Cheap tests come first: most addresses fail the prefix pattern and hold no colon.
+    has_colon = ip.contains(":")
+    v6_private = has_colon & (
+        (ip.rlike(_V6_PRIVATE) & ~ip.rlike(_V6_PRIVATE_EXCEPTIONS)) | ip.rlike("^::ffff:" + _V4_REGISTRY)
+    )
     if mode == "registry":
-        return F.coalesce(F.when(is_ipv4(ip), ip.rlike(_V4_REGISTRY)).when(is_v6, v6_private), F.lit(False))
+        return F.coalesce((ip.rlike("^" + _V4_REGISTRY) & is_ipv4(ip)) | v6_private, F.lit(False))
     if mode == "non_global":
-        v4_special = ip.rlike(_V4_REGISTRY_OR_MULTICAST)
+        v4_special = ip.rlike(f"^(?:{_V4_REGISTRY}|{_V4_MULTICAST})")
+        v6_special = v6_private | ~(ip.rlike(_V6_GLOBAL) | ip.rlike(r"^::ffff:[0-9]"))
         return F.coalesce(
-            F.when(is_ipv4(ip), v4_special).when(is_v6, v6_private | ~ip.rlike(_V6_GLOBAL)), F.lit(True)
+            F.when(is_ipv4(ip), v4_special).when(has_colon & ip.rlike(_V6_SHAPE), v6_special), F.lit(True)
         )
     raise ValueError(f"unknown private-address mode: {mode}")
 

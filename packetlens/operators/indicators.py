@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlens import constants as K
-from packetlens.functions import names, net, rank_of
+from packetlens.functions import in_place, names, net, rank_of
 from packetlens.operators.ranking import extreme_share, top_per_key
 
 # ---- names and addresses -------------------------------------------------------------------
 
 
 def public_addresses(flows: DataFrame) -> DataFrame:
-    """Distinct public ends of flows."""
-    return flows.select(net.public_ip().alias("ip")).where("ip IS NOT NULL").distinct()
+    """Distinct public ends of flows; of two public ends only the source.
+
+    Address rules run on distinct pairs of addresses, not on every flow.
+    """
+    pairs = flows.select("src_ip", "dst_ip").distinct()
+    return pairs.select(net.public_ip().alias("ip")).where(in_place(F.col("ip").isNotNull())).distinct()
 
 
 def address_names(dns: DataFrame, tls: DataFrame) -> DataFrame:
@@ -188,7 +192,7 @@ def _kept(values: DataFrame, flags: DataFrame, kind: str, quiet: str, quiet_reas
 
 
 def _skipped(values: DataFrame, reason: Column, kind: str) -> DataFrame:
-    return values.select("value", reason.alias("reason")).where(F.col("reason").isNotNull()).select(
+    return values.where(in_place(reason.isNotNull())).select("value", reason.alias("reason")).select(
         "value",
         F.lit(kind).alias("indicator_type"),
         F.lit("skip").alias("priority"),
@@ -204,7 +208,7 @@ def classify_addresses(ips: DataFrame, flagged: DataFrame, skip_cdn: bool = True
     Skipped values are filtered before anything is joined to them.
     """
     values, reason = ips.select(F.col("ip").alias("value")).distinct(), _address_skip(skip_cdn)
-    kept = _kept(values.where(reason.isNull()), _flags(flagged, "ip"), "ip", "medium", "External IP from traffic")
+    kept = _kept(values.where(in_place(reason.isNull())), _flags(flagged, "ip"), "ip", "medium", "External IP from traffic")
     return kept.unionByName(_skipped(values, reason, "ip")) if with_skipped else kept
 
 
@@ -214,7 +218,7 @@ def classify_domain_priority(
     """The same for domains (column ``domain``)."""
     values = domains.select(names.clean_domain("domain").alias("value")).distinct()
     reason = _domain_skip(skip_safe)
-    kept = _kept(values.where(reason.isNull()), _flags(flagged, "domain"), "domain", "low", "Domain from traffic")
+    kept = _kept(values.where(in_place(reason.isNull())), _flags(flagged, "domain"), "domain", "low", "Domain from traffic")
     return kept.unionByName(_skipped(values, reason, "domain")) if with_skipped else kept
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlens import constants as K
-from packetlens.functions import names, net
+from packetlens.functions import in_place, names, net
 from packetlens.operators.flows import all_addresses, packet_counts, with_conversation_measures
 from packetlens.operators.ranking import top_rows
 
@@ -208,7 +208,7 @@ def high_entropy_names(dns: DataFrame, longer_than: int = 10, bits: float = 3.5)
     return (
         per_name.where(F.col("subdomain_length") > longer_than)
         .withColumn("entropy", names.entropy("subdomain"))
-        .where(F.col("entropy") > bits)
+        .where(in_place(F.col("entropy") > bits))
         .select("query_name", "parent", "subdomain", "entropy", "query_count")
     )
 

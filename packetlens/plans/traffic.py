@@ -24,7 +24,7 @@ conv AS (SELECT least(src_ip, dst_ip) AS ip_a, greatest(src_ip, dst_ip) AS ip_b,
   CAST(coalesce(sum(length) FILTER (src_ip > dst_ip), 0) AS BIGINT) AS bytes_b_to_a,
   min(ts) AS start_time, max(ts) AS end_time,
   array_to_string(list_sort(list_distinct(list(protocol))), ',') AS protocols,
-  array_to_string(list_sort(list_distinct(list(src_port) FILTER (src_port <> 0) || list(dst_port) FILTER (dst_port <> 0))), ',') AS ports_used
+  coalesce(array_to_string(list_sort(list_distinct(list(src_port) FILTER (src_port <> 0) || list(dst_port) FILTER (dst_port <> 0))), ','), '') AS ports_used
   FROM traffic_v GROUP BY 1, 2)
 """
 

@@ -57,7 +57,7 @@ _V4_MULTICAST = r"2(?:2[4-9]|3[0-9])\."
 _V6_SHAPE = r"^[0-9a-f:]*:[0-9a-f:.]*$"
 _V6_PRIVATE = (
     r"^(::1?$|64:ff9b:1:|100::([^:]*:){0,3}[^:]*$|2001:(:|[0-9a-f]{1,2}:|1[0-9a-f]{2}:)"
-    r"|2001:db8:|2002:|3fff:(:|[0-9a-f]{1,3}:)|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+    r"|2001:db8:|2002:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
 )
 _V6_PRIVATE_EXCEPTIONS = r"^(2001:1::[12]$|2001:3:|2001:4:112:|2001:[23][0-9a-f]:)"
 _V6_GLOBAL = r"^([23][0-9a-f]{3}:|fe[c-f][0-9a-f]:)"
@@ -109,7 +109,7 @@ def is_private(ip: Column | str, mode: str = "core") -> Column:
         return F.coalesce((ip.rlike("^" + _V4_REGISTRY) & is_ipv4(ip)) | v6_private, F.lit(False))
     if mode == "non_global":
         v4_special = ip.rlike(f"^(?:{_V4_REGISTRY}|{_V4_MULTICAST})")
-        v6_special = v6_private | ~(ip.rlike(_V6_GLOBAL) | ip.rlike(r"^::ffff:[0-9]"))
+        v6_special = v6_private | ~ip.rlike(_V6_GLOBAL)
         return F.coalesce(
             F.when(is_ipv4(ip), v4_special).when(has_colon & ip.rlike(_V6_SHAPE), v6_special), F.lit(True)
         )

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
+    # Plans here are large expressions; capturing a call site for every column call is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

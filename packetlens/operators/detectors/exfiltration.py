@@ -131,6 +131,19 @@ class ExfiltrationDetector:
             )
         )
 
+    @staticmethod
+    def _profile_indicators() -> dict[str, Column]:
+        """Profile fields every destination rule reports. Equal fields let the rules share one aggregation."""
+        c = F.col
+        return {
+            "destination_ip": c("dst_ip"),
+            "total_bytes": c("bytes_out"),
+            "outbound_inbound_ratio": F.bround("byte_ratio", 2),
+            "ports": F.concat_ws(",", c("dst_ports").cast("array<string>")),
+            "source_count": c("source_count"),
+            "flow_count": c("flow_count"),
+        }
+
     def _transfer_findings(self, rows: DataFrame, rule: str, title: str, note: str) -> DataFrame:
         c = F.col
         size = text.format_bytes("bytes_out", "binary_large")
@@ -148,15 +161,8 @@ class ExfiltrationDetector:
                 F.format_string("%.1f", c("rate_mbps")), F.lit(" Mbps) from "), c("source_count"), F.lit(" hosts."),
             ),
             affected_ips=F.array("dst_ip"),
-            indicators={
-                "destination_ip": c("dst_ip"),
-                "total_bytes": c("bytes_out"),
-                "duration_seconds": F.bround("duration_seconds", 2),
-                "rate_mbps": F.bround("rate_mbps", 2),
-                "ports": F.concat_ws(",", c("dst_ports").cast("array<string>")),
-                "source_count": c("source_count"),
-                "flow_count": c("flow_count"),
-            },
+            indicators=self._profile_indicators()
+            | {"duration_seconds": F.bround("duration_seconds", 2), "rate_mbps": F.bround("rate_mbps", 2)},
             start=c("first_start"),
             end=c("last_start"),
             techniques=["T1048", "T1041"],
@@ -178,11 +184,9 @@ class ExfiltrationDetector:
             F.concat(F.lit("High Outbound Ratio: "), ratio, F.lit(":1 to "), c("dst_ip")),
             F.concat(F.lit("Hosts sent "), ratio, F.lit(" times what this address returned; downloads look the other way round.")),
             affected_ips=F.array("dst_ip"),
-            indicators={
-                "destination_ip": c("dst_ip"),
-                "outbound_inbound_ratio": F.bround("byte_ratio", 2),
-                "total_bytes": c("bytes_out"),
-            },
+            indicators=self._profile_indicators(),
+            start=c("first_start"),
+            end=c("last_start"),
             techniques=["T1048", "T1041"],
             display_filter=F.concat(F.lit("ip.dst == "), c("dst_ip")),
         )

@@ -39,7 +39,10 @@ class PortScanDetector:
     name = "port_scan"
 
     def profiles(self, flows: DataFrame) -> DataFrame:
-        """One row per TCP source. Hosts are the one distinct count; the port set has at most 65,535 entries."""
+        """One row per TCP source. Hosts are the one distinct count; the port set has at most 65,535 entries.
+
+        The findings of all rules read the same profile fields, so their plans share one aggregation.
+        """
         failed = (F.col("packet_count") <= 3) & (F.col("byte_count") < 200)
         return (
             flows.where(F.col("protocol") == "TCP")
@@ -199,6 +202,7 @@ class PortScanDetector:
                 "sequential_runs": c("sequential_runs"),
                 "sensitive_ports_hit": F.array_join(F.slice("sensitive_ports_hit", 1, 20).cast("array<string>"), ","),
                 "total_connections": c("total_connections"),
+                "failure_rate": F.bround("failure_rate", 3),
             },
             start=c("first_start"),
             end=c("last_start"),
@@ -227,7 +231,11 @@ class PortScanDetector:
                 "syn_only_count": c("failed_connections"),
                 "syn_ratio": F.bround("failure_rate", 3),
                 "total_connections": c("total_connections"),
+                "unique_hosts": c("unique_hosts"),
+                "unique_ports": c("unique_ports"),
             },
+            start=c("first_start"),
+            end=c("last_start"),
             techniques=["T1046"],
             display_filter=F.concat(
                 F.lit("ip.src == "), c("src_ip"), F.lit(" && tcp.flags.syn == 1 && tcp.flags.ack == 0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetlens import constants as K
 from packetlens.functions import in_place, names, net, rank_of
+from packetlens.operators.flows import FLOW_KEYS
 from packetlens.operators.ranking import extreme_share, top_per_key
 
 # ---- names and addresses -------------------------------------------------------------------
@@ -76,9 +77,8 @@ def _as_indicators(values: DataFrame, column: str, kind: str) -> DataFrame:
 
 
 def select_flows(flows: DataFrame, share: float = 0.4, largest: bool = True) -> DataFrame:
-    """The top (or bottom) share of flows by bytes."""
-    keyed = flows.withColumn("_key", net.flow_key())
-    return extreme_share(keyed, "byte_count", ["_key"], share, largest).drop("_key")
+    """Keys and bytes of the top (or bottom) share of flows by bytes; ties follow the key columns."""
+    return extreme_share(flows.select(*FLOW_KEYS, "byte_count"), "byte_count", FLOW_KEYS, share, largest)
 
 
 def select_indicators(

@@ -8,6 +8,7 @@ from packetlens.operators import anomalies, filters, indicators, intel, stats
 from packetlens.operators.detectors import finding_addresses, run_detectors
 from packetlens.operators.flows import Tables, all_addresses, all_domains, build_conversations, build_flows
 from packetlens.sources.decode import dns_of, packets_of, tls_of
+from packetlens.session import cut_lineage
 from packetlens.sources.lists import legit_domain_list
 
 
@@ -69,11 +70,15 @@ def analyze(
     largest: bool = True,
     legit: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Statistics, findings, selected indicators, staged look-ups and display filters."""
+    """Statistics, findings, selected indicators, staged look-ups and display filters.
+
+    Findings and look-up results are few and dear to compute, and several outputs read them:
+    both are written to the checkpoint folder first.
+    """
     legit = legit_domain_list(spark) if legit is None else legit
-    findings = run_detectors(tables)
+    findings = cut_lineage(run_detectors(tables))
     selected = indicators.select_indicators(tables.flows, tables.dns, tables.tls, legit, share, largest)
-    enriched = intel.cascade(selected.select("value", "indicator_type"), otx, abuse, vt)
+    enriched = cut_lineage(intel.cascade(selected.select("value", "indicator_type"), otx, abuse, vt))
     made = filters.filters_from_findings(findings).unionByName(filters.filters_from_enrichment(enriched))
     return compute_statistics(tables) | {
         "findings": findings,
@@ -89,7 +94,7 @@ def enrich_all(
     tables: Tables, otx: DataFrame | None = None, abuse: DataFrame | None = None, vt: DataFrame | None = None
 ) -> DataFrame:
     """The second path: every address and name, prioritised by findings, capped, then looked up."""
-    findings = run_detectors(tables)
+    findings = cut_lineage(run_detectors(tables))
     ranked = indicators.prioritize_indicators(
         all_addresses(tables.flows),
         all_domains(tables.dns, tables.tls),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from packetlens import constants as K
 from packetlens.functions import names
 from packetlens.operators import anomalies, stats
+from packetlens.operators import filters as D
 from packetlens.operators import flows as fl
 from packetlens.operators.detectors import finding_addresses, run_detectors
 from packetlens.operators.detectors.base import count_by_severity, finding_records, sort_findings
@@ -19,6 +20,7 @@ from packetlens.plans import sqltext as S
 from packetlens.plans.catalog import query
 from packetlens.plans.traffic import FLOWS_CTE, _buckets, packets
 from packetlens.plans.views import view
+from packetlens.session import cut_lineage
 
 # ---- beacons -------------------------------------------------------------------------------
 
@@ -451,3 +453,86 @@ def top_snis(spark, sf):
 def tls_certificate_problems(spark, sf):
     return stats.certificate_problems(view(spark, sf, "tls_v")).select(
         "ts", "src_ip", "dst_ip", "sni", "is_self_signed", "is_expired")
+
+
+# ---- unified findings ----------------------------------------------------------------------
+
+_POINT = "CASE WHEN points >= 70 THEN 'high' WHEN points >= 50 THEN 'medium' ELSE 'low' END"
+
+
+def _banded(n: str) -> str:
+    return f"CASE WHEN {n} >= 100 THEN 'high' WHEN {n} >= 50 THEN 'medium' ELSE 'low' END, CASE WHEN {n} >= 100 THEN 0.85 WHEN {n} >= 50 THEN 0.75 ELSE 0.6 END"
+
+
+FINDING_CTE = ", ".join(x.strip() for x in (BEACON_CTE, SCAN_CTE, DNS_CTE)) + f""",
+vert AS (SELECT p.*, (SELECT min(dst_ip) FROM scan_flows_v s WHERE s.src_ip = p.src_ip) AS first_host FROM prof p WHERE unique_ports >= 20 AND unique_hosts <= 3),
+rapid AS (SELECT src_ip, arg_min(n, start_time) AS k FROM (SELECT src_ip, start_time, count(*) OVER (PARTITION BY src_ip ORDER BY start_time RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING) AS n FROM scan_flows_v) w WHERE n >= 50 GROUP BY 1),
+tools AS (SELECT tool, count(*) AS n FROM dns_v, (SELECT unnest(['dnscat', 'dns2tcp', 'iodine']) AS tool) t WHERE contains(lower(query_name), '.' || tool || '.') GROUP BY 1),
+vol AS (SELECT sum(length(query_name) + response_size) AS b FROM dns_v),
+hosting AS (SELECT d AS domain, d IN {S.in_list(K.PASTE_DOMAINS)} AS paste, count(*) AS n FROM (SELECT arg_max(d, length(d)) AS d FROM (SELECT row_number() OVER () AS id, lower(sni) AS s FROM tls_v) t,
+  (SELECT unnest({S.sql_list(K.CLOUD_STORAGE_DOMAINS + K.PASTE_DOMAINS)}) AS d) l WHERE ends_with(s, d) GROUP BY id) m GROUP BY d),
+found(detector, rule, severity, confidence, title, display_filter) AS (
+  SELECT 'beacon', 'beacon', CASE WHEN confidence >= 0.9 AND known IS NOT NULL THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END, CAST(confidence AS DOUBLE),
+    concat('C2 Beacon Pattern: ', src_ip, ' → ', dst_ip, ':', dst_port), concat('ip.src == ', src_ip, ' && ip.dst == ', dst_ip, ' && tcp.dstport == ', dst_port) FROM conf
+  UNION ALL SELECT 'dns_tunnel', 'tunnel', {_POINT}, least(100, points + 20) / 100.0, 'DNS Tunnel Suspected: ' || parent, 'dns.qry.name contains "' || parent || '"' FROM points WHERE points >= 35
+  UNION ALL SELECT 'dns_tunnel', 'tool', 'critical', 0.95, 'Known DNS Tunnel Tool Detected: ' || tool, 'dns.qry.name contains "' || tool || '"' FROM tools
+  UNION ALL SELECT 'exfiltration', 'protocol_volume', 'high', 0.75, 'High DNS Data Volume: ' || ({S.format_binary('b')}), 'dns' FROM vol WHERE b >= 1048576
+  UNION ALL SELECT 'exfiltration', 'hosting_access', 'medium', 0.6, CASE WHEN paste THEN 'Paste Site Access: ' ELSE 'Cloud Storage Access: ' END || domain, 'tls.handshake.extensions_server_name contains "' || domain || '"' FROM hosting
+  UNION ALL SELECT 'port_scan', 'horizontal', {_banded('unique_hosts')}, concat('Horizontal Scan: ', src_ip, ' → ', unique_hosts, ' hosts'), concat('ip.src == ', src_ip, ' && tcp.flags.syn == 1')
+    FROM prof WHERE unique_hosts >= 10 AND unique_ports <= 5 AND unique_hosts / greatest(unique_ports, 1) >= 3
+  UNION ALL SELECT 'port_scan', 'vertical', {_banded('unique_ports')}, concat('Vertical Scan: ', src_ip, ' → ', unique_ports, ' ports'), concat('ip.src == ', src_ip, ' && ip.dst == ', first_host) FROM vert
+  UNION ALL SELECT 'port_scan', 'stealth', 'medium', least(0.9, 0.5 + failed_connections / total_connections * 0.4), concat('Stealth Scan: ', src_ip, ' (', failed_connections, ' SYN-only)'),
+    concat('ip.src == ', src_ip, ' && tcp.flags.syn == 1 && tcp.flags.ack == 0') FROM prof WHERE failed_connections > 0 AND failed_connections / total_connections >= 0.8
+  UNION ALL SELECT 'port_scan', 'rapid', 'medium', least(0.85, 0.5 + k / 200), concat('Rapid Scan: ', src_ip, ' (', CAST(round_even(k / 60, 0) AS BIGINT), '/sec)'), 'ip.src == ' || src_ip FROM rapid)
+"""
+_FINDING_VIEWS = ["beacon_flows_v", "scan_flows_v", "dns_v", "tls_v"]
+
+
+def _finding_tables(spark, sf):
+    scans = view(spark, sf, "scan_flows_v").withColumn("src_port", F.lit(50000))
+    both = view(spark, sf, "beacon_flows_v").withColumn("flag_bits", F.lit(18)).unionByName(scans)
+    return fl.Tables(flows=both, dns=view(spark, sf, "dns_v"), tls=view(spark, sf, "tls_v"))
+
+
+@query("findings", _FINDING_VIEWS, """
+SELECT detector, rule, severity, round_even(round(CAST(confidence AS DOUBLE), 9), 3) AS confidence, title, display_filter FROM found""", FINDING_CTE)
+def findings(spark, sf):
+    found = finding_records(sort_findings(run_detectors(_finding_tables(spark, sf))))
+    return found.select("detector", "rule", "severity", "confidence", "title", "display_filter")
+
+
+@query("findings_by_severity", _FINDING_VIEWS, "SELECT severity, count(*) AS finding_count FROM found GROUP BY 1", FINDING_CTE)
+def findings_by_severity(spark, sf):
+    return count_by_severity(run_detectors(_finding_tables(spark, sf)))
+
+
+@query("finding_addresses", _FINDING_VIEWS, f"""
+SELECT DISTINCT detector, ip FROM (
+  SELECT 'beacon' AS detector, unnest([src_ip, dst_ip]) AS ip FROM conf
+  UNION ALL SELECT 'dns_tunnel', src_ip FROM named WHERE parent IN (SELECT parent FROM points WHERE points >= 35)
+  UNION ALL SELECT 'port_scan', src_ip FROM prof WHERE (unique_hosts >= 10 AND unique_ports <= 5 AND unique_hosts / greatest(unique_ports, 1) >= 3) OR (unique_ports >= 20 AND unique_hosts <= 3) OR failed_connections / total_connections >= 0.8
+  UNION ALL SELECT 'port_scan', src_ip FROM rapid
+  UNION ALL SELECT 'port_scan', dst_ip FROM (SELECT src_ip, dst_ip, row_number() OVER (PARTITION BY src_ip ORDER BY dst_ip) AS rn FROM (SELECT DISTINCT src_ip, dst_ip FROM scan_flows_v) d) r
+    JOIN prof USING (src_ip) WHERE (rn <= 20 AND unique_hosts >= 10 AND unique_ports <= 5 AND unique_hosts / greatest(unique_ports, 1) >= 3) OR (rn <= 5 AND unique_ports >= 20 AND unique_hosts <= 3)) u""", FINDING_CTE)
+def finding_addresses_query(spark, sf):
+    return finding_addresses(_finding_tables(spark, sf)).select("detector", "ip").distinct()
+
+
+@query("display_filters_findings", _FINDING_VIEWS, """
+SELECT title AS name, display_filter AS filter, detector AS category, severity, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM found""", FINDING_CTE)
+def display_filters_findings(spark, sf):
+    # Findings are few and dear to compute: they are written once before filters are made of them.
+    made = D.filters_from_findings(cut_lineage(run_detectors(_finding_tables(spark, sf))))
+    return made.select("name", "filter", "category", "severity", F.round("confidence", 6).alias("confidence"))
+
+
+@query("display_filters_anomalies", ["scan_flows_v", "dns_v"], f"""
+SELECT 'DNS Tunnel: ' || parent AS name, 'dns.qry.name contains "' || parent || '"' AS filter, 'dns_tunnel' AS category, 'high' AS severity FROM (
+  SELECT parent, sum(query_count) AS c FROM high WHERE (SELECT sum(query_count) FROM high) > 5 GROUP BY 1 ORDER BY c DESC, parent LIMIT 5) a
+UNION ALL SELECT 'Suspicious TLD: ' || tld, 'dns.qry.name contains "' || tld || '"', 'suspicious_dns', 'medium' FROM (
+  SELECT '.' || split_part(query_name, '.', -1) AS tld, count(*) AS c FROM dns_v WHERE {_TLD10} GROUP BY 1 ORDER BY c DESC, tld LIMIT 3) b WHERE c > 3
+UNION ALL SELECT 'Port Scan from ' || src_ip, concat('ip.src == ', src_ip, ' && tcp.flags.syn == 1 && tcp.flags.ack == 0'), 'port_scan', 'medium' FROM (
+  SELECT src_ip FROM scan_flows_v WHERE flag_bits & 2 > 0 AND flag_bits & 16 = 0 AND packet_count < 5 GROUP BY 1 HAVING count(DISTINCT (dst_ip, dst_port)) >= 10) c""", NAMES_CTE)
+def display_filters_anomalies(spark, sf):
+    found = anomalies.dns_anomalies(view(spark, sf, "dns_v")).unionByName(anomalies.scan_anomalies(view(spark, sf, "scan_flows_v")))
+    return D.filters_from_anomalies(found).select("name", "filter", "category", "severity")

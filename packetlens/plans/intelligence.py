@@ -118,7 +118,7 @@ def domain_checks(spark, sf):
 # ---- selection -----------------------------------------------------------------------------
 
 SELECT_CTE = FLOWS_CTE.rstrip() + f""",
-ranked AS (SELECT *, row_number() OVER (ORDER BY byte_count DESC, concat(src_ip, ':', coalesce(CAST(src_port AS VARCHAR), 'None'), '->', dst_ip, ':', coalesce(CAST(dst_port AS VARCHAR), 'None'), '/', protocol)) AS rn,
+ranked AS (SELECT *, row_number() OVER (ORDER BY byte_count DESC, src_ip, dst_ip, src_port NULLS FIRST, dst_port NULLS FIRST, protocol) AS rn,
   count(*) OVER () AS n FROM flows),
 chosen AS (SELECT * FROM ranked WHERE rn <= greatest(1, CAST(floor(n * 0.4::DOUBLE) AS BIGINT))),
 pub AS (SELECT DISTINCT CASE WHEN NOT {S.private_registry('src_ip')} THEN src_ip ELSE dst_ip END AS ip FROM chosen

@@ -297,15 +297,13 @@ def timeline_minutes(spark, sf):
 def _share_sql(direction: str, share: float) -> str:
     return f"""
 SELECT src_ip, dst_ip, src_port, dst_port, protocol, byte_count FROM (
-  SELECT *, row_number() OVER (ORDER BY byte_count {direction}, flow_key) AS rn, count(*) OVER () AS n
-  FROM (SELECT *, concat(src_ip, ':', coalesce(CAST(src_port AS VARCHAR), 'None'), '->', dst_ip, ':', coalesce(CAST(dst_port AS VARCHAR), 'None'), '/', protocol) AS flow_key FROM flows) k
-) r WHERE rn <= greatest(1, CAST(floor(n * {share}::DOUBLE) AS BIGINT))"""
+  SELECT *, row_number() OVER (ORDER BY byte_count {direction}, src_ip, dst_ip, src_port NULLS FIRST, dst_port NULLS FIRST, protocol) AS rn,
+    count(*) OVER () AS n FROM flows) r WHERE rn <= greatest(1, CAST(floor(n * {share}::DOUBLE) AS BIGINT))"""
 
 
 def _share(spark, sf, share, largest):
-    keyed = fl.build_flows(packets(spark, sf)).withColumn("flow_key", net.flow_key())
-    picked = ranking.extreme_share(keyed, "byte_count", ["flow_key"], share, largest)
-    return picked.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "byte_count")
+    flows = fl.build_flows(packets(spark, sf)).select(*fl.FLOW_KEYS, "byte_count")
+    return ranking.extreme_share(flows, "byte_count", fl.FLOW_KEYS, share, largest)
 
 
 @query("top_percent_flows", ["traffic_v"], _share_sql("DESC", 0.4), FLOWS_CTE)

@@ -217,10 +217,18 @@ def test_whole_analysis(spark, tmp_path):
     assert "ip.addr == 45.33.32.156" in {r["filter"] for r in rows_of(out["filters"])}
     write_results({"findings": out["findings"], "filters": out["filters"]}, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "findings")).count() == out["findings"].count() > 0
-    write_filter_list(out["filters"], str(tmp_path / "list"))
-    write_filter_file(out["filters"], str(tmp_path / "file"))
-    assert spark.read.json(str(tmp_path / "list")).count() == out["filters"].count()
+    filters = spark.read.parquet(str(tmp_path / "out" / "filters"))
+    write_filter_list(filters, str(tmp_path / "list"))
+    write_filter_file(filters, str(tmp_path / "file"))
+    assert spark.read.json(str(tmp_path / "list")).count() == filters.count()
     lines = [r["value"] for r in rows_of(spark.read.text(str(tmp_path / "file")))]
     assert any(line.startswith("# ") for line in lines) and any(line.endswith("ip.addr == 45.33.32.156") for line in lines)
+
+
+def test_second_path(spark):
+    packets = spark.createDataFrame([packet(i, T0 + 60 * i, "10.0.0.5", "45.33.32.156", 900_000) for i in range(30)], PACKET)
+    dns = spark.createDataFrame([(T0, "10.0.0.5", "8.8.8.8", "x.dnscat.evil.tk", "TXT", ["45.33.32.156"], 99)], DNS)
+    t = tables_from_packets(packets, dns, spark.createDataFrame([], TLS))
+    o = otx(spark, [dict(indicator="45.33.32.156", indicator_type="ip", pulse_count=7)])
     second = {r["indicator"]: r for r in rows_of(enrich_all(t, o))}
     assert second["45.33.32.156"]["priority"] in ("high", "critical") and second["45.33.32.156"]["overall_threat_level"] == "malicious"

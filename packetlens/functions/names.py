@@ -9,36 +9,41 @@ from packetlens import constants as K
 from packetlens.functions import as_col, let
 
 
-def _labels(name: Column) -> Column:
-    return F.split(F.rtrim(name, F.lit(".")), r"\.")
+def _trimmed(name: Column) -> Column:
+    return F.rtrim(name, F.lit("."))
+
+
+def _last_labels(name: Column, n: int) -> Column:
+    return F.substring_index(name, ".", -n)
 
 
 def parent_domain(name: Column | str) -> Column:
     """Last two labels as written; a single-label name is its own parent."""
     name = as_col(name)
-    labels = _labels(name)
-    return F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(name)
+    return F.when(_trimmed(name).contains("."), _last_labels(_trimmed(name), 2)).otherwise(name)
 
 
 def subdomain(name: Column | str) -> Column:
     """Everything before the last two labels, or the empty string."""
-    labels = _labels(as_col(name))
-    n = F.size(labels)
-    return F.when(n > 2, F.array_join(F.slice(labels, F.lit(1), F.greatest(n - 2, F.lit(0))), ".")).otherwise(F.lit(""))
+    trimmed = _trimmed(as_col(name))
+    return F.substr(
+        trimmed, F.lit(1), F.greatest(F.length(trimmed) - F.length(_last_labels(trimmed, 2)) - 1, F.lit(0))
+    )
 
 
 def registered_parent(name: Column | str) -> Column:
     """Lower-case parent; keeps three labels after a generic second level such as ``co``. NULL without a dot."""
-    labels = _labels(F.lower(as_col(name)))
-    n = F.size(labels)
-    generic = F.try_element_at(labels, F.lit(-2)).isin(K.SECOND_LEVEL_LABELS)
-    keep = F.when((n >= 3) & generic, F.lit(3)).otherwise(F.lit(2))
-    return F.when(n >= 2, F.array_join(F.slice(labels, -keep, keep), "."))
+    trimmed = _trimmed(F.lower(as_col(name)))
+    second_level = F.substring_index(_last_labels(trimmed, 2), ".", 1)
+    return F.when(
+        trimmed.contains("."),
+        F.when(second_level.isin(K.SECOND_LEVEL_LABELS), _last_labels(trimmed, 3)).otherwise(_last_labels(trimmed, 2)),
+    )
 
 
 def subdomain_under(name: Column | str, parent: Column | str) -> Column:
     """Lower-case text before ``.parent``, or NULL."""
-    full, parent = F.rtrim(F.lower(as_col(name)), F.lit(".")), F.lower(as_col(parent))
+    full, parent = _trimmed(F.lower(as_col(name))), F.lower(as_col(parent))
     head = F.substr(full, F.lit(1), F.greatest(F.length(full) - F.length(parent) - 1, F.lit(0)))
     return F.when(full.endswith(parent), F.nullif(head, F.lit("")))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.functions import names
+from packetlens.functions import in_place, names
 from packetlens.operators.detectors.base import finding_key, listed_addresses, make_findings, register
 from packetlens.operators.flows import Tables
 from packetlens.operators.ranking import top_per_key
@@ -34,7 +34,8 @@ class DnsTunnelDetector:
             F.count_if(F.col("response_size") > 0).alias("responses"),
             F.sum(F.greatest(F.coalesce(F.col("response_size"), F.lit(0)), F.lit(0))).alias("response_bytes"),
         )
-        named = per_name.withColumn("parent", names.registered_parent("query_name")).where("parent IS NOT NULL")
+        named = per_name.withColumn("parent", names.registered_parent("query_name"))
+        named = named.where(in_place(F.col("parent").isNotNull()))
         named = named.withColumn("subdomain", names.subdomain_under("query_name", "parent"))
         sums = ["queries", "txt", "null_type", "responses", "response_bytes"]
         return (
@@ -86,7 +87,7 @@ class DnsTunnelDetector:
             + F.when(F.col("null_query_count") > 0, 10).otherwise(0)
         )
         kept = (F.col("query_count") >= self.min_queries) & ~names.has_benign_suffix("parent")
-        return self.domain_profiles(dns).where(kept).withColumn("points", points)
+        return self.domain_profiles(dns).where(in_place(kept)).withColumn("points", points)
 
     def tunnels(self, dns: DataFrame) -> DataFrame:
         """Parents with enough points."""

@@ -13,6 +13,7 @@ import sys
 import time
 
 from packetlens.plans.all_queries import CATALOG
+from packetlens.plans.views import view
 from packetlens.session import local_session
 
 HEADLINE = [
@@ -55,7 +56,7 @@ def main() -> None:
         seconds[name] = round(statistics.median(run_once(plan, spark, sf_dir) for _ in range(repeats)), 3)
         if "-v" in sys.argv:
             print(name, round(cold, 2), seconds[name], file=sys.stderr, flush=True)
-    packets = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    packets = view(spark, sf_dir, "traffic_v").count()
     print(
         json.dumps(
             {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packetlens.operators import anomalies, filters, indicators, intel, stats
 from packetlens.operators.detectors import finding_addresses, run_detectors
@@ -86,7 +87,7 @@ def analyze(
         "indicators": selected,
         "enriched": enriched,
         "flagged_indicators": intel.flagged_indicators(enriched),
-        "filters": filters.deduplicate(made, [filters.F.col("category"), filters.F.col("name")]),
+        "filters": filters.deduplicate(made, [F.col("category"), F.col("name")]),
     }
 
 
@@ -102,5 +103,6 @@ def enrich_all(
         indicators.finding_domains(findings),
     )
     capped = indicators.cap_by_priority(ranked)
-    order = [c for c in indicators.indicator_order()[:-1]]
-    return intel.enrich(capped, otx, abuse, vt, order=[*order, intel.F.col("indicator")])
+    # The value column is called indicator once it is looked up.
+    order = [*indicators.indicator_order()[:-1], F.col("indicator")]
+    return intel.enrich(capped, otx, abuse, vt, order=order)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlens import constants as K
 from packetlens.functions import in_place, names, net
 from packetlens.operators.flows import all_addresses, packet_counts, with_conversation_measures
 from packetlens.operators.ranking import top_rows

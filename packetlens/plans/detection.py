@@ -15,7 +15,7 @@ from packetlens.operators.detectors.beacon import BeaconDetector
 from packetlens.operators.detectors.dns_tunnel import DnsTunnelDetector
 from packetlens.operators.detectors.exfiltration import ExfiltrationDetector
 from packetlens.operators.detectors.port_scan import PortScanDetector, sequential_runs
-from packetlens.operators.timing import gap_statistics
+from packetlens.operators.timing import first_busy_window, gap_statistics
 from packetlens.plans import sqltext as S
 from packetlens.plans.catalog import query
 from packetlens.plans.traffic import FLOWS_CTE, _buckets, packets
@@ -164,8 +164,6 @@ SELECT src_ip, min(ts) AS window_start, arg_min(n, ts) AS events_in_window
 FROM (SELECT src_ip, ts, count(*) OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN CURRENT ROW AND 604800 FOLLOWING) AS n
   FROM traffic_v) w WHERE n >= 5 GROUP BY src_ip""")
 def busy_windows_traffic(spark, sf):
-    from packetlens.operators.timing import first_busy_window
-
     return first_busy_window(packets(spark, sf), "src_ip", "ts", 604800, 5)
 
 
@@ -526,13 +524,25 @@ def display_filters_findings(spark, sf):
     return made.select("name", "filter", "category", "severity", F.round("confidence", 6).alias("confidence"))
 
 
-@query("display_filters_anomalies", ["scan_flows_v", "dns_v"], f"""
+_ANOMALY_ROWS = f"""
 SELECT 'DNS Tunnel: ' || parent AS name, 'dns.qry.name contains "' || parent || '"' AS filter, 'dns_tunnel' AS category, 'high' AS severity FROM (
   SELECT parent, sum(query_count) AS c FROM high WHERE (SELECT sum(query_count) FROM high) > 5 GROUP BY 1 ORDER BY c DESC, parent LIMIT 5) a
 UNION ALL SELECT 'Suspicious TLD: ' || tld, 'dns.qry.name contains "' || tld || '"', 'suspicious_dns', 'medium' FROM (
   SELECT '.' || split_part(query_name, '.', -1) AS tld, count(*) AS c FROM dns_v WHERE {_TLD10} GROUP BY 1 ORDER BY c DESC, tld LIMIT 3) b WHERE c > 3
 UNION ALL SELECT 'Port Scan from ' || src_ip, concat('ip.src == ', src_ip, ' && tcp.flags.syn == 1 && tcp.flags.ack == 0'), 'port_scan', 'medium' FROM (
-  SELECT src_ip FROM scan_flows_v WHERE flag_bits & 2 > 0 AND flag_bits & 16 = 0 AND packet_count < 5 GROUP BY 1 HAVING count(DISTINCT (dst_ip, dst_port)) >= 10) c""", NAMES_CTE)
+  SELECT src_ip FROM scan_flows_v WHERE flag_bits & 2 > 0 AND flag_bits & 16 = 0 AND packet_count < 5 GROUP BY 1 HAVING count(DISTINCT (dst_ip, dst_port)) >= 10) c"""
+
+
+@query("display_filters_anomalies", ["scan_flows_v", "dns_v"], _ANOMALY_ROWS, NAMES_CTE)
 def display_filters_anomalies(spark, sf):
-    found = anomalies.dns_anomalies(view(spark, sf, "dns_v")).unionByName(anomalies.scan_anomalies(view(spark, sf, "scan_flows_v")))
-    return D.filters_from_anomalies(found).select("name", "filter", "category", "severity")
+    return D.filters_from_anomalies(_anomaly_rows(spark, sf)).select("name", "filter", "category", "severity")
+
+
+def _anomaly_rows(spark, sf):
+    by_name = anomalies.dns_anomalies(view(spark, sf, "dns_v"))
+    return by_name.unionByName(anomalies.scan_anomalies(view(spark, sf, "scan_flows_v")))
+
+
+@query("anomalies_by_severity", ["scan_flows_v", "dns_v"], f"SELECT severity, count(*) AS finding_count FROM ({_ANOMALY_ROWS}) t GROUP BY 1", NAMES_CTE)
+def anomalies_by_severity(spark, sf):
+    return count_by_severity(_anomaly_rows(spark, sf))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlens import constants as K
-from packetlens.functions import intel, names, net, text
+from packetlens.functions import intel, names, net, rank_of, text
 from packetlens.sources.lists import bundled_legit_domains
 from tests.conftest import rows_of
 
@@ -164,3 +164,12 @@ def test_threat_levels(spark):
     got = rows_of(df.select(intel.overall_threat_level().alias("l"), intel.source_count().alias("n"), intel.summary().alias("s")))
     assert [(g["l"], g["n"]) for g in got] == [("suspicious", 2), ("unknown", 0), ("clean", 2)]
     assert got[0]["s"] == "VT: 2/2 detections" and got[1]["s"] == "No threat indicators found"
+
+
+def test_pulse_names_and_ranks(spark):
+    pulses = [[(f"p{i}",) for i in range(7)], [(None,)]]
+    got = column(spark, pulses, intel.pulse_names("x"), "array<struct<name: string>>")
+    assert got == [["p0", "p1", "p2", "p3", "p4"], ["Unknown Pulse"]]
+    assert column(spark, ["critical", "info", "x"], rank_of("x", K.SEVERITY_RANK, 5)) == [0, 4, 5]
+    assert column(spark, ["Beacon", "port_scan", "other"], intel.detector_category("x")) == ["beacon", "port_scan", "custom"]
+    assert column(spark, ["malicious", "clean", "odd"], intel.cache_ttl("x")) == [21600, 86400, 14400]

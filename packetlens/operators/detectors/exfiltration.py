@@ -77,8 +77,8 @@ class ExfiltrationDetector:
         return self._sized(self.destination_profiles(flows))
 
     def in_off_hours(self, time: Column) -> Column:
-        """Between the evening and the morning hour (UTC)."""
-        hour = F.hour(F.timestamp_seconds(time))
+        """Between the evening and the morning hour, in UTC whatever the session time zone is."""
+        hour = F.floor(F.pmod(time, F.lit(86400.0)) / 3600)
         return (hour >= self.off_hours_start) | (hour < self.off_hours_end)
 
     def off_hours_transfers(self, flows: DataFrame) -> DataFrame:

@@ -79,7 +79,8 @@ _EPOCH = re.compile(r"EPOCH\((\w+)\)")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or view as a DataFrame."""
+    """A base table or view as a DataFrame. The tables hold UTC times without a zone."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     if name in BASE_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = _EPOCH.sub(r"(unix_micros(CAST(\1 AS TIMESTAMP)) / 1000000D)", VIEWS[name])

@@ -236,7 +236,8 @@ def template_subtrees(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> Data
     found = stored(found, "subtrees")
     distinct = found.select("host", "subtree", "body").distinct()
     template = distinct.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    on = found.join(template.select("host", "subtree"), ["host", "subtree"]).groupBy("page_id")
+    template = stored(template.select("host", "subtree"), "site-templates")
+    on = found.join(template, ["host", "subtree"]).groupBy("page_id")
     return stored(on.agg(F.collect_set("subtree").alias("template")), "templates")
 
 

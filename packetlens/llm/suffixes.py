@@ -37,7 +37,7 @@ GRAM = 8
 PREFIX = LENGTH - REACH + 1
 
 _BASE = 0x9E3779B97F4A7C15
-_KNOWN_WORDS = 2_000_000
+_KNOWN_WORDS = 500_000
 _known: dict[bytes, int] = {}
 _powers: list[np.ndarray] = []
 
@@ -142,7 +142,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     nobody = -(1 << 63)
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nobody)).alias("doc_id"), "text")
     suffixes = stored(named.mapInArrow(_suffixes, "key long, doc_id long, at int"), "suffixes")
-    shared = suffixes.groupBy("key").agg(*_two_documents()).filter("low <> high").select("key")
+    # Stored, so that both sides of the join are plain exchanges and a hot prefix is split there.
+    shared = stored(suffixes.groupBy("key").agg(*_two_documents()).filter("low <> high").select("key"), "shared-keys")
     kept = suffixes.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
 
     found = named.join(kept.hint("shuffle_hash"), "doc_id")
@@ -156,8 +157,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     each = once.select("low", "high", F.explode("windows").alias("window"))
     twice = each.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
+    twice = stored(twice.select("window"), "shared-windows")
     part = once.filter("low = high").select(F.col("low").alias("doc_id"), "starts", F.posexplode("windows").alias("k", "window"))
-    part = part.join(twice.select("window"), "window").select("doc_id", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"))
+    part = part.join(twice, "window").select("doc_id", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"))
     spans = spans.unionAll(part.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
     return _merged(spans).withColumn("doc_id", F.when(F.col("doc_id") != nobody, F.col("doc_id")))
 

@@ -257,7 +257,7 @@ def _texts(batches):
 
 def extract(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:
     """The main text of every page (page_id, url, html), see TEXT."""
-    template = template_subtrees(pages, min_pages).withColumnRenamed("page_id", "_he_page").hint("shuffle_hash")
+    template = template_subtrees(pages, min_pages).withColumnRenamed("page_id", "_he_page")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows = rows.join(template, F.col("page_id").eqNullSafe(F.col("_he_page")), "left")
     return rows.select("page_id", "url", "html", "template").mapInArrow(_texts, TEXT)

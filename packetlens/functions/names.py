@@ -113,7 +113,9 @@ def is_safe_domain(name: Column | str) -> Column:
 
 def has_benign_suffix(name: Column | str) -> Column:
     """Under a parent whose random-looking host names are normal."""
-    return _ends_with_any(as_col(name), K.BENIGN_HIGH_ENTROPY_SUFFIXES)
+    # Whole labels: a name that merely ends in the same letters is not exempt.
+    listed = "|".join(s.lstrip(".").replace(".", r"\.") for s in K.BENIGN_HIGH_ENTROPY_SUFFIXES)
+    return as_col(name).rlike(rf"(^|\.)({listed})$")
 
 
 def normalize_lookalike(name: Column | str) -> Column:
@@ -168,10 +170,10 @@ def tunnel_tools(name: Column | str) -> Column:
 
 
 def hosting_service(sni: Column | str) -> Column:
-    """The longest listed cloud or paste domain the server name ends with, else NULL."""
+    """The longest listed cloud or paste domain that is the server name or a parent of it, else NULL."""
     sni = F.lower(as_col(sni))
     listed = sorted(K.CLOUD_STORAGE_DOMAINS + K.PASTE_DOMAINS, key=lambda d: (-len(d), d))
-    return F.coalesce(*[F.when(sni.endswith(d), F.lit(d)) for d in listed])
+    return F.coalesce(*[F.when((sni == d) | sni.endswith(f".{d}"), F.lit(d)) for d in listed])
 
 
 def is_valid_domain(name: Column | str) -> Column:

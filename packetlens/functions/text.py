@@ -68,5 +68,12 @@ def format_duration(seconds: Column | str) -> Column:
 
 
 def iso_time(epoch: Column | str) -> Column:
-    """Epoch seconds as ISO text in the session time zone."""
-    return F.date_format(F.timestamp_seconds(as_col(epoch)), "yyyy-MM-dd'T'HH:mm:ss")
+    """Epoch seconds as ISO text in UTC, whatever the session's time zone."""
+    text = utc_text(F.timestamp_seconds(as_col(epoch)))
+    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8))
+
+
+def utc_text(instant: Column) -> Column:
+    """A TIMESTAMP as ``yyyy-MM-dd HH:mm:ss`` in UTC. Zone-less times add no offset, so the session's zone has no say."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.substring(F.timestamp_add("SECOND", F.floor(F.unix_micros(instant) / 1_000_000), start).cast("string"), 1, 19)

@@ -43,9 +43,12 @@ def split_by_cache(indicators: DataFrame, cache: DataFrame, now: float) -> tuple
 
 def merge_cache(cache: DataFrame, results: DataFrame, now: float) -> DataFrame:
     """The cache with new results; the newest entry of a key wins."""
-    both = cache.unionByName(cache_entries(results, now), allowMissingColumns=True)
-    rest = [c for c in both.columns if c != "cache_key"]
-    newest = both.groupBy("cache_key").agg(F.max_by(F.struct(*rest), "created_at").alias("_e"))
+    added = cache_entries(results, now).withColumn("_source", F.lit(1))
+    both = cache.withColumn("_source", F.lit(0)).unionByName(added, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in ("cache_key", "_source")]
+    # Of entries as old as each other the one that was added wins.
+    order = F.struct("created_at", "_source", "expires_at")
+    newest = both.groupBy("cache_key").agg(F.max_by(F.struct(*rest), order).alias("_e"))
     return newest.select("cache_key", *[F.col(f"_e.{c}").alias(c) for c in rest])
 
 

@@ -200,7 +200,7 @@ class PortScanDetector:
                 "unique_ports": c("unique_ports"),
                 "port_range": F.concat(c("min_port"), F.lit("-"), c("max_port")),
                 "sequential_runs": c("sequential_runs"),
-                "sensitive_ports_hit": F.array_join(F.slice("sensitive_ports_hit", 1, 20).cast("array<string>"), ","),
+                "sensitive_ports_hit": F.array_join(F.col("sensitive_ports_hit").cast("array<string>"), ","),
                 "total_connections": c("total_connections"),
                 "failure_rate": F.bround("failure_rate", 3),
             },
@@ -278,13 +278,23 @@ class PortScanDetector:
             ],
         )
 
+    def _scan_addresses(self, flows: DataFrame, found: DataFrame, rule: str) -> DataFrame:
+        """The scanner and every host it tried, as rows; only the list shown in the finding is cut."""
+        key = finding_key(self.name, rule, F.col("src_ip")).alias("finding_id")
+        scanners = found.select("src_ip")
+        tried = (
+            flows.where(F.col("protocol") == "TCP").select("src_ip", "dst_ip").distinct().join(scanners, "src_ip", "left_semi")
+        )
+        both = scanners.withColumn("ip", F.col("src_ip")).unionAll(tried)
+        return both.select(key, F.lit(self.name).alias("detector"), "ip")
+
     def addresses(self, tables: Tables) -> DataFrame:
         flows = tables.flows
         listed = reduce(
             DataFrame.unionByName,
             [
-                listed_addresses(self._horizontal_findings(flows)),
-                listed_addresses(self._vertical_findings(flows)),
+                self._scan_addresses(flows, self.horizontal(flows), "horizontal"),
+                self._scan_addresses(flows, self.vertical(flows), "vertical"),
                 self.stealth(flows).select(
                     finding_key(self.name, "stealth", F.col("src_ip")).alias("finding_id"),
                     F.lit(self.name).alias("detector"),

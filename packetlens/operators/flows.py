@@ -24,13 +24,17 @@ class Tables:
     tls: DataFrame | None = None
 
 
-def _last_app_protocol() -> Column:
-    """Last application protocol that is not UNKNOWN, as one BIGINT: time in microseconds, then protocol number.
+def _last_app_protocol(seq: Column | None) -> Column:
+    """Last application protocol that is not UNKNOWN, as one number: time in microseconds, place in the file, protocol.
 
-    A number keeps the aggregate in the hash table; text or struct state would make Spark sort instead.
+    A number keeps the aggregate in the hash table; text or struct state would make Spark sort instead. Without
+    ``seq``, of packets in one microsecond the highest protocol number counts.
     """
     number = F.array_position(F.array(*[F.lit(p) for p in K.APP_PROTOCOLS]), F.col("app_protocol"))
     micros = F.round(F.col("ts") * 1_000_000).cast("bigint")
+    if seq is not None:
+        place = F.pmod(F.coalesce(seq.cast("bigint"), F.lit(0)), F.lit(1 << 44)).cast("decimal(14,0)")
+        micros = (micros.cast("decimal(19,0)") * F.lit(1 << 44).cast("decimal(15,0)") + place).cast("decimal(36,0)")
     return F.max(F.when(number > 0, micros * 16 + number))
 
 
@@ -54,7 +58,7 @@ def build_flows(packets: DataFrame) -> DataFrame:
             F.min("ts").alias("start_time"),
             F.max("ts").alias("end_time"),
             F.bit_or("flag_bits").alias("flag_bits"),
-            _last_app_protocol().alias("_app"),
+            _last_app_protocol(F.col("seq") if "seq" in packets.columns else None).alias("_app"),
         )
         .withColumn("app_protocol", _app_protocol_name(F.col("_app")))
         .drop("_app")

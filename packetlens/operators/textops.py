@@ -19,11 +19,15 @@ _FIELDS = r"(?i)(?:" + "|".join(f.replace(".", r"\.") for f in K.REPORT_FILTER_F
 _TITLE = "EXECUTIVE SUMMARY"
 
 
-def mentioned_ips(text: Column | str, at_most: int = 20) -> Column:
-    """Distinct public addresses in a text, in text order, at most twenty."""
+def _first(items: Column, at_most: int | None) -> Column:
+    return items if at_most is None else F.slice(items, 1, at_most)
+
+
+def mentioned_ips(text: Column | str, at_most: int | None = None) -> Column:
+    """Distinct public addresses in a text, in text order; all of them unless ``at_most`` is given."""
     found = F.array_distinct(F.regexp_extract_all(as_col(text), F.lit(_QUAD), F.lit(0)))
     public = F.filter(found, lambda ip: ip.rlike(_OCTETS) & ~ip.rlike(_LOCAL))
-    return F.slice(F.array_sort(public), 1, at_most)
+    return _first(F.array_sort(public), at_most)
 
 
 def report_threat_level(text: Column | str) -> Column:
@@ -40,7 +44,7 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def executive_summary(text: Column | str, max_chars: int = 1000) -> Column:
+def executive_summary(text: Column | str, max_chars: int | None = None) -> Column:
     """Text between the summary heading and the next heading; NULL without a summary heading."""
     text = as_col(text)
     start = F.instr(F.upper(text), _TITLE)
@@ -54,14 +58,14 @@ def executive_summary(text: Column | str, max_chars: int = 1000) -> Column:
     end = F.coalesce(F.least(*[next_heading(m) for m in ("## ", "### ", "# ")]), F.length(text) + 1)
     section = _stripped(F.substr(text, start, end - start))
     body = _stripped(F.regexp_replace(section, r"^[^\n]*\n?", ""))
-    return F.when((start > 0) & (end > start), F.substring(body, 1, max_chars))
+    return F.when((start > 0) & (end > start), body if max_chars is None else F.substring(body, 1, max_chars))
 
 
-def quoted_filters(text: Column | str, at_most: int = 10) -> Column:
-    """Distinct filter expressions of a text that names the packet viewer, at most ten."""
+def quoted_filters(text: Column | str, at_most: int | None = None) -> Column:
+    """Distinct filter expressions of a text that names the packet viewer; all unless ``at_most`` is given."""
     text = as_col(text)
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(_FIELDS), F.lit(0))))
-    return F.when(F.upper(text).contains("WIRESHARK"), F.slice(found, 1, at_most)).otherwise(
+    return F.when(F.upper(text).contains("WIRESHARK"), _first(found, at_most)).otherwise(
         F.array().cast("array<string>")
     )
 

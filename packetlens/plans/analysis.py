@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.operators import anomalies, filters, indicators, intel, stats
@@ -61,6 +61,20 @@ def compute_statistics(tables: Tables, bucket_seconds: int = 60, top_n: int = 20
     return out
 
 
+def first_produced() -> list[Column]:
+    """The order in which display filters are made: findings by severity and confidence, then look-ups; ties by name."""
+    levels = F.array(*[F.lit(x) for x in ("critical", "high", "medium", "low", "info")])
+    rank = F.array_position(levels, F.lower("severity"))
+    return [
+        F.col("related_finding_id").isNull(),
+        F.when(rank > 0, rank).otherwise(9),
+        -F.coalesce(F.col("confidence"), F.lit(0.0)),
+        F.col("category"),
+        F.col("name"),
+        F.col("related_finding_id"),
+    ]
+
+
 def analyze(
     spark: SparkSession,
     tables: Tables,
@@ -80,14 +94,16 @@ def analyze(
     findings = cut_lineage(run_detectors(tables))
     selected = indicators.select_indicators(tables.flows, tables.dns, tables.tls, legit, share, largest)
     enriched = cut_lineage(intel.cascade(selected.select("value", "indicator_type"), otx, abuse, vt))
+    sections = compute_statistics(tables)
     made = filters.filters_from_findings(findings).unionByName(filters.filters_from_enrichment(enriched))
-    return compute_statistics(tables) | {
+    made = made.unionByName(filters.filters_from_anomalies(sections["anomalies"]))
+    return sections | {
         "findings": findings,
         "finding_ips": finding_addresses(tables),
         "indicators": selected,
         "enriched": enriched,
         "flagged_indicators": intel.flagged_indicators(enriched),
-        "filters": filters.deduplicate(made, [F.col("category"), F.col("name")]),
+        "filters": filters.deduplicate(made, first_produced()),
     }
 
 

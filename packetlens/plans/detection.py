@@ -250,7 +250,7 @@ def protocol_exfil(spark, sf):
 @query("cloud_storage_access", ["tls_v"], f"""
 SELECT domain, CASE WHEN domain IN {S.in_list(K.PASTE_DOMAINS)} THEN 'paste_site' ELSE 'cloud_storage' END AS category, count(*) AS connection_count
 FROM (SELECT arg_max(d, length(d)) AS domain FROM (SELECT row_number() OVER () AS id, lower(sni) AS s FROM tls_v) t,
-  (SELECT unnest({S.sql_list(K.CLOUD_STORAGE_DOMAINS + K.PASTE_DOMAINS)}) AS d) l WHERE ends_with(s, d) GROUP BY id) m GROUP BY domain""")
+  (SELECT unnest({S.sql_list(K.CLOUD_STORAGE_DOMAINS + K.PASTE_DOMAINS)}) AS d) l WHERE ends_with('.' || s, '.' || d) GROUP BY id) m GROUP BY domain""")
 def cloud_storage_access(spark, sf):
     return ExfiltrationDetector().hosting_access(view(spark, sf, "tls_v"))
 
@@ -292,7 +292,7 @@ profile AS (SELECT parent, CAST(sum(queries) AS BIGINT) AS query_count, count(su
 points AS (SELECT *, CAST(CASE WHEN avg_entropy >= 3.5 THEN 30 ELSE 0 END + CASE WHEN unique_subdomains >= 20 THEN 25 ELSE 0 END
   + CASE WHEN avg_subdomain_length >= 30 THEN 20 ELSE 0 END + CASE WHEN txt_query_count / query_count >= 0.3 THEN 15 ELSE 0 END
   + CASE WHEN null_query_count > 0 THEN 10 ELSE 0 END AS INTEGER) AS points
-  FROM profile WHERE query_count >= 3 AND NOT regexp_matches(parent, '({'|'.join(d.replace('.', '[.]') for d in K.BENIGN_HIGH_ENTROPY_SUFFIXES)})$'))
+  FROM profile WHERE query_count >= 3 AND NOT regexp_matches(parent, '(^|[.])({'|'.join(d.lstrip('.').replace('.', '[.]') for d in K.BENIGN_HIGH_ENTROPY_SUFFIXES)})$'))
 """
 
 
@@ -393,7 +393,7 @@ def dns_long_subdomains(spark, sf):
 @query("dns_entropy_anomalies", ["dns_v"], """
 SELECT parent, query_count, sample_queries FROM (SELECT parent, CAST(sum(query_count) AS BIGINT) AS query_count,
   array_to_string(list_sort(list(query_name))[1:5], ',') AS sample_queries FROM high GROUP BY 1) t
-WHERE (SELECT sum(query_count) FROM high) > 5 ORDER BY query_count DESC, parent LIMIT 5""", NAMES_CTE)
+WHERE (SELECT sum(query_count) FROM high) > 5""", NAMES_CTE)
 def dns_entropy_anomalies(spark, sf):
     return anomalies.random_name_parents(view(spark, sf, "dns_v")).withColumn(
         "sample_queries", F.array_join("sample_queries", ","))
@@ -401,18 +401,25 @@ def dns_entropy_anomalies(spark, sf):
 
 @query("dns_entropy_sources", ["dns_v"], f"""
 SELECT DISTINCT {S.simple_parent('query_name')} AS parent, src_ip AS ip FROM dns_v WHERE query_name IN (SELECT query_name FROM high)
-AND {S.simple_parent('query_name')} IN (SELECT parent FROM high GROUP BY 1 ORDER BY sum(query_count) DESC, parent LIMIT 5)""", NAMES_CTE)
+AND {S.simple_parent('query_name')} IN (SELECT parent FROM high)""", NAMES_CTE)
 def dns_entropy_sources(spark, sf):
     return anomalies.random_name_sources(view(spark, sf, "dns_v"))
 
 
 @query("dns_tld_anomalies", ["dns_v"], f"""
 SELECT * FROM (SELECT '.' || split_part(query_name, '.', -1) AS tld, count(*) AS query_count FROM dns_v WHERE {_TLD10}
-GROUP BY 1 ORDER BY query_count DESC, tld LIMIT 3) t WHERE query_count > 3""")
+GROUP BY 1) t WHERE query_count > 3""")
 def dns_tld_anomalies(spark, sf):
     return anomalies.suspicious_tlds(view(spark, sf, "dns_v"))
 
 
+@query("dns_tld_sources", ["dns_v"], f"""
+SELECT DISTINCT '.' || split_part(query_name, '.', -1) AS tld, src_ip AS ip FROM dns_v WHERE {_TLD10}
+  AND split_part(query_name, '.', -1) IN (SELECT split_part(query_name, '.', -1) FROM dns_v WHERE {_TLD10} GROUP BY 1 HAVING count(*) > 3)""")
+def dns_tld_sources(spark, sf):
+    return anomalies.suspicious_tld_sources(view(spark, sf, "dns_v"))
+
+
 @query("domain_parts", ["dns_v"], f"""
 SELECT query_name, {S.simple_parent('query_name')} AS parent_domain, {S.simple_subdomain('query_name')} AS subdomain,
   {S.registered_parent('query_name')} AS registered_parent, {S.subdomain_under('query_name', S.registered_parent('query_name'))} AS subdomain_under,
@@ -468,7 +475,7 @@ rapid AS (SELECT src_ip, arg_min(n, start_time) AS k FROM (SELECT src_ip, start_
 tools AS (SELECT tool, count(*) AS n FROM dns_v, (SELECT unnest(['dnscat', 'dns2tcp', 'iodine']) AS tool) t WHERE contains(lower(query_name), '.' || tool || '.') GROUP BY 1),
 vol AS (SELECT sum(length(query_name) + response_size) AS b FROM dns_v),
 hosting AS (SELECT d AS domain, d IN {S.in_list(K.PASTE_DOMAINS)} AS paste, count(*) AS n FROM (SELECT arg_max(d, length(d)) AS d FROM (SELECT row_number() OVER () AS id, lower(sni) AS s FROM tls_v) t,
-  (SELECT unnest({S.sql_list(K.CLOUD_STORAGE_DOMAINS + K.PASTE_DOMAINS)}) AS d) l WHERE ends_with(s, d) GROUP BY id) m GROUP BY d),
+  (SELECT unnest({S.sql_list(K.CLOUD_STORAGE_DOMAINS + K.PASTE_DOMAINS)}) AS d) l WHERE ends_with('.' || s, '.' || d) GROUP BY id) m GROUP BY d),
 found(detector, rule, severity, confidence, title, display_filter) AS (
   SELECT 'beacon', 'beacon', CASE WHEN confidence >= 0.9 AND known IS NOT NULL THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END, CAST(confidence AS DOUBLE),
     concat('C2 Beacon Pattern: ', src_ip, ' → ', dst_ip, ':', dst_port), concat('ip.src == ', src_ip, ' && ip.dst == ', dst_ip, ' && tcp.dstport == ', dst_port) FROM conf
@@ -510,8 +517,8 @@ SELECT DISTINCT detector, ip FROM (
   UNION ALL SELECT 'dns_tunnel', src_ip FROM named WHERE parent IN (SELECT parent FROM points WHERE points >= 35)
   UNION ALL SELECT 'port_scan', src_ip FROM prof WHERE (unique_hosts >= 10 AND unique_ports <= 5 AND unique_hosts / greatest(unique_ports, 1) >= 3) OR (unique_ports >= 20 AND unique_hosts <= 3) OR failed_connections / total_connections >= 0.8
   UNION ALL SELECT 'port_scan', src_ip FROM rapid
-  UNION ALL SELECT 'port_scan', dst_ip FROM (SELECT src_ip, dst_ip, row_number() OVER (PARTITION BY src_ip ORDER BY dst_ip) AS rn FROM (SELECT DISTINCT src_ip, dst_ip FROM scan_flows_v) d) r
-    JOIN prof USING (src_ip) WHERE (rn <= 20 AND unique_hosts >= 10 AND unique_ports <= 5 AND unique_hosts / greatest(unique_ports, 1) >= 3) OR (rn <= 5 AND unique_ports >= 20 AND unique_hosts <= 3)) u""", FINDING_CTE)
+  UNION ALL SELECT 'port_scan', dst_ip FROM (SELECT DISTINCT src_ip, dst_ip FROM scan_flows_v) r
+    JOIN prof USING (src_ip) WHERE (unique_hosts >= 10 AND unique_ports <= 5 AND unique_hosts / greatest(unique_ports, 1) >= 3) OR (unique_ports >= 20 AND unique_hosts <= 3)) u""", FINDING_CTE)
 def finding_addresses_query(spark, sf):
     return finding_addresses(_finding_tables(spark, sf)).select("detector", "ip").distinct()
 
@@ -526,9 +533,9 @@ def display_filters_findings(spark, sf):
 
 _ANOMALY_ROWS = f"""
 SELECT 'DNS Tunnel: ' || parent AS name, 'dns.qry.name contains "' || parent || '"' AS filter, 'dns_tunnel' AS category, 'high' AS severity FROM (
-  SELECT parent, sum(query_count) AS c FROM high WHERE (SELECT sum(query_count) FROM high) > 5 GROUP BY 1 ORDER BY c DESC, parent LIMIT 5) a
+  SELECT parent, sum(query_count) AS c FROM high WHERE (SELECT sum(query_count) FROM high) > 5 GROUP BY 1) a
 UNION ALL SELECT 'Suspicious TLD: ' || tld, 'dns.qry.name contains "' || tld || '"', 'suspicious_dns', 'medium' FROM (
-  SELECT '.' || split_part(query_name, '.', -1) AS tld, count(*) AS c FROM dns_v WHERE {_TLD10} GROUP BY 1 ORDER BY c DESC, tld LIMIT 3) b WHERE c > 3
+  SELECT '.' || split_part(query_name, '.', -1) AS tld, count(*) AS c FROM dns_v WHERE {_TLD10} GROUP BY 1) b WHERE c > 3
 UNION ALL SELECT 'Port Scan from ' || src_ip, concat('ip.src == ', src_ip, ' && tcp.flags.syn == 1 && tcp.flags.ack == 0'), 'port_scan', 'medium' FROM (
   SELECT src_ip FROM scan_flows_v WHERE flag_bits & 2 > 0 AND flag_bits & 16 = 0 AND packet_count < 5 GROUP BY 1 HAVING count(DISTINCT (dst_ip, dst_port)) >= 10) c"""
 

@@ -580,8 +580,8 @@ _PUBLIC = ("list_filter(list_distinct(" + _QUADS + "), lambda x: CAST(split_part
 
 
 @query("text_ips", [], f"""
-SELECT 'doc' AS kind, doc_id AS id, 0::BIGINT AS turn, unnest(list_sort({_PUBLIC})[1:20]) AS ip FROM documents
-UNION ALL SELECT 'conv', conv_id, turn, unnest(list_sort({_PUBLIC})[1:20]) FROM conversations""")
+SELECT 'doc' AS kind, doc_id AS id, 0::BIGINT AS turn, unnest(list_sort({_PUBLIC})) AS ip FROM documents
+UNION ALL SELECT 'conv', conv_id, turn, unnest(list_sort({_PUBLIC})) FROM conversations""")
 def text_ips(spark, sf):
     docs = view(spark, sf, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
     conv = view(spark, sf, "conversations").select(F.lit("conv").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
@@ -612,7 +612,7 @@ def text_threat_level(spark, sf):
 
 
 @query("text_summary", [], r"""
-SELECT doc_id, CASE WHEN s > 0 THEN left(regexp_replace(regexp_replace(regexp_replace(substr(text, s, e - s), '^\s+|\s+$', '', 'g'), '^[^\n]*\n?', ''), '^\s+|\s+$', '', 'g'), 1000) END AS executive_summary
+SELECT doc_id, CASE WHEN s > 0 THEN regexp_replace(regexp_replace(regexp_replace(substr(text, s, e - s), '^\s+|\s+$', '', 'g'), '^[^\n]*\n?', ''), '^\s+|\s+$', '', 'g') END AS executive_summary
 FROM (SELECT doc_id, text, s, coalesce(list_min(list_filter([CASE WHEN instr(rest, m) > 1 THEN s + 19 + instr(rest, m) END FOR m IN ['## ', '### ', '# ']], lambda x: x IS NOT NULL)), length(text) + 1) AS e
   FROM (SELECT doc_id, text, instr(upper(text), 'EXECUTIVE SUMMARY') AS s, substr(text, instr(upper(text), 'EXECUTIVE SUMMARY') + 20) AS rest FROM reports) a) b""", _REPORTS_CTE)
 def text_summary(spark, sf):
@@ -623,7 +623,7 @@ _FIELDS_RE = "(?:" + "|".join(f.replace(".", "[.]") for f in K.REPORT_FILTER_FIE
 
 
 @query("text_filters", [], f"""
-SELECT doc_id, unnest(list_sort(list_distinct(regexp_extract_all(text, '{_FIELDS_RE}', 0, 'i')))[1:10]) AS filter
+SELECT doc_id, unnest(list_sort(list_distinct(regexp_extract_all(text, '{_FIELDS_RE}', 0, 'i')))) AS filter
 FROM reports WHERE contains(upper(text), 'WIRESHARK')""", _REPORTS_CTE)
 def text_filters(spark, sf):
     return _reports(spark, sf).select("doc_id", F.explode(textops.quoted_filters("text")).alias("filter"))

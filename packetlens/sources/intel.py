@@ -48,8 +48,8 @@ def _union_of(arrays: Column, kind: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(present)))
 
 
-def shape_otx(responses: DataFrame) -> DataFrame:
-    """Pulse count, the first ten pulses, all tags, the tags that name malware, place."""
+def shape_otx(responses: DataFrame, max_pulses: int | None = None) -> DataFrame:
+    """Pulse count, the pulses (the first ``max_pulses``, if given), all tags, the tags that name malware, place."""
     r = F.col("r")
     pulses = r["pulse_info"]["pulses"]
     word = "|".join(K.MALWARE_KEYWORDS)
@@ -57,7 +57,7 @@ def shape_otx(responses: DataFrame) -> DataFrame:
         "indicator",
         "indicator_type",
         F.coalesce(r["pulse_info"]["count"], F.lit(0)).alias("pulse_count"),
-        F.slice(pulses, 1, 10).alias("pulses"),
+        (pulses if max_pulses is None else F.slice(pulses, 1, max_pulses)).alias("pulses"),
         _union_of(F.transform(pulses, lambda p: p["tags"]), "string").alias("tags"),
         r["country_code"].alias("country_code"),
         r["country_name"].alias("country_name"),

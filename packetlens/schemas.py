@@ -1,6 +1,6 @@
 """Table schemas, as DDL strings. Times are epoch seconds (DOUBLE) throughout."""
 
-FRAMES = "capture STRING, seq BIGINT, ts DOUBLE, link_type INT, frame BINARY"
+FRAMES = "capture STRING, seq BIGINT, ts DOUBLE, link_type INT, frame BINARY, problem STRING, place BIGINT"
 
 PACKETS = (
     "capture STRING, seq BIGINT, ts DOUBLE, src_ip STRING, dst_ip STRING, protocol STRING, "

@@ -27,7 +27,8 @@ BATCH_BYTES = 16 * 1024 * 1024
 
 _RANGES = "path STRING, start BIGINT, end BIGINT, first_seq BIGINT, state STRING"
 _FRAME_ARROW = pa.schema(
-    [("capture", pa.string()), ("seq", pa.int64()), ("ts", pa.float64()), ("link_type", pa.int32()), ("frame", pa.binary())]
+    [("capture", pa.string()), ("seq", pa.int64()), ("ts", pa.float64()), ("link_type", pa.int32()), ("frame", pa.binary()),
+     ("problem", pa.string()), ("place", pa.int64())]
 )
 _RANGE_ARROW = pa.schema(
     [("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("first_seq", pa.int64()), ("state", pa.string())]
@@ -70,7 +71,7 @@ class _Window:
     """Reads forward through a file in large blocks."""
 
     def __init__(self, source, start: int, block: int = 4 * 1024 * 1024):
-        self.source, self.block = source, block
+        self.source, self.block, self.length = source, block, source.size()
         self.base, self.data = start, b""
 
     def take(self, at: int, size: int) -> bytes:
@@ -84,24 +85,39 @@ class _Window:
 # ---- records -------------------------------------------------------------------------------
 
 
+# A record that can't be read is yielded too, with a problem instead of a frame: ``damaged`` (impossible lengths or
+# references) or ``truncated`` (the file ends inside it). Nothing is dropped without such a row, nothing raises.
+_MAX_FRAME = 256 * 1024
+
+
 def _classic_state(head: bytes) -> dict | None:
     if len(head) < 24 or head[:4] not in _MAGIC:
         return None
     order, fraction = _MAGIC[head[:4]]
-    return {"kind": "pcap", "order": order, "fraction": fraction, "link": struct.unpack(order + "I", head[20:24])[0]}
+    snap, link = struct.unpack(order + "II", head[16:24])
+    return {"kind": "pcap", "order": order, "fraction": fraction, "link": link, "most": max(snap, _MAX_FRAME)}
 
 
 def _classic_records(window: _Window, at: int, end: int, state: dict, want_data: bool):
-    """(position, next position, time, link type, frame) of each record that starts before ``end``."""
-    header = struct.Struct(state["order"] + "IIII")
+    """(position, next position, time, link type, frame, problem) of each record that starts before ``end``.
+
+    After a record with impossible lengths the next one can't be found: the rest of the file is that one row.
+    """
+    header, link, size_of_file = struct.Struct(state["order"] + "IIII"), state["link"], window.length
     while at < end:
         head = window.take(at, 16)
         if len(head) < 16:
+            yield at, size_of_file, 0.0, link, None, "truncated"
             return
         sec, frac, size, _ = header.unpack(head)
+        following = at + 16 + size
+        problem = "damaged" if size > state["most"] or frac >= state["fraction"] else "truncated" if following > size_of_file else None
+        if problem:
+            yield at, size_of_file, 0.0, link, None, problem
+            return
         data = window.take(at + 16, size) if want_data else b""
-        yield at, at + 16 + size, sec + frac / state["fraction"], state["link"], data
-        at += 16 + size
+        yield at, following, sec + frac / state["fraction"], link, data, None
+        at = following
 
 
 def _options(body: bytes, at: int, order: str) -> Iterator[tuple[int, bytes]]:
@@ -114,45 +130,78 @@ def _options(body: bytes, at: int, order: str) -> Iterator[tuple[int, bytes]]:
 
 
 def _interface(body: bytes, order: str) -> dict:
-    link, _, _ = struct.unpack_from(order + "HHI", body, 0)
+    link, _, snap = struct.unpack_from(order + "HHI", body, 0)
     units, offset = 1e6, 0
     for code, value in _options(body, 8, order):
         if code == 9 and value:
             units = float(2 ** (value[0] & 0x7F)) if value[0] & 0x80 else 10.0 ** value[0]
         elif code == 14 and len(value) == 8:
             offset = struct.unpack(order + "q", value)[0]
-    return {"link": link, "units": units, "offset": offset}
+    return {"link": link, "units": units, "offset": offset, "snap": snap}
 
 
 def _ng_records(window: _Window, at: int, end: int, state: dict, want_data: bool):
-    """The same for pcapng. ``state`` follows sections and interfaces as blocks go by."""
+    """The same for pcapng. ``state`` follows sections and interfaces as blocks go by.
+
+    A block whose own lengths agree is skipped when its content is damaged, and reading goes on after it.
+    """
+    size_of_file = window.length
     while at < end:
         head = window.take(at, 12)
-        if len(head) < 12:
-            return
-        if struct.unpack_from("<I", head)[0] == _SECTION:
-            state["order"] = "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
-            state["interfaces"] = []
+        problem = "truncated" if len(head) < 12 else None
+        if not problem and struct.unpack_from("<I", head)[0] == _SECTION:
+            order = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}.get(head[8:12])
+            if order is None:
+                problem = "damaged"
+            else:
+                state["order"], state["interfaces"] = order, []
         order = state["order"]
-        kind, size = struct.unpack_from(order + "II", head)
-        if size < 12:
+        kind, size = struct.unpack_from(order + "II", head) if len(head) >= 8 else (0, 0)
+        if not problem and (size < 12 or size % 4):
+            problem = "damaged"
+        if not problem and at + size > size_of_file:
+            problem = "truncated"
+        if not problem and window.take(at + size - 4, 4) != head[4:8]:
+            problem = "damaged"
+        if problem:
+            yield at, size_of_file, 0.0, -1, None, problem
             return
         if kind == 1:
-            state["interfaces"].append(_interface(window.take(at + 8, size - 12), order))
-        elif kind in (2, 6):
-            fixed = window.take(at + 8, 20)
-            if len(fixed) < 20:
-                return
-            number, high, low, captured, _ = struct.unpack(order + "IIIII", fixed)
-            face = state["interfaces"][number & (0xFFFF if kind == 2 else 0xFFFFFFFF)]
-            data = window.take(at + 28, captured) if want_data else b""
-            yield at, at + size, face["offset"] + ((high << 32) | low) / face["units"], face["link"], data
-        elif kind == 3 and state["interfaces"]:
-            data = window.take(at + 12, size - 16) if want_data else b""
-            yield at, at + size, 0.0, state["interfaces"][0]["link"], data
+            face = _interface(window.take(at + 8, size - 12), order) if size >= 20 else None
+            state["interfaces"].append(face)
+            if face is None:
+                yield at, at + size, 0.0, -1, None, "damaged"
+        elif kind in (2, 3, 6):
+            yield _ng_packet(window, at, size, kind, state, want_data)
         at += size
 
 
+def _ng_packet(window: _Window, at: int, size: int, kind: int, state: dict, want_data: bool):
+    """One packet block: enhanced (6), obsolete (2, a 16-bit interface number first) or simple (3)."""
+    faces, order = state["interfaces"], state["order"]
+    bad = (at, at + size, 0.0, -1, None, "damaged")
+    if size < (16 if kind == 3 else 32):
+        return bad
+    if kind == 3:
+        (captured,) = struct.unpack(order + "I", window.take(at + 8, 4))
+        number, begin, stamp = 0, at + 12, None
+        most = size - 16
+        snap = faces[0]["snap"] if faces and faces[0] else 0
+        captured = min(captured, most, snap or most)
+    else:
+        number, _, high, low, captured, _ = struct.unpack(order + "HHIIII", window.take(at + 8, 20))
+        if kind == 6:
+            (number,) = struct.unpack(order + "I", window.take(at + 8, 4))
+        begin, stamp = at + 28, (high << 32) | low
+        if captured > size - 32:
+            return bad
+    if number >= len(faces) or faces[number] is None:
+        return bad
+    face = faces[number]
+    time = 0.0 if stamp is None else face["offset"] + stamp / face["units"]
+    return at, at + size, time, face["link"], window.take(begin, captured) if want_data else b"", None
+
+
 def _start_state(window: _Window) -> tuple[dict, int] | None:
     """Reader state and first record position of a file, or None when it is no capture."""
     head = window.take(0, 24)
@@ -183,7 +232,7 @@ def _index_files(split_bytes: int):
                 return [(path, 0, length, 0, None)]
             state, start = begun
             found, first_seq, seq, mark = [], 0, 0, json.dumps(state)
-            for _, following, _, _, _ in _records(window, start, length, state, want_data=False):
+            for _, following, *_ in _records(window, start, length, state, want_data=False):
                 seq += 1
                 if following - start >= split_bytes:
                     found.append((path, start, following, first_seq, mark))
@@ -211,8 +260,8 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read_range(path: str, start: int, end: int, first_seq: int, state: str | None) -> Iterator[pa.RecordBatch]:
-    def packed(seqs, times, links, frames):
-        columns = [pa.array([path] * len(seqs), pa.string()), seqs, times, links, frames]
+    def packed(seqs, times, links, frames, problems, places):
+        columns = [pa.array([path] * len(seqs), pa.string()), seqs, times, links, frames, problems, places]
         return pa.RecordBatch.from_arrays(
             [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _FRAME_ARROW.types)],
             schema=_FRAME_ARROW,
@@ -223,28 +272,28 @@ def _read_range(path: str, start: int, end: int, first_seq: int, state: str | No
         if state is None:
             begun = _start_state(window)
             if begun is None:
-                yield packed([0], [0.0], [-1], [None])
+                yield packed([0], [0.0], [-1], [None], ["unreadable"], [0])
                 return
             reader, start = begun
         else:
             reader = json.loads(state)
-        seqs, times, links, frames, size, seq = [], [], [], [], 0, first_seq
-        for _, _, ts, link, data in _records(window, start, end, reader, want_data=True):
-            seqs.append(seq)
-            times.append(ts)
-            links.append(link)
-            frames.append(data)
+        rows, size, seq = [], 0, first_seq
+        for place, _, ts, link, data, problem in _records(window, start, end, reader, want_data=True):
+            rows.append((seq, ts, link, data, problem, place))
             seq += 1
-            size += len(data)
-            if len(seqs) >= BATCH_FRAMES or size >= BATCH_BYTES:
-                yield packed(seqs, times, links, frames)
-                seqs, times, links, frames, size = [], [], [], [], 0
-        if seqs:
-            yield packed(seqs, times, links, frames)
+            size += len(data or b"")
+            if len(rows) >= BATCH_FRAMES or size >= BATCH_BYTES:
+                yield packed(*map(list, zip(*rows)))
+                rows, size = [], 0
+        if rows:
+            yield packed(*map(list, zip(*rows)))
 
 
 def read_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """All frames of the captures below ``path``: ``capture, seq, ts, link_type, frame``.
+    """All frames of the captures below ``path``: ``capture, seq, ts, link_type, frame, problem, place``.
+
+    A record that can't be read is a row with a null frame, its ``problem`` and its byte offset in ``place``.
+
 
     The driver sees two totals only: bytes, for the number of reading tasks, and the number of
     large files, for the number of indexing tasks.

@@ -59,9 +59,14 @@ class _Frames:
     def u32(self, at):
         return (self.u16(at) << 16) | self.u16(at + 2)
 
-    def bytes_at(self, row: int, at: int, end: int) -> bytes:
-        begin = int(self.start[row])
-        return self.raw[begin + at : begin + max(at, end)].tobytes()
+    def slices(self, at: np.ndarray, size: np.ndarray, where: np.ndarray) -> pa.Array:
+        """``size`` bytes at ``at`` of the rows ``where``, null elsewhere, without a loop over rows."""
+        size = np.where(where, size, 0)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(self.start + at - offsets[:-1], size) + np.arange(offsets[-1])
+        valid = np.packbits(where, bitorder="little")
+        buffers = [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(self.raw[place].tobytes())]
+        return pa.Array.from_buffers(pa.binary(), len(where), buffers)
 
 
 def _v4_text(numbers: np.ndarray) -> np.ndarray:
@@ -70,22 +75,39 @@ def _v4_text(numbers: np.ndarray) -> np.ndarray:
     return text[where] if len(text) else np.array([], dtype=object)
 
 
-def _v6_text(f: _Frames, rows: np.ndarray, at: np.ndarray) -> list[str]:
-    return [socket.inet_ntop(socket.AF_INET6, f.bytes_at(r, a, a + 16)) for r, a in zip(rows.tolist(), at.tolist())]
+def _v6_text(f: _Frames, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    raw = np.ascontiguousarray(f.raw[(f.start[rows] + at)[:, None] + np.arange(16)]).view("V16").ravel()
+    values, where = np.unique(raw, return_inverse=True)
+    return np.array([socket.inet_ntop(socket.AF_INET6, v.tobytes()) for v in values], dtype=object)[where]
 
 
-def _decode_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    f = _Frames(batch["frame"])
-    n = len(f.size)
-    zero = np.zeros(n, np.int64)
+#: Link types (fixed values): BSD loopback, Ethernet, raw IP, Linux cooked captures.
+_LOOPBACK, _ETHERNET, _RAW, _COOKED, _COOKED2 = 0, 1, 101, 113, 276
+
 
-    # Link layer: skip up to two VLAN tags.
-    l3 = zero + 14
-    kind = f.u16(zero + 12)
+def _network_layer(f: _Frames, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of the network layer and its Ethernet type, by link type; up to two VLAN tags are skipped.
+
+    Loopback and raw frames have no such type: the IP version says it.
+    """
+    zero = np.zeros(len(f.size), np.int64)
+    l3 = np.select([link == x for x in (_LOOPBACK, _RAW, _COOKED, _COOKED2)], [4, 0, 16, 20], 14) + zero
+    kind = np.select([link == _ETHERNET, link == _COOKED, link == _COOKED2], [f.u16(zero + 12), f.u16(zero + 14), f.u16(zero)], 0)
     for _ in range(2):
         tagged = np.isin(kind, _VLAN)
         kind = np.where(tagged, f.u16(l3 + 2), kind)
         l3 = np.where(tagged, l3 + 4, l3)
+    version = f.u8(l3) >> 4
+    bare = (link == _LOOPBACK) | (link == _RAW)
+    return l3, np.where(bare, np.select([version == 4, version == 6], [_IPV4, _IPV6], 0), kind)
+
+
+def _decode_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    f = _Frames(batch["frame"])
+    n = len(f.size)
+
+    link = batch["link_type"].fill_null(-1).to_numpy(zero_copy_only=False)
+    l3, kind = _network_layer(f, link)
 
     header = (f.u8(l3) & 15) * 4
     v4 = (kind == _IPV4) & (f.size >= l3 + 20) & (header >= 20)
@@ -130,18 +152,15 @@ def _decode_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         src[rows6], dst[rows6] = _v6_text(f, rows6, (l3 + 8)[rows6]), _v6_text(f, rows6, (l3 + 24)[rows6])
 
     # The first payload bytes decide HTTP and TLS; whole payloads are kept for DNS and TLS only.
-    heads: list[bytes | None] = [None] * n
-    for r in np.flatnonzero(ports & (payload > 0)).tolist():
-        at = int(payload_at[r])
-        heads[r] = f.bytes_at(r, at, at + min(6, int(payload[r])))
+    heads = f.slices(payload_at, np.minimum(payload, 6), ports & (payload > 0))
     is_dns = udp & ((sport == 53) | (dport == 53))
     is_tls = tcp & ((sport == 443) | (dport == 443)) & (payload >= 6) & (f.u8(payload_at) == 0x16)
-    kept: list[bytes | None] = [None] * n
-    for r in np.flatnonzero(is_dns | is_tls).tolist():
-        at = int(payload_at[r])
-        kept[r] = f.bytes_at(r, at, at + int(payload[r]))
+    kept = f.slices(payload_at, payload, is_dns | is_tls)
 
-    status = np.where(ip, "ok", np.where(f.size == 0, "unreadable", "not_ip")).astype(object)
+    known = np.isin(link, (_LOOPBACK, _ETHERNET, _RAW, _COOKED, _COOKED2))
+    status = np.where(ip & known, "ok", np.where(known, "not_ip", "unsupported_link")).astype(object)
+    problem = batch["problem"].to_numpy(zero_copy_only=False)
+    status = np.where(batch["problem"].is_valid().to_numpy(zero_copy_only=False), problem, status)
     names[~ip] = None
     columns = [
         batch["capture"], batch["seq"], batch["ts"],
@@ -150,7 +169,7 @@ def _decode_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         pa.array(dport.astype(np.int32), pa.int32(), mask=~ports),
         pa.array(f.size, pa.int64()), pa.array(payload, pa.int64()),
         pa.array(np.where(tcp, f.u8(l4 + 13) & 0x3F, 0).astype(np.int32), pa.int32()),
-        pa.array(heads, pa.binary()), pa.array(kept, pa.binary()), pa.array(status, pa.string()),
+        heads, kept, pa.array(status, pa.string()),
     ]
     return pa.RecordBatch.from_arrays(columns, schema=_DECODED_ARROW)
 
@@ -161,11 +180,17 @@ def _decode_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
-    """Every frame with its decoded fields and a ``status``: ``ok``, ``not_ip`` or ``unreadable``.
+    """Every frame with its decoded fields and a ``status``.
+
+    ``ok``, ``not_ip``, ``unsupported_link``, or what the reader met: ``damaged``, ``truncated``, ``unreadable``.
 
     Write this table once and derive the packet, DNS and TLS tables from it.
     """
-    decoded = frames.select("capture", "seq", "ts", "frame").mapInArrow(_decode_job, _DECODED)
+    # Tables of frames that were not read from files may lack the link type (Ethernet) and the problem.
+    link = F.col("link_type") if "link_type" in frames.columns else F.lit(_ETHERNET)
+    problem = F.col("problem") if "problem" in frames.columns else F.when(F.col("frame").isNull(), "unreadable")
+    given = frames.select("capture", "seq", "ts", "frame", link.cast("int").alias("link_type"), problem.cast("string").alias("problem"))
+    decoded = given.mapInArrow(_decode_job, _DECODED)
     return decoded.withColumn("app_protocol", net.app_protocol(payload_head=F.col("payload_head"))).drop("payload_head")
 
 

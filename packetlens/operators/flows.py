@@ -24,7 +24,7 @@ class Tables:
     tls: DataFrame | None = None
 
 
-def _last_app_protocol(seq: Column | None) -> Column:
+def last_app_protocol(seq: Column | None) -> Column:
     """Last application protocol that is not UNKNOWN, as one number: time in microseconds, place in the file, protocol.
 
     A number keeps the aggregate in the hash table; text or struct state would make Spark sort instead. Without
@@ -38,7 +38,7 @@ def _last_app_protocol(seq: Column | None) -> Column:
     return F.max(F.when(number > 0, micros * 16 + number))
 
 
-def _app_protocol_name(packed: Column) -> Column:
+def app_protocol_name(packed: Column) -> Column:
     names = F.array(*[F.lit(p) for p in K.APP_PROTOCOLS])
     return F.coalesce(F.get(names, (F.pmod(packed, F.lit(16)) - 1).cast("int")), F.lit(K.UNKNOWN))
 
@@ -58,9 +58,9 @@ def build_flows(packets: DataFrame) -> DataFrame:
             F.min("ts").alias("start_time"),
             F.max("ts").alias("end_time"),
             F.bit_or("flag_bits").alias("flag_bits"),
-            _last_app_protocol(F.col("seq") if "seq" in packets.columns else None).alias("_app"),
+            last_app_protocol(F.col("seq") if "seq" in packets.columns else None).alias("_app"),
         )
-        .withColumn("app_protocol", _app_protocol_name(F.col("_app")))
+        .withColumn("app_protocol", app_protocol_name(F.col("_app")))
         .drop("_app")
     )
 

@@ -50,10 +50,10 @@ def with_assessment(rows: DataFrame) -> DataFrame:
 
 
 def _attach_slow(rows: DataFrame, chosen: DataFrame, vt: DataFrame) -> DataFrame:
-    """Adds ``vt`` for the few chosen indicators (their number is a fixed limit, so both sides broadcast)."""
-    records = _packed(vt, "vt").join(F.broadcast(chosen.select(*KEY)), KEY, "left_semi")
+    """Adds ``vt`` for the chosen indicators. Their number is the caller's limit, so their size decides on a broadcast."""
+    records = _packed(vt, "vt").join(chosen.select(*KEY), KEY, "left_semi")
     picked = chosen.select(*KEY).join(records, KEY, "left").withColumn("slow_selected", F.lit(True))
-    joined = rows.join(F.broadcast(picked), KEY, "left")
+    joined = rows.join(picked, KEY, "left")
     return joined.withColumn("slow_selected", F.coalesce("slow_selected", F.lit(False)))
 
 

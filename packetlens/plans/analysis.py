@@ -28,6 +28,17 @@ def load_tables(spark: SparkSession, path: str) -> Tables:
     return Tables(*[spark.read.parquet(f"{path}/{n}") for n in ("packets", "flows", "conversations", "dns", "tls")])
 
 
+def write_tables(spark: SparkSession, tables: Tables, path: str) -> Tables:
+    """Write every table below ``path`` once and read it back: what is planned on the result reads files, not packets."""
+    read = {}
+    for name in ("packets", "flows", "conversations", "dns", "tls"):
+        rows = getattr(tables, name)
+        if rows is not None:
+            rows.write.parquet(f"{path}/{name}")
+            read[name] = spark.read.parquet(f"{path}/{name}")
+    return Tables(**read)
+
+
 def compute_statistics(tables: Tables, bucket_seconds: int = 60, top_n: int = 20) -> dict[str, DataFrame]:
     """Every statistics section as a table; each one is planned, none is run."""
     p, f, c = tables.packets, tables.flows, tables.conversations

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packetlens import schemas
 from packetlens.functions import net
-from packetlens.operators.flows import FLOW_KEYS
+from packetlens.operators.flows import FLOW_KEYS, app_protocol_name, last_app_protocol
 from packetlens.sources.captures import EXTENSIONS, read_capture_rows
 from packetlens.sources.decode import decode_packets
 
@@ -88,7 +88,8 @@ def _epoch(time: str) -> Column:
 
 
 def stream_flows(packets: DataFrame, gap: str = "5 minutes", watermark: str = "2 minutes") -> DataFrame:
-    """Flows that end after a silent gap: one row per 5-tuple and session."""
+    """Flows that end after a silent gap: one row per 5-tuple and session, with the columns of the batch flows."""
+    seq = F.col("seq") if "seq" in packets.columns else None
     return (
         _with_event_time(packets, "ts", watermark)
         .groupBy(*FLOW_KEYS, F.session_window("event_time", gap).alias("session"))
@@ -99,8 +100,10 @@ def stream_flows(packets: DataFrame, gap: str = "5 minutes", watermark: str = "2
             F.min("ts").alias("start_time"),
             F.max("ts").alias("end_time"),
             F.bit_or("flag_bits").alias("flag_bits"),
+            last_app_protocol(seq).alias("_app"),
         )
-        .drop("session")
+        .withColumn("app_protocol", app_protocol_name(F.col("_app")))
+        .drop("session", "_app")
     )
 
 

@@ -192,7 +192,9 @@ def test_response_shaping(spark, tmp_path):
         return {r["indicator"]: r for r in rows_of(df)}
 
     o = shaped("otx", shaping.shape_otx, schemas.INTEL_OTX)
-    assert o["1.2.3.4"]["pulse_count"] == 12 and len(o["1.2.3.4"]["pulses"]) == 10 and o["1.2.3.4"]["tags"] == ["APT-1", "a", "b"]
+    assert o["1.2.3.4"]["pulse_count"] == 12 and len(o["1.2.3.4"]["pulses"]) == 12 and o["1.2.3.4"]["tags"] == ["APT-1", "a", "b"]
+    few = shaped("otx", lambda r: shaping.shape_otx(r, max_pulses=10), schemas.INTEL_OTX)
+    assert len(few["1.2.3.4"]["pulses"]) == 10 and few["1.2.3.4"]["pulse_count"] == 12
     assert o["1.2.3.4"]["malware_families"] == ["APT-1"] and o["5.6.7.8"]["error"] == "limit" and o["a.com"]["error"] == "no response"
     v = shaped("vt", shaping.shape_vt, schemas.INTEL_VT)
     assert (v["1.2.3.4"]["malicious_count"], v["1.2.3.4"]["total_engines"], v["1.2.3.4"]["categories"]) == (3, 65, ["ads", "c2"])

@@ -45,7 +45,7 @@ def test_timeline_and_flows_equal_batch(spark, tmp_path):
     expected = stats.timeline(rows, 60).select(*cols)
     assert sorted(map(tuple, got.where(f"bucket_ts < {LAST - 600}").collect())) == sorted(map(tuple, expected.collect()))
     flows = run(spark, live.stream_flows(live.stream_packets(spark, path, 2)), "flows_out", str(tmp_path / "cp2"))
-    keys = ["src_ip", "dst_ip", "packet_count", "byte_count", "start_time", "end_time", "flag_bits"]
+    keys = ["src_ip", "dst_ip", "packet_count", "byte_count", "start_time", "end_time", "flag_bits", "app_protocol"]
     assert sorted(map(tuple, flows.select(*keys).collect())) == sorted(map(tuple, build_flows(rows).select(*keys).collect()))
 
 

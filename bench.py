@@ -28,6 +28,7 @@ HEADLINE = [
     "high_outbound_ratio",
     "dns_tunnels",
     "dns_stats",
+    "findings",
     "selected_indicators",
     "indicator_priority_capped",
     "cascade",

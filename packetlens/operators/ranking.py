@@ -53,6 +53,11 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first n rows of each key. The rank bound is applied in every task before the shuffle."""
+    """The first n rows of each key. The rank bound is applied in every task before the shuffle.
+
+    Spark does so up to 1,000 rows a key; above that a hot key would be sorted in one task, so it is refused.
+    """
+    if n > 1000:
+        raise ValueError("top_per_key keeps at most 1000 rows of a key; use with_row_rank for more")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("key_rank", rank).where(F.col("key_rank") <= n)

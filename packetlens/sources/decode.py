@@ -297,13 +297,19 @@ def _payload_job(parse, schema: pa.Schema, keys: list[str]):
     return job
 
 
-def dns_of(decoded: DataFrame) -> DataFrame:
-    """The DNS table: UDP packets of the DNS application protocol that parse."""
-    payloads = decoded.where(
+def _dns_payloads(decoded: DataFrame) -> DataFrame:
+    return decoded.where(
         (F.col("protocol") == "UDP") & (F.col("app_protocol") == "DNS") & F.col("payload").isNotNull()
     ).select(*_DNS_KEYS, "payload")
-    raw = payloads.mapInArrow(_payload_job(parse_dns, _DNS_ARROW, _DNS_KEYS), _DNS_OUT)
-    named = raw.withColumns(
+
+
+def _parsed_dns(decoded: DataFrame) -> DataFrame:
+    return _dns_payloads(decoded).mapInArrow(_payload_job(parse_dns, _DNS_ARROW, _DNS_KEYS), _DNS_OUT)
+
+
+def dns_of(decoded: DataFrame) -> DataFrame:
+    """The DNS table: UDP packets of the DNS application protocol that parse; :func:`parse_errors` counts the others."""
+    named = _parsed_dns(decoded).withColumns(
         {"query_type": net.dns_type_name("type_code"), "response_code": net.dns_rcode_name("rcode")}
     )
     return named.select(*[f.name for f in T.DataType.fromDDL(schemas.DNS).fields])
@@ -373,14 +379,35 @@ _TLS_ARROW = pa.schema(
 )
 
 
-def tls_of(decoded: DataFrame) -> DataFrame:
-    """The TLS table: handshake records on port 443. Certificate columns stay NULL; other sources may fill them."""
-    payloads = decoded.where(
+def _tls_payloads(decoded: DataFrame) -> DataFrame:
+    return decoded.where(
         (F.col("protocol") == "TCP")
         & ((F.col("dst_port") == 443) | (F.col("src_port") == 443))
         & F.col("payload").isNotNull()
     ).select(*_TLS_KEYS, "payload")
-    raw = payloads.mapInArrow(_payload_job(parse_tls, _TLS_ARROW, _TLS_KEYS), _TLS_OUT)
+
+
+def _parsed_tls(decoded: DataFrame) -> DataFrame:
+    return _tls_payloads(decoded).mapInArrow(_payload_job(parse_tls, _TLS_ARROW, _TLS_KEYS), _TLS_OUT)
+
+
+def parse_errors(decoded: DataFrame) -> DataFrame:
+    """DNS and TLS payloads that didn't parse, per capture: payloads less parsed rows, with the columns of :func:`decode_errors`."""
+    found = None
+    for status, payloads, parsed in (
+        ("unparsed_dns", _dns_payloads(decoded), _parsed_dns(decoded)),
+        ("unparsed_tls", _tls_payloads(decoded), _parsed_tls(decoded)),
+    ):
+        rows = payloads.select("capture", F.lit(1).alias("n")).unionAll(parsed.select("capture", F.lit(-1).alias("n")))
+        lost = rows.groupBy("capture").agg(F.sum("n").alias("frame_count")).where("frame_count > 0")
+        lost = lost.select("capture", F.lit(status).alias("status"), "frame_count")
+        found = lost if found is None else found.unionAll(lost)
+    return found
+
+
+def tls_of(decoded: DataFrame) -> DataFrame:
+    """The TLS table: handshake records on port 443. Certificate columns stay NULL; other sources may fill them."""
+    raw = _parsed_tls(decoded)
     have = set(raw.columns)
     return raw.select(*[
         F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)

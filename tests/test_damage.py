@@ -6,7 +6,7 @@ import pytest
 
 from packetlens.sources import captures, decode
 from tests.conftest import rows_of
-from tests.test_captures import FRAMES, A, B, block, classic, eth, ip4, ip6, nextgen, tcp
+from tests.test_captures import A, B, block, classic, dns_query, eth, ip4, ip6, tcp, udp
 
 ONE = eth(ip4(A, B, 6, tcp(50000, 80, 0x02)))
 
@@ -91,3 +91,16 @@ def test_link_types(spark, tmp_path):
             assert [r["status"] for r in mine] == ["unsupported_link"] * 2
         else:
             assert [(r["status"], r["src_ip"], r["dst_port"]) for r in mine] == [("ok", A, 80), ("ok", "fe80::1", 22)], link
+
+
+def test_payloads_that_do_not_parse_are_counted(spark, tmp_path):
+    frames = [
+        eth(ip4(A, "8.8.8.8", 17, udp(5353, 53, dns_query("a.example.com")))),
+        eth(ip4(A, "8.8.8.8", 17, udp(5353, 53, b"\x00\x01"))),
+        eth(ip4(A, "8.8.8.8", 17, udp(5353, 53, dns_query("a.example.com")[:-8]))),
+    ]
+    (tmp_path / "a.pcap").write_bytes(classic(frames))
+    decoded = decode.decode_frames(captures.read_captures(spark, str(tmp_path)))
+    parsed = decode.dns_of(decoded).count()
+    got = [(r["status"], r["frame_count"]) for r in rows_of(decode.parse_errors(decoded))]
+    assert parsed < 3 and got == [("unparsed_dns", 3 - parsed)]

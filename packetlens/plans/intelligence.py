@@ -15,8 +15,12 @@ from packetlens.operators import flows as fl
 from packetlens.operators import indicators as N
 from packetlens.operators import intel as X
 from packetlens.operators import textops
+from packetlens.operators.detectors import finding_addresses, run_detectors
+from packetlens.operators.detectors.dns_tunnel import DnsTunnelDetector
+from packetlens.operators.detectors.exfiltration import ExfiltrationDetector
 from packetlens.plans import sqltext as S
 from packetlens.plans.catalog import query
+from packetlens.plans.detection import DNS_CTE, EXFIL_CTE
 from packetlens.plans.traffic import FLOWS_CTE, packets
 from packetlens.plans.views import view
 from packetlens.sources.lists import bundled_legit_domains, legit_domain_list
@@ -154,26 +158,38 @@ def selection_summary(spark, sf):
 
 # ---- priorities ----------------------------------------------------------------------------
 
-# Which detectors flagged what: derived from the traffic so that all priorities occur. One address in ten
-# is moved into a CDN range.
-_FLAGS = {
+# Flags are those of real findings on the traffic and the DNS and TLS tables. One address in ten is moved into a CDN range.
+_SEEN = {
     "seen_ips": """SELECT DISTINCT CASE WHEN CAST(split_part(ip, '.', 4) AS INT) % 10 = 3 THEN concat('104.16.0.', split_part(ip, '.', 4)) ELSE ip END AS ip
   FROM (SELECT src_ip AS ip FROM {traffic_v} UNION SELECT dst_ip FROM {traffic_v}) t""",
-    "flagged_ips": """SELECT concat('f', s_suppkey) AS finding_id, CASE WHEN s_suppkey % 2 = 0 THEN 'beacon' ELSE 'exfiltration' END AS detector,
-  concat('45.33.', CAST(floor(s_suppkey / 256) AS INT), '.', CAST(s_suppkey % 256 AS INT)) AS ip FROM {supplier} WHERE s_suppkey % 3 = 0
-  UNION ALL SELECT concat('g', s_suppkey), 'port_scan', concat('45.33.', CAST(floor(s_suppkey / 256) AS INT), '.', CAST(s_suppkey % 256 AS INT)) FROM {supplier} WHERE s_suppkey % 7 = 0""",
     "seen_domains": "SELECT query_name AS domain FROM {dns_v} UNION SELECT sni AS domain FROM {tls_v}",
-    "flagged_domains": """SELECT concat('d', seq) AS finding_id, 'dns_tunnel' AS detector, query_name AS domain FROM {dns_v} WHERE query_name LIKE 'cdn%' AND seq % 5 = 0
-  UNION ALL SELECT 'h1' AS finding_id, 'exfiltration' AS detector, 'pastebin.com' AS domain FROM {tls_v} WHERE sni = 'pastebin.com' GROUP BY sni
-  UNION ALL SELECT concat('t', seq), 'dns_tunnel', query_name FROM {dns_v} WHERE query_name LIKE '%.evil-tunnel.tk' AND seq % 4 = 0
-  UNION ALL SELECT concat('u', seq), 'beacon', query_name FROM {dns_v} WHERE query_name LIKE '%.evil-tunnel.tk' AND seq % 16 = 0""",
 }
+#: Bytes from which a destination of the test traffic counts as a large transfer.
+_LARGE = 3_000_000
+_HOUR = "hour(make_timestamp(CAST(floor(start_time) AS BIGINT) * 1000000))"
+FLAG_CTE = EXFIL_CTE.strip() + "," + DNS_CTE.strip() + f""",
+late AS (SELECT * FROM outf WHERE {_HOUR} >= 22 OR {_HOUR} < 6),
+hits AS (SELECT 'large' AS rule, dst_ip, src_ip FROM outf WHERE dst_ip IN (SELECT dst_ip FROM dest WHERE bytes_out >= {_LARGE})
+  UNION ALL SELECT 'ratio', dst_ip, src_ip FROM outf WHERE dst_ip IN (SELECT dst_ip FROM dest WHERE bytes_in > 0 AND bytes_out >= {_LARGE} AND bytes_out / bytes_in >= 10)
+  UNION ALL SELECT 'late', dst_ip, src_ip FROM late WHERE dst_ip IN (SELECT dst_ip FROM late GROUP BY 1 HAVING sum(byte_count) >= {_LARGE})),
+flagged_ips AS (SELECT DISTINCT 'exfiltration' AS detector, rule, dst_ip, unnest([dst_ip, src_ip]) AS ip FROM hits
+  UNION ALL SELECT DISTINCT 'dns_tunnel', 'tunnel', parent, src_ip FROM named WHERE parent IN (SELECT parent FROM points WHERE points >= 35)),
+flagged_domains AS (SELECT 'dns_tunnel' AS detector, parent AS domain FROM points WHERE points >= 35
+  UNION ALL SELECT DISTINCT 'exfiltration', arg_max(d, length(d)) FROM (SELECT lower(sni) AS s FROM tls_v) t,
+    (SELECT unnest({S.sql_list(K.CLOUD_STORAGE_DOMAINS + K.PASTE_DOMAINS)}) AS d) l WHERE ends_with('.' || s, '.' || d) GROUP BY s),
+"""
 
 
-def _flag_table(spark, sf, name):
-    text = _FLAGS[name]
-    used = [n for n in ("traffic_v", "supplier", "dns_v", "tls_v") if "{" + n + "}" in text]
-    return spark.sql(text, **{n: view(spark, sf, n) for n in used})
+def _seen_and_flagged(spark, sf):
+    """(addresses seen, domains seen, flagged addresses, flagged domains)."""
+    seen = []
+    for text in _SEEN.values():
+        used = [n for n in ("traffic_v", "dns_v", "tls_v") if "{" + n + "}" in text]
+        seen.append(spark.sql(text, **{n: view(spark, sf, n) for n in used}))
+    tables = fl.Tables(flows=fl.build_flows(packets(spark, sf)), dns=view(spark, sf, "dns_v"), tls=view(spark, sf, "tls_v"))
+    detectors = [DnsTunnelDetector(), ExfiltrationDetector(min_bytes=_LARGE)]
+    found = run_detectors(tables, detectors=detectors)
+    return (*seen, finding_addresses(tables, detectors=detectors), N.finding_domains(found))
 
 
 def _plain(text: str) -> str:
@@ -184,7 +200,7 @@ _CDN_CASE = "CASE " + " ".join(f"WHEN {S.in_network('ip', c)} THEN '{c}'" for c
 _PRIORITY = "CASE WHEN n >= 2 THEN 'critical' WHEN n = 1 THEN 'high' ELSE '{quiet}' END"
 _REASON = "CASE WHEN n >= 2 THEN concat('Flagged by ', n, ' detectors') WHEN n = 1 THEN 'Flagged by ' || d ELSE '{quiet}' END"
 
-PRIORITY_CTE = ", ".join(f"{k} AS ({_plain(v)})" for k, v in _FLAGS.items()) + f""",
+PRIORITY_CTE = FLAG_CTE + ", ".join(f"{k} AS ({_plain(v)})" for k, v in _SEEN.items()) + f""",
 ip_rows AS (SELECT ip AS value, 'ip' AS indicator_type, coalesce(n, 0) AS n, ds, d,
   CASE WHEN {S.private_registry('ip')} THEN 'Private IP range' WHEN {S.in_network('ip', K.MULTICAST_V4)} THEN 'Reserved/special address'
     ELSE 'Known CDN range (' || ({_CDN_CASE}) || ')' END AS skip
@@ -208,9 +224,9 @@ def _flat(df):
 
 
 def _judged(spark, sf):
-    t = {n: _flag_table(spark, sf, n) for n in _FLAGS}
-    by_ip = N.classify_addresses(t["seen_ips"], t["flagged_ips"])
-    return by_ip.unionByName(N.classify_domain_priority(t["seen_domains"], t["flagged_domains"]))
+    seen_ips, seen_domains, flagged_ips, flagged_domains = _seen_and_flagged(spark, sf)
+    by_ip = N.classify_addresses(seen_ips, flagged_ips)
+    return by_ip.unionByName(N.classify_domain_priority(seen_domains, flagged_domains))
 
 
 @query("indicator_classes", ["traffic_v", "dns_v", "tls_v"], "SELECT * FROM judged", PRIORITY_CTE)
@@ -220,8 +236,7 @@ def indicator_classes(spark, sf):
 
 @query("indicator_priority", ["traffic_v", "dns_v", "tls_v"], "SELECT * FROM judged WHERE priority <> 'skip'", PRIORITY_CTE)
 def indicator_priority(spark, sf):
-    t = {n: _flag_table(spark, sf, n) for n in _FLAGS}
-    return _flat(N.sort_indicators(N.prioritize_indicators(t["seen_ips"], t["seen_domains"], t["flagged_ips"], t["flagged_domains"])))
+    return _flat(N.sort_indicators(N.prioritize_indicators(*_seen_and_flagged(spark, sf))))
 
 
 @query("indicator_priority_capped", ["traffic_v", "dns_v", "tls_v"], """
@@ -229,9 +244,7 @@ SELECT value, indicator_type, priority, reason, source_detectors, detection_coun
   SELECT *, row_number() OVER (PARTITION BY priority ORDER BY detection_count DESC, indicator_type, value) AS rn FROM judged WHERE priority <> 'skip') r
 WHERE priority = 'critical' OR rn <= CASE priority WHEN 'high' THEN 5 WHEN 'medium' THEN 10 ELSE 5 END""", PRIORITY_CTE)
 def indicator_priority_capped(spark, sf):
-    t = {n: _flag_table(spark, sf, n) for n in _FLAGS}
-    return _flat(N.cap_by_priority(
-        N.prioritize_indicators(t["seen_ips"], t["seen_domains"], t["flagged_ips"], t["flagged_domains"])))
+    return _flat(N.cap_by_priority(N.prioritize_indicators(*_seen_and_flagged(spark, sf))))
 
 
 # ---- intelligence --------------------------------------------------------------------------
@@ -344,17 +357,17 @@ def enrichment_stats(spark, sf):
 
 # ---- cache ---------------------------------------------------------------------------------
 
-# Entries were written s_suppkey * 500 seconds before now; two in three indicators are cached.
+# Every look-up of the cascade is cached, written s_suppkey * 500 seconds before now; old ones have expired.
 _NOW = 1_700_000_000.0
 CACHE_CTE = INTEL_CTE.strip() + f""",
 ttl AS (SELECT *, CASE level WHEN 'malicious' THEN 21600 WHEN 'suspicious' THEN 43200 WHEN 'clean' THEN 86400 ELSE 14400 END AS life FROM cascl),
-entries AS (SELECT 'ip:' || lower(indicator) AS cache_key, indicator, level, {_NOW}::DOUBLE - s_suppkey * 500 AS created_at, {_NOW}::DOUBLE - s_suppkey * 500 + life AS expires_at FROM ttl WHERE s_suppkey % 3 <> 0)
+entries AS (SELECT 'ip:' || lower(indicator) AS cache_key, indicator, level, {_NOW}::DOUBLE - s_suppkey * 500 AS created_at, {_NOW}::DOUBLE - s_suppkey * 500 + life AS expires_at FROM ttl)
 """
 
 
 def _cache(spark, sf):
     rows = _cascade(spark, sf).select("indicator", "indicator_type", "overall_threat_level")
-    ages = view(spark, sf, "intel_v").where("s_suppkey % 3 <> 0").select("indicator", (F.col("s_suppkey") * 500).alias("age"))
+    ages = view(spark, sf, "intel_v").select("indicator", (F.col("s_suppkey") * 500).alias("age"))
     written = C.cache_entries(rows.join(ages, "indicator"), _NOW)
     return written.withColumns({"created_at": F.col("created_at") - F.col("age"), "expires_at": F.col("expires_at") - F.col("age")}).drop("age")
 
@@ -375,12 +388,14 @@ def cache_prune(spark, sf):
 
 
 @query("cache_merge", ["intel_v"], f"""
-SELECT coalesce(e.cache_key, 'ip:' || lower(t.indicator)) AS cache_key, CASE WHEN t.s_suppkey % 2 = 0 THEN {_NOW}::DOUBLE ELSE e.created_at END AS created_at
-FROM ttl t LEFT JOIN entries e USING (indicator) WHERE t.s_suppkey % 2 = 0 OR e.cache_key IS NOT NULL""", CACHE_CTE)
+SELECT cache_key, level AS overall_threat_level, CASE WHEN expires_at < {_NOW} THEN {_NOW}::DOUBLE ELSE created_at END AS created_at FROM entries""", CACHE_CTE)
 def cache_merge(spark, sf):
-    fresh = view(spark, sf, "intel_v").where("s_suppkey % 2 = 0").select("indicator")
-    rows = _cascade(spark, sf).select("indicator", "indicator_type", "overall_threat_level").join(fresh, "indicator", "left_semi")
-    return C.merge_cache(_cache(spark, sf), rows, _NOW).select("cache_key", "created_at")
+    # What has expired is looked up again; the new entry of a key replaces the old one.
+    cache = _cache(spark, sf)
+    _, misses = C.split_by_cache(_indicators(spark, sf), cache, _NOW)
+    looked_up = _cascade(spark, sf).select("indicator", "indicator_type", "overall_threat_level")
+    looked_up = looked_up.join(misses.select(F.col("value").alias("indicator")), "indicator", "left_semi")
+    return C.merge_cache(cache, looked_up, _NOW).select("cache_key", "overall_threat_level", "created_at")
 
 
 @query("cache_stats", ["intel_v"], f"""

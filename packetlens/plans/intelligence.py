@@ -23,6 +23,7 @@ from packetlens.plans.catalog import query
 from packetlens.plans.detection import DNS_CTE, EXFIL_CTE
 from packetlens.plans.traffic import FLOWS_CTE, packets
 from packetlens.plans.views import view
+from packetlens.session import cut_lineage
 from packetlens.sources.lists import bundled_legit_domains, legit_domain_list
 
 # ---- tables --------------------------------------------------------------------------------
@@ -164,8 +165,8 @@ _SEEN = {
   FROM (SELECT src_ip AS ip FROM {traffic_v} UNION SELECT dst_ip FROM {traffic_v}) t""",
     "seen_domains": "SELECT query_name AS domain FROM {dns_v} UNION SELECT sni AS domain FROM {tls_v}",
 }
-#: Bytes from which a destination of the test traffic counts as a large transfer.
-_LARGE = 3_000_000
+#: Bytes from which a destination of the test traffic counts as a large transfer; some of them stay below at sf0.01.
+_LARGE = 31_500_000
 _HOUR = "hour(make_timestamp(CAST(floor(start_time) AS BIGINT) * 1000000))"
 FLAG_CTE = EXFIL_CTE.strip() + "," + DNS_CTE.strip() + f""",
 late AS (SELECT * FROM outf WHERE {_HOUR} >= 22 OR {_HOUR} < 6),
@@ -186,7 +187,8 @@ def _seen_and_flagged(spark, sf):
     for text in _SEEN.values():
         used = [n for n in ("traffic_v", "dns_v", "tls_v") if "{" + n + "}" in text]
         seen.append(spark.sql(text, **{n: view(spark, sf, n) for n in used}))
-    tables = fl.Tables(flows=fl.build_flows(packets(spark, sf)), dns=view(spark, sf, "dns_v"), tls=view(spark, sf, "tls_v"))
+    # Several rules read the flows: they are written once.
+    tables = fl.Tables(flows=cut_lineage(fl.build_flows(packets(spark, sf))), dns=view(spark, sf, "dns_v"), tls=view(spark, sf, "tls_v"))
     detectors = [DnsTunnelDetector(), ExfiltrationDetector(min_bytes=_LARGE)]
     found = run_detectors(tables, detectors=detectors)
     return (*seen, finding_addresses(tables, detectors=detectors), N.finding_domains(found))

@@ -3,7 +3,10 @@
 The benchmark's passages are the query set. Their words are the vocabulary; inverse document frequencies are counted
 over all documents. A randomised SVD, computed by Spark from partial products, gives the latent space of the
 benchmark's TF-IDF passages. Every window of every document is folded into it, and items whose cosine with a
-window reaches ``COSINE`` are candidates. A candidate is a leak if the longest common subsequence of words covers
+window reaches ``COSINE`` are candidates. So are items that the cosine misses (their words are in many documents, or the
+window has heavier words beside them) but of whose rarest words the window and its surroundings have as many as
+any leak must have: a leak lacks at most a fifth of the item's words, so this count loses none. All
+candidates are verified. A candidate is a leak if the longest common subsequence of words covers
 ``MIN_LCS`` of the item within that window and its surroundings, and the item's answer (its last sentence) is there
 too, so edited and paraphrased passages are found and passages that share common words only are not.
 
@@ -11,10 +14,10 @@ Words outside the vocabulary can't match any item, so documents are stored once
 places, and nothing else is read later. Items are taken in blocks of ``BLOCK_ITEMS``: vocabulary and model of a
 block are bounded and travel to the tasks. Search is a narrow map over the documents, nothing is shuffled.
 
-Recall: the candidate search is compared with brute force over all windows in the tests.
+Recall: the leaks are those of brute force over all windows and items, whatever their cosine; the tests compare them.
 
 Defined results: null and empty texts, and null or blank items, are in no pair. Items of fewer than ``MIN_WORDS`` words
-must occur word for word. Rows with a null id are searched too and reported with a null id; repeated rows
+must occur word for word. The cosine of an item whose words are in all documents is 0. Rows with a null id are searched too and reported with a null id; repeated rows
 are reported once per row by ``leaks`` and once in all by the query. Empty tables give an empty table.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,10 @@ MIN_ANSWER = 0.5
 MIN_WORDS = 8
 ANSWER_WORDS = 4
 SMALLEST_WINDOW = 32
+#: Matches asked of an item's rarest words, beyond those that a leak may lack.
+RARE_WORDS = 4
+#: Items whose rarest words are counted at one time: no word of a text has more matches than this.
+COUNTED_ITEMS = 64
 #: Windows start at multiples of this many words.
 CELL = SMALLEST_WINDOW // 4
 _STRIP = ".,;:!?\"'()[]{}#*$%&|<>"
@@ -187,6 +195,23 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
     return len(item) - (row & full).bit_count()
 
 
+def rarest(words: list[int], idf: np.ndarray) -> tuple[list[int], int]:
+    """The rarest words of an item, and how many of their occurrences any leak has.
+
+    A leak lacks at most ``missing`` places of the item. Words are taken until they make up some places more, so
+    each leak matches the rest of these places, each by a word of its own.
+    """
+    short = len(words) < MIN_WORDS
+    missing = 0 if short else int((1 - MIN_LCS) * len(words) + 1e-6)
+    counts, chosen, places = Counter(words), [], 0
+    for w in sorted(counts, key=lambda w: (-idf[w], w)):
+        if places >= missing + (1 if short else RARE_WORDS):
+            break
+        chosen.append(w)
+        places += counts[w]
+    return chosen, places - missing
+
+
 def word_for_word(item: list[int], ids: list[int], at: list[int]) -> bool:
     n = len(item)
     return any(ids[i : i + n] == item and at[i + n - 1] - at[i] == n - 1 for i in range(len(ids) - n + 1))
@@ -206,6 +231,14 @@ class Searcher:
         for window in sorted(set(items.window)):
             own = np.flatnonzero(np.array(items.window) == window)
             self.classes.append((window, own, vectors[own].T.copy()))
+        rare = [rarest(x, idf) for x in items.ids]
+        self.window, self.need = np.array(items.window), np.array([n for _, n in rare])
+        #: Per group of items: where the items of each vocabulary word begin, and the items.
+        self.rare = []
+        for lo in range(0, len(rare), COUNTED_ITEMS):
+            pairs = np.array([(w, i) for i, (words, _) in enumerate(rare[lo : lo + COUNTED_ITEMS], lo) for w in words])
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            self.rare.append((np.searchsorted(pairs[:, 0], np.arange(len(idf) + 1)), pairs[:, 1]))
 
     def find(self, docs: list[tuple[np.ndarray, np.ndarray, int]]):
         """(document, item, first word, cosine, subsequence share, answer share): the best leak per document and item.
@@ -230,8 +263,28 @@ class Searcher:
         for (d, item), (share, answer, cosine, first) in best.items():
             yield d, item, first, cosine, share, answer
 
+    def _counted(self, ids: np.ndarray, at: np.ndarray, base: np.ndarray):
+        """(item, part, first, last place) of as many of an item's rarest words as a leak has, within a window and its surroundings."""
+        out = []
+        for begin, items in self.rare:
+            n = begin[ids + 1] - begin[ids]
+            word = np.repeat(np.arange(len(ids)), n)
+            item = items[np.repeat(begin[ids], n) + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)]
+            order = np.argsort(item, kind="stable")
+            item, place = item[order], at[word[order]]
+            last = np.arange(len(item)) + self.need[item] - 1
+            first = np.flatnonzero(last < len(item))
+            last = last[first]
+            part = np.searchsorted(base, place[first], "right") - 1
+            # A window has a step, a quarter of it, on either side.
+            close = place[last] - place[first] < self.window[item[first]] * 3 // 2
+            same = (item[first] == item[last]) & close
+            same &= part == np.searchsorted(base, place[last], "right") - 1
+            out.append((item[first][same], part[same], place[first][same] - base[part[same]], place[last][same] - base[part[same]]))
+        return [np.concatenate(c) for c in zip(*out)]
+
     def _search(self, parts, best) -> None:
-        """Fold all windows of the parts into the latent space at once and verify what is near."""
+        """Fold all windows of the parts into the latent space at once; verify what is near and what has the rarest words."""
         widest = self.classes[-1][0]
         lengths = np.array([p[4] for p in parts])
         # Parts lie on one line, a window or more apart, at multiples of the widest window.
@@ -245,44 +298,59 @@ class Searcher:
         running = np.zeros((ends[-1] // CELL + 1, self.words.shape[1]), "f4")
         running[cell[starts] + 1] = np.add.reduceat(self.words[ids], starts, axis=0)
         np.cumsum(running, axis=0, out=running)
+        counted, text = self._counted(ids, at, base), ids.tolist()
         for window, own, vectors in self.classes:
             # Windows lie a quarter window apart; the last one reaches the end of the text.
             step = window // 4
             counts = np.maximum(1, -(-(lengths - window) // step) + 1)
+            offset = np.cumsum(counts) - counts
             part = np.repeat(np.arange(len(parts)), counts)
-            first = (np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+            first = (np.arange(len(part)) - np.repeat(offset, counts)) * step
             lo = (base[part] + first) // CELL
             v = running[lo + window // CELL] - running[lo]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             near = (v @ vectors) >= (self.cosine * np.maximum(norm, 1e-3))[:, None]
             w, j = np.nonzero(near)
-            if not len(w):
-                continue
-            cosine = np.einsum("ij,ij->i", v[w], vectors.T[j]) / norm[w]
-            order = np.lexsort((w, j, part[w]))
-            w, j, cosine = w[order], j[order], cosine[order]
-            # Neighbouring windows of an item are a run; it is verified where it is nearest.
-            fresh = np.r_[True, (np.diff(j) != 0) | (np.diff(w) != 1) | (np.diff(part[w]) != 0)]
+            # The windows that have these words, themselves or in their surroundings.
+            item, of, begin, end = (c[self.window[counted[0]] == window] for c in counted)
+            low = np.maximum((end - window - step) // step + 1, 0)
+            high = np.minimum(begin // step + 1, counts[of] - 1)
+            n = np.maximum(high - low + 1, 0)
+            more = np.repeat(offset[of] + low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pairs = np.unique(np.r_[j * len(part) + w, np.repeat(np.searchsorted(own, item), n) * len(part) + more])
+            j, w = np.divmod(pairs, len(part))
+            cosine = np.einsum("ij,ij->i", v[w], vectors.T[j]) / np.maximum(norm[w], 1e-3)
+            # Neighbouring windows of an item are a run. What all of it lacks, each of its windows lacks.
+            fresh = (np.diff(j, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 1) | (np.diff(part[w], prepend=-1) != 0)
             starts = np.flatnonzero(fresh)
-            top = np.repeat(np.maximum.reduceat(cosine, starts), np.diff(np.r_[starts, len(w)]))
-            for k in np.flatnonzero(cosine >= top - 0.005):
-                d, origin = parts[part[w[k]]][:2]
-                item, where = int(own[j[k]]), int(first[w[k]])
-                old = best.get((d, item))
-                if old is not None and old[0] == 1.0 and old[1] == 1.0:
+            stops = np.append(starts[1:], len(w))[: len(starts)]
+            places = base[part[w]] + first[w]
+            from_, to = np.searchsorted(at, places - step), np.searchsorted(at, places + window + step)
+            runs = (own[j[starts]], starts, stops, from_[starts], to[stops - 1])
+            for item, start, stop, left, right in zip(*(x.tolist() for x in runs)):
+                if self._lacks(item, text[left:right]):
                     continue
-                from_, to = np.searchsorted(at, base[part[w[k]]] + np.array([where - step, where + window + step]))
-                new = self._verify(item, ids[from_:to].tolist(), at[from_:to])
-                if new is not None:
-                    new = (*new, float(cosine[k]), where + origin)
-                    best[d, item] = new if old is None else max(old, new)
+                for k in sorted(range(start, stop), key=lambda k: -cosine[k]):
+                    d, origin = parts[part[w[k]]][:2]
+                    old = best.get((d, item))
+                    if old is not None and old[0] == 1.0 and old[1] == 1.0:
+                        break
+                    new = self._verify(item, text[from_[k] : to[k]], at[from_[k] : to[k]])
+                    if new is not None:
+                        new = (*new, float(cosine[k]), int(first[w[k]]) + origin)
+                        best[d, item] = new if old is None else max(old, new)
+
+    def _lacks(self, item: int, near: list[int]) -> bool:
+        """Whether more words of the item are missing than a leak may lack."""
+        n = len(self.items.ids[item])
+        return len(self.sets[item].difference(near)) > (0 if n < MIN_WORDS else (1 - MIN_LCS) * n + 1e-9)
 
     def _verify(self, item: int, near: list[int], at: np.ndarray) -> tuple[float, float] | None:
         """(subsequence share, answer share) if this is a leak. Cheap bounds come first: a word that is missing can't be common."""
         words, answer = self.items.ids[item], self.items.answers[item]
         if len(words) < MIN_WORDS:
             return (1.0, 1.0) if word_for_word(words, near, at.tolist()) else None
-        if len(self.sets[item].difference(near)) > (1 - MIN_LCS) * len(words) + 1e-9:
+        if self._lacks(item, near):
             return None
         share = common_subsequence(words, near) / len(words)
         if share < MIN_LCS - 1e-9:

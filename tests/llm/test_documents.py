@@ -268,6 +268,19 @@ def test_candidate_search_recall(spark):
     assert want and len(got & want) >= 0.9 * len(want) and {(d, d % 40) for d in range(80)} <= got
 
 
+def test_leaks_of_widespread_items(spark):
+    """An item that a third or all of the documents hold, beside rare words of other items."""
+    r = random.Random(12)
+    items, benchmark = benchmark_of(spark, r, 40)
+    words = [w for t in items[2:] for w in t.split()]
+    beside = lambda: " ".join(r.choice(words) for _ in range(r.randrange(60, 120)))
+    docs = [" ".join([beside(), items[0], beside(), items[1] if i % 3 == 0 else "", beside()]) for i in range(60)]
+    for n in (60, 1):
+        rows = spark.createDataFrame(list(enumerate(docs[:n])), "doc_id long, text string")
+        got = {(x.doc_id, x.item_id) for x in decontam.leaks(rows, benchmark).collect()}
+        assert {(d, 0) for d in range(n)} | {(d, 1) for d in range(0, n, 3)} <= got
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(200):

@@ -281,6 +281,29 @@ def test_leaks_of_widespread_items(spark):
         assert {(d, 0) for d in range(n)} | {(d, 1) for d in range(0, n, 3)} <= got
 
 
+def test_leaks_behind_similar_passages(spark):
+    """An item 16 to 48 words behind a copy of itself in another order, which may be nearer to the item's vector."""
+    r = random.Random(13)
+    items, _ = benchmark_of(spark, r, 40)
+    block = decontam.Items(list(enumerate(items)))
+    for low, high in ((4, 16), (16, 49)):
+        docs = []
+        for i in range(800):
+            words = items[i % 40].split()
+            half = len(words) // 2
+            other = [r.sample(words, len(words)), words[half:] + words[:half]][i % 2]
+            docs.append([*sentence(r, r.randrange(40, 80)).split(), *other, *sentence(r, r.randrange(low, high)).split(), *words, *sentence(r, 60).split()])
+        tokens = [np.array([block.vocabulary.get(decontam.normal(w), -1) for w in d]) for d in docs]
+        df = np.zeros(len(block.vocabulary))
+        for t in tokens:
+            df[np.unique(t[t >= 0])] += 1
+        idf = np.log((1 + len(docs)) / (1 + df))
+        space = np.linalg.svd(block.matrix(idf), full_matrices=False)[2][: decontam.RANK].T
+        rows = [(t[t >= 0], np.flatnonzero(t >= 0), len(t)) for t in tokens]
+        got = {(d, i) for d, i, *_ in decontam.Searcher(block, idf, space).find(rows)}
+        assert {(d, d % 40) for d in range(800)} <= got
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(200):

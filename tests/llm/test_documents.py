@@ -304,6 +304,21 @@ def test_leaks_behind_similar_passages(spark):
         assert {(d, d % 40) for d in range(800)} <= got
 
 
+def test_short_items_are_found_word_for_word(spark):
+    r = random.Random(14)
+    texts = [sentence(r, 60) for _ in range(80)]
+    phrases = []
+    for i in range(70):
+        words, n = texts[i].split(), 1 + i % 7
+        at = r.randrange(60 - n)
+        phrases.append(" ".join(words[at : at + n]))
+    docs = [f"{a} {b}, {c}" for a, b, c in zip(texts, phrases[::-1] + phrases[:10], texts[::-1])]
+    want = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(phrases) if f" {x} " in f" {t} ".replace(",", "")}
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(phrases)), "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.leaks(rows, benchmark).collect()} == want
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(200):

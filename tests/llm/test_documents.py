@@ -32,6 +32,19 @@ def test_pieces_and_ids():
     assert packing.cut(4100) == [(0, 4), (4, 2048), (2052, 2048)]
 
 
+def test_long_runs_of_blanks(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    reference = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 2_000_000 + "x<|endoftext|>\u00e9", "\n" * 2_000_000]
+    for text in texts:
+        assert packing.ids_of(text).tolist() == reference.encode(text, add_special_tokens=False).ids + [0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack_documents(docs).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in rows} == {i: len(packing.ids_of(t)) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_rank_once_and_is_best_fit(seed):
     r = random.Random(seed)

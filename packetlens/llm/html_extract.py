@@ -52,11 +52,19 @@ DROPPED = frozenset(
     "button select textarea dialog".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: A class or id goes if it is one of these names, or a compound of them and of ``QUALIFIERS`` only.
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner sidebar nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer comment comments discussion notice cookie cookies consent popup modal newsletter subscribe signup "
     "social share sharing related".split()
 )
+#: Words beside a dropped name that leave it what it is: ``site-header``, ``ad-slot``; not ``no-sidebar``, ``share-price``.
+QUALIFIERS = frozenset(
+    "site page global main primary secondary top bottom left right upper lower sticky fixed mobile desktop js wp widget block box bar "
+    "slot unit list area links link buttons button icons form policy toggle posts articles post container inner 1 2 3".split()
+)
+#: Articles in these are not the page's own; in elements dropped by another name they stay.
+FOREIGN_NAMES = frozenset("comment comments discussion related".split())
 MAIN = frozenset({"article", "main"})
 #: Inside the main text only these can be template.
 CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center".split())
@@ -68,10 +76,11 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "main", "content", "first")
+    __slots__ = ("tag", "dropped", "named", "main", "content", "first")
 
-    def __init__(self, tag: str, dropped: bool, main: bool, first: int):
-        self.tag, self.dropped, self.main, self.first = tag, dropped, main, first
+    def __init__(self, tag: str, dropped: bool, named: bool, main: bool, first: int):
+        #: ``named``: dropped by a name only, and an article or main within is not.
+        self.tag, self.dropped, self.named, self.main, self.first = tag, dropped, named, main, first
         self.content: list[str] = []
 
 
@@ -86,7 +95,7 @@ class Page:
         self.blocks: list[str] = []
         self.in_main: list[bool] = []
         self.subtrees: list[tuple[int, int, int]] = []
-        self.stack = [_Element("", False, False, 0)]
+        self.stack = [_Element("", False, False, False, 0)]
         self.text: list[str] = []
         self.has_main = False
         self._read(source)
@@ -144,20 +153,34 @@ class Page:
             self._flush()
         top = self.stack[-1]
         names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(rest)} if "=" in rest else {}
-        main = top.main or ((tag in MAIN or names.get("role", "").lower() == "main") and not top.dropped)
-        dropped = top.dropped or tag in DROPPED or self._named(tag, names)
-        main = main and not dropped
+        role = names.get("role", "").lower()
+        is_main = tag == "main" or role == "main"
+        opened = top.named and (is_main or tag == "article")
+        dropped = (top.dropped and not opened) or tag in DROPPED or role in DROPPED_ROLES
+        named = dropped and top.named and tag not in DROPPED and role not in DROPPED_ROLES
+        if not dropped and not is_main and (found := self._names(tag, names)):
+            dropped, named = True, not top.main and FOREIGN_NAMES.isdisjoint(found)
+        elif named and not FOREIGN_NAMES.isdisjoint(self._names(tag, names)):
+            named = False
+        # An article in an element with a dropped name may be a teaser: it stays, but other text of the page does too.
+        main = not dropped and (top.main or is_main or (tag in MAIN and not opened))
         self.has_main |= main
-        element = _Element(tag, dropped, main, len(self.blocks))
+        element = _Element(tag, dropped, named, main, len(self.blocks))
         element.content.append(f"<{tag} {names.get('class', '')}>")
         self.stack.append(element)
 
     @staticmethod
-    def _named(tag: str, names: dict[str, str]) -> bool:
+    def _names(tag: str, names: dict[str, str]) -> set[str]:
+        """The dropped names among the classes and the id."""
         if not names or tag in MAIN or tag in ("html", "body"):
-            return False
-        words = re.split(r"[\s_-]+", f"{names.get('class', '')} {names.get('id', '')}".lower())
-        return names.get("role", "").lower() in DROPPED_ROLES or not DROPPED_NAMES.isdisjoint(words)
+            return set()
+        found: set[str] = set()
+        for token in f"{names.get('class', '')} {names.get('id', '')}".lower().split():
+            parts = set(re.split(r"[_-]+", token)) - {""}
+            known = parts & DROPPED_NAMES
+            if known and parts - known <= QUALIFIERS:
+                found |= known
+        return found
 
     def _end_open(self, tags: set[str], limits) -> None:
         for i in range(len(self.stack) - 1, 0, -1):

@@ -61,6 +61,20 @@ def test_extraction_rules():
     assert main(deep) == "x"
 
 
+def test_names_are_whole_classes():
+    main = lambda x: html_extract.Page(x).main_text()
+    for wrapper in ("class='content-sidebar-wrap'", "class='layout no-sidebar'", "id=page class=has-sidebar", "class=with-header", "class=sidebar", "id=header"):
+        assert main(f"<div {wrapper}><main><p>a<p>b</main></div>") == "a\nb"
+        assert main(f"<div {wrapper}><div><article><p>a<p>b</article></div></div>") == "a\nb"
+    assert main("<article><p class='share-price'>1<p class=related-work>2<p class='no-ads'>3</article>") == "1\n2\n3"
+    for name in ("site-header", "cookie_notice", "x ad-slot", "social-share-buttons", "left-sidebar", "related-posts", "main-nav"):
+        assert main(f"<div class='{name}'>no</div><p>yes") == "yes"
+        assert main(f"<article><div class='{name}'>no<article>no</article></div><p>yes</article>") == "yes"
+    assert main("<div id=comments><div class=sidebar><article>no</article></div></div><p>yes") == "yes"
+    assert main("<div class=sidebar><div id=comments><article>no</article></div></div><p>yes") == "yes"
+    assert main("<div class=sidebar><article>no</article><nav><main>no</main></nav></div><main>yes</main>") == "yes"
+
+
 def test_templates_are_counted_per_host(spark):
     rows = []
     for i in range(12):  # on a.com a box recurs in different articles; copies of a page are no template

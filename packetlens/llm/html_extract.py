@@ -1,8 +1,9 @@
 """Main text of web pages: structural rules, and removal of site templates.
 
 Elements are hashed with all they contain. Spark counts, per host, on how many pages each subtree occurs; subtrees
-that recur on ``TEMPLATE_PAGES`` pages or more are the site's template and are deleted with their text. Pages with the same main
-text count once, so a page that was copied is no template. Text blocks, headings and the like inside an
+that recur on ``TEMPLATE_PAGES`` pages or more, and on ``TEMPLATE_SHARE`` of the host's pages, are the site's template and are
+deleted with their text. Pages with the same main text count once, so a page that was copied is no template. On pages
+without ``article`` or ``main``, text blocks (paragraphs, list items, cells, headings) must be on ``TEXT_SHARE`` of them. Text blocks, headings and the like inside an
 ``article`` or ``main`` element are never taken for a template: there only containers (``div``, ``ul``, ``table``, ...) are
 candidates. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments that vary
 from page to page are known by element, role or class name (the lists below) and go in any case.
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from packetlens.llm.common import slices, stored, table
 
 TEMPLATE_PAGES = 10
+#: Of a host's distinct pages: for containers, and for text blocks outside the main text.
+TEMPLATE_SHARE = 0.05
+TEXT_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
@@ -75,6 +79,10 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+#: Elements that hold a piece of an article's text.
+TEXTUAL = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr blockquote pre address figcaption summary legend option".split())
+
+
 class _Element:
     __slots__ = ("tag", "dropped", "named", "main", "content", "first")
 
@@ -87,14 +95,14 @@ class _Element:
 class Page:
     """The text blocks of a page, and the subtrees that may be template with the blocks they hold.
 
-    ``blocks``: texts in order; ``subtrees``: (hash, first block, block after the last). Elements are closed by a
+    ``blocks``: texts in order; ``subtrees``: (hash, first block, block after the last, is a text block). Elements are closed by a
     stack, without recursion; each hash covers tags, class names and text of the whole subtree.
     """
 
     def __init__(self, source: str):
         self.blocks: list[str] = []
         self.in_main: list[bool] = []
-        self.subtrees: list[tuple[int, int, int]] = []
+        self.subtrees: list[tuple[int, int, int, bool]] = []
         self.stack = [_Element("", False, False, False, 0)]
         self.text: list[str] = []
         self.has_main = False
@@ -208,7 +216,7 @@ class Page:
         inside = element.main and element.tag not in MAIN
         candidate = element.tag in CONTAINERS if inside else element.tag in BLOCK - MAIN - {"html", "body"} and not element.main
         if candidate and len(self.blocks) > element.first:
-            self.subtrees.append((digest - (1 << 63), element.first, len(self.blocks)))
+            self.subtrees.append((digest - (1 << 63), element.first, len(self.blocks), element.tag in TEXTUAL))
 
     def wanted(self) -> list[bool]:
         return self.in_main if self.has_main else [True] * len(self.blocks)
@@ -218,14 +226,14 @@ class Page:
         text = "\n".join(b for b, w in zip(self.blocks, self.wanted()) if w)
         return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    def candidates(self) -> set[int]:
-        """Subtrees that hold wanted text."""
+    def candidates(self) -> set[tuple[int, bool]]:
+        """Subtrees that hold wanted text, and whether they are text blocks."""
         wanted = self.wanted()
-        return {h for h, a, b in self.subtrees if any(wanted[a:b])}
+        return {(h, textual) for h, a, b, textual in self.subtrees if any(wanted[a:b])}
 
     def main_text(self, template=()) -> str:
         wanted = list(self.wanted())
-        for h, a, b in self.subtrees if template else ():
+        for h, a, b, _ in self.subtrees if template else ():
             if h in template:
                 wanted[a:b] = [False] * (b - a)
         return "\n".join(t for t, w in zip(self.blocks, wanted) if w)
@@ -236,29 +244,35 @@ def host_of(url: str | None) -> str:
     return found[1] if found else ""
 
 
+SUBTREE = "page_id long, host string, body long, subtree long, textual boolean"
+
+
 def _subtrees(batches):
+    """A row per page with a null subtree, and a row for each of its candidates."""
     for part in slices(batches):
         rows = []
         for page, url, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
             read = Page(source.as_py() or "")
-            found = read.candidates()
-            if found:
-                body, host = read.body(), host_of(url)
-                rows += [(page, host, body, h) for h in found]
+            body, host = read.body(), host_of(url)
+            rows.append((page, host, body, None, None))
+            rows += [(page, host, body, *c) for c in read.candidates()]
         if rows:
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
             arrays = [pa.array(c, t) for c, t in zip(map(list, zip(*rows)), kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "host", "body", "subtree"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "host", "body", "subtree", "textual"])
 
 
 def template_subtrees(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:
     """(page_id, template): the hashes of the template subtrees on each page that has any."""
-    found = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(
-        _subtrees, "page_id long, host string, body long, subtree long"
-    )
+    found = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_subtrees, SUBTREE)
     found = stored(found, "subtrees")
-    distinct = found.select("host", "subtree", "body").distinct()
-    template = distinct.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    distinct = found.select("host", "subtree", "textual", "body").distinct()
+    counts = distinct.groupBy("host", "subtree", "textual").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    counts = stored(counts, "subtree-counts")
+    # The null subtree counts the host's pages.
+    sizes = counts.filter("subtree is null").select("host", F.col("n").alias("pages"))
+    share = F.when(F.col("textual"), TEXT_SHARE).otherwise(TEMPLATE_SHARE)
+    template = counts.filter("subtree is not null").join(sizes, "host").filter(F.col("n") >= share * F.col("pages"))
     template = stored(template.select("host", "subtree"), "site-templates")
     on = found.join(template, ["host", "subtree"]).groupBy("page_id")
     return stored(on.agg(F.collect_set("subtree").alias("template")), "templates")

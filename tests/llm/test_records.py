@@ -91,6 +91,18 @@ def test_templates_are_counted_per_host(spark):
     assert html_extract.extract(pages(spark, [])).count() == 0
 
 
+def test_templates_are_a_share_of_a_large_host(spark):
+    rows = []
+    for i in range(600):  # ten pages share a paragraph, a cell and a table; most share a menu, all a heading
+        shared = "<p>quoted</p><table><tr><td>cell</td></tr></table>" if i < 10 else ""
+        menu = "<div><ul><li>home</ul></div>" if i < 500 else ""
+        rows.append((i, f"http://a.com/{i}", f"{menu}<h2>site</h2><p>own {i}</p>{shared}"))
+        rows.append((1000 + i, f"http://b.com/{i}", f"{menu}<article><p>own {i}</p>{shared}<div>more</div></article>"))
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    want = {i: f"own {i}" + ("\nquoted\ncell" if i < 10 else "") for i in range(600)}
+    assert got == want | {1000 + i: t for i, t in want.items()}
+
+
 def test_chat_round_trip_and_digests(spark):
     odd = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", "a\\|<|b"), (1, 1, "assistant", "a\\|<|b"), (1, None, "system", None), (2, 5, None, "x"), (None, 1, "assistant", "y"), (2, 1, "ro\nle<|", "\\n\n<")]

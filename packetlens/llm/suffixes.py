@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, by hashes of sparse suffixes.
 
 A passage is a run of ``LENGTH`` words or more; a word is repeated if it lies in a window of ``LENGTH`` words that
 another document has too. The result is exactly the repeated words, as spans.
@@ -6,10 +6,10 @@ another document has too. The result is exactly the repeated words, as spans.
 1. Of each document only suffixes at minimiser positions are kept: in every ``REACH`` neighbouring starts the one
    whose ``GRAM`` words hash lowest. The choice depends on the content only, so two documents that share a
    window keep the same suffix of it, with at least ``PREFIX = LENGTH - REACH + 1`` words of the window ahead.
-2. Suffixes are sorted by their first ``PREFIX`` words (as a hash), and neighbours with equal prefixes and different
-   documents stay; Spark's aggregate and sort-merge join do this, so a prefix that a third of all documents share
-   is combined before the shuffle and split in the join. The rest of the corpus is done with.
-3. Matches are extended left and right to their exact ends: a suffix that stays stands for a block, the windows whose
+2. Suffixes are grouped by their first ``PREFIX`` words (as a hash), in place of a sorted suffix array, and those with
+   equal prefixes and different documents stay; Spark's aggregate and join do this, so a prefix that a third of all
+   documents share is combined before the shuffle and split in the join. The rest of the corpus is done with.
+3. Exact ends come from counting windows: a suffix that stays stands for a block, the windows whose
    minimiser it is. Blocks that another document has whole are repeated whole; of the others, the windows are
    compared one by one. No two documents are paired, so a group of copies costs no more than its rows.
 

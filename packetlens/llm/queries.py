@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from packetlens.llm import chat, cnn, decontam, html_extract, line_dedup, packing, rules, simhash, suffixes, warc
+from packetlens.llm import (
+    chat,
+    cnn,
+    decontam,
+    exact_dedup,
+    hard_negatives,
+    html_extract,
+    line_dedup,
+    merkle,
+    packing,
+    rules,
+    simhash,
+    suffixes,
+    warc,
+)
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8,
     "op9_chat_formatting": chat.op9,
     "op10_suffix_dedup": suffixes.op10,
+    "op11_exact_dedup": exact_dedup.op11,
+    "op12_merkle_manifest": merkle.op12,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 
 ORACLE_SQL = {
@@ -23,4 +40,7 @@ ORACLE_SQL = {
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
     "op10_suffix_dedup": suffixes.OP10_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }

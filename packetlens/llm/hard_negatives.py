@@ -268,7 +268,7 @@ def mine(
     other labels with ``low * positive <= 100 * negative <= high * positive``.
     """
     spark = summary.sparkSession
-    # Numbers of the rows in the stored table spread equal ids over the blocks.
+    # Rows are distinct, so their hash deals them evenly to the blocks.
     distinct = stored(summary.filter(anchor & F.col("vec_id").isNotNull()).distinct(), "anchors")
     blocks = max(1, -(-distinct.count() // anchors_per_block))
     numbered = stored(

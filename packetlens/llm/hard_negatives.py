@@ -189,6 +189,15 @@ def survivors(anchors: Vectors, rows: Vectors, allowed, low, high):
     return mask, columns
 
 
+def weight(score: int) -> bytes:
+    """A score of any size in bytes that sort as the scores do: products of floats stay below 2 ** 319."""
+    return (score + (1 << 319)).to_bytes(40, "big")
+
+
+def unweighted(order: bytes) -> int:
+    return int.from_bytes(order, "big") - (1 << 319)
+
+
 def _search(tiles, limits, top: int, same_label: bool):
     """For each query (anchor row, positive) the best rows of a task. ``limits`` has (query, low, high) per anchor row."""
 
@@ -206,7 +215,8 @@ def _search(tiles, limits, top: int, same_label: bool):
             yield to_batch(
                 {
                     "query": ([q for q, _, _ in part], pa.int64()),
-                    "score": ([s for _, s, _ in part], pa.decimal128(38, 0)),
+                    "weight": ([weight(s) for _, s, _ in part], pa.binary()),
+                    "score": ([max(-(2**63), min(2**63 - 1, s)) for _, s, _ in part], pa.int64()),
                     "partner": ([i for _, _, i in part], pa.int64()),
                 }
             )
@@ -234,13 +244,13 @@ def _compare(anchors: Vectors, numbers, rows: Vectors, limits, best: Best, same_
                 best.add(query, found[fits], of[fits])
 
 
-_FOUND = "query long, score decimal(38,0), partner long"
+_FOUND = "query long, weight binary, score long, partner long"
 
 
 def _best_of_all(rows: DataFrame, tiles, limits: dict, top: int, same_label: bool) -> DataFrame:
     spark = rows.sparkSession
     found = rows.mapInArrow(_search(tiles, spark.sparkContext.broadcast(limits), top, same_label), _FOUND)
-    return top_per_key(found, ["query"], [F.col("score").desc(), F.col("partner").asc()], top)
+    return top_per_key(found, ["query"], [F.col("weight").desc(), F.col("partner").asc()], top)
 
 
 def _block_of_anchors(rows: DataFrame, number: int) -> tuple[list, dict[int, int]]:
@@ -255,10 +265,6 @@ def _block_of_anchors(rows: DataFrame, number: int) -> tuple[list, dict[int, int
     return tiles, ids
 
 
-def _clamped(score):
-    return F.least(F.greatest(score, F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
-
-
 def mine(
     summary: DataFrame, anchor, top: int = TOP, low: int = 80, high: int = 100, anchors_per_block: int = ANCHORS_PER_BLOCK
 ) -> DataFrame:
@@ -283,10 +289,10 @@ def mine(
         # A positive's query is its anchor's number and its rank; the limits are whole numbers, rounded inwards.
         limits, named = {}, []
         for r in positives:
-            score, query = int(r["score"]), r["query"] * top + r["key_rank"] - 1
+            score, query = unweighted(r["weight"]), r["query"] * top + r["key_rank"] - 1
             limits.setdefault(r["query"], []).append((query, -(-low * score // 100), high * score // 100))
             named.append((query, ids[r["query"]], r["partner"], r["score"]))
-        schema = "query long, anchor_id long, positive_id long, positive decimal(38,0)"
+        schema = "query long, anchor_id long, positive_id long, positive_score long"
         pairs = spark.createDataFrame(named, schema)
         found = _best_of_all(summary, sent, limits, top, False).join(F.broadcast(pairs), "query")
         mined = stored(
@@ -295,8 +301,8 @@ def mine(
                 F.nullif("positive_id", F.lit(NO_ID)).alias("positive_id"),
                 F.col("key_rank").cast("int").alias("rank"),
                 F.nullif("partner", F.lit(NO_ID)).alias("negative_id"),
-                _clamped(F.col("positive")).alias("positive_score"),
-                _clamped(F.col("score")).alias("negative_score"),
+                "positive_score",
+                F.col("score").alias("negative_score"),
             ),
             "hard-negatives",
         )

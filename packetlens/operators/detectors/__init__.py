@@ -4,6 +4,7 @@ from packetlens.operators.detectors import beacon, dns_tunnel, exfiltration, por
 from packetlens.operators.detectors.base import (
     Detector,
     detector_names,
+    evaluate,
     finding_addresses,
     finding_records,
     get_detector,
@@ -15,6 +16,7 @@ from packetlens.operators.detectors.base import (
 __all__ = [
     "Detector",
     "detector_names",
+    "evaluate",
     "finding_addresses",
     "finding_records",
     "get_detector",

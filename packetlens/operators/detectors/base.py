@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packetlens import constants as K
 from packetlens.functions import rank_of, text
+from packetlens.operators.detectors.ledger import Ledger
 from packetlens.operators.flows import Tables
 
 
@@ -105,26 +105,26 @@ def finding_key(detector: str, rule: str, entity: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(detector), F.lit(rule), entity))
 
 
-def _union(frames: Iterable[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def _selected(names: Iterable[str] | None, detectors: Iterable[Detector] | None) -> list[Detector]:
-    return list(detectors) if detectors is not None else [get_detector(n) for n in (names or detector_names())]
+def evaluate(
+    tables: Tables, names: Iterable[str] | None = None, detectors: Iterable[Detector] | None = None
+) -> Ledger:
+    """The stored ledger of all (or the named) detectors' rules; findings and addresses both read it."""
+    chosen = list(detectors) if detectors is not None else [get_detector(n) for n in (names or detector_names())]
+    return Ledger(tables, chosen)
 
 
 def run_detectors(
     tables: Tables, names: Iterable[str] | None = None, detectors: Iterable[Detector] | None = None
 ) -> DataFrame:
-    """Findings of all (or the named) detectors, in one table."""
-    return _union(d.detect(tables) for d in _selected(names, detectors))
+    """Findings of all (or the named) detectors, in one table. With addresses wanted too, use :func:`evaluate` once."""
+    return evaluate(tables, names, detectors).findings()
 
 
 def finding_addresses(
     tables: Tables, names: Iterable[str] | None = None, detectors: Iterable[Detector] | None = None
 ) -> DataFrame:
     """Every (finding, address) pair of all (or the named) detectors."""
-    return _union(d.addresses(tables) for d in _selected(names, detectors)).distinct()
+    return evaluate(tables, names, detectors).addresses()
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:

@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlens.functions import net
 from packetlens.operators.detectors.base import listed_addresses, make_findings, register
-from packetlens.operators.flows import Tables
+from packetlens.operators.detectors.ledger import EDGE, Evidence, LedgerDetector
 from packetlens.operators.timing import gap_statistics
 
-KEYS = ["src_ip", "dst_ip", "dst_port", "protocol"]
-
 
 @register
 @dataclass(frozen=True)
-class BeaconDetector:
+class BeaconDetector(LedgerDetector):
     min_connections: int = 10
     max_jitter: float = 0.15
     known_intervals: tuple[int, ...] = (30, 60, 120, 180, 300, 600, 900, 1800, 3600)
@@ -32,7 +31,7 @@ class BeaconDetector:
         outside = flows.where(~net.is_internal(mode="detector"))
         stats = gap_statistics(
             outside,
-            KEYS,
+            EDGE,
             "start_time",
             sums={"packet_count": F.col("packet_count"), "byte_count": F.col("byte_count")},
         )
@@ -77,8 +76,19 @@ class BeaconDetector:
             .otherwise("low"),
         )
 
-    def detect(self, tables: Tables) -> DataFrame:
-        rows = self.beacons(tables.flows)
+    def measure(self, evidence: Evidence) -> dict[str, DataFrame]:
+        """Beacons per edge. Gaps are taken only on edges with enough connections over enough time."""
+        edges = evidence.edges
+        long_enough = F.col("last_start") - F.col("first_start") >= self.min_duration
+        open_edges = edges.where(
+            ~net.is_internal(mode="detector") & (F.col("connections") >= self.min_connections) & long_enough
+        ).select(*EDGE)
+        flows, wanted = evidence.flows.alias("f"), open_edges.alias("e")
+        same = reduce(lambda a, b: a & b, [F.col(f"f.{k}").eqNullSafe(F.col(f"e.{k}")) for k in EDGE])
+        return {"edge": self.beacons(flows.join(wanted, same, "left_semi"))}
+
+    def report(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
+        rows = measured["edge"]
         c = F.col
         port = F.coalesce(c("dst_port").cast("string"), F.lit("None"))
         proto = F.when(c("protocol") == "TCP", "tcp").otherwise("udp")
@@ -124,5 +134,5 @@ class BeaconDetector:
             ),
         )
 
-    def addresses(self, tables: Tables) -> DataFrame:
-        return listed_addresses(self.detect(tables))
+    def affected(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
+        return listed_addresses(self.report(measured, evidence))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from packetlens.functions import in_place, names
 from packetlens.operators.detectors.base import finding_key, listed_addresses, make_findings, register
-from packetlens.operators.flows import Tables
+from packetlens.operators.detectors.ledger import Evidence, LedgerDetector, names_of
 from packetlens.operators.ranking import top_per_key
 
 
 @register
 @dataclass(frozen=True)
-class DnsTunnelDetector:
+class DnsTunnelDetector(LedgerDetector):
     min_entropy: float = 3.5
     many_subdomains: int = 20
     long_subdomain: float = 30.0
@@ -25,17 +25,9 @@ class DnsTunnelDetector:
 
     name = "dns_tunnel"
 
-    def subdomains(self, dns: DataFrame) -> DataFrame:
+    def subdomains(self, per_name: DataFrame) -> DataFrame:
         """One row per parent and subdomain. Entropy is computed here, once per distinct subdomain."""
-        per_name = dns.groupBy("query_name").agg(
-            F.count(F.lit(1)).alias("queries"),
-            F.count_if(F.col("query_type") == "TXT").alias("txt"),
-            F.count_if(F.col("query_type") == "NULL").alias("null_type"),
-            F.count_if(F.col("response_size") > 0).alias("responses"),
-            F.sum(F.greatest(F.coalesce(F.col("response_size"), F.lit(0)), F.lit(0))).alias("response_bytes"),
-        )
-        named = per_name.withColumn("parent", names.registered_parent("query_name"))
-        named = named.where(in_place(F.col("parent").isNotNull()))
+        named = per_name.where(in_place(F.col("parent").isNotNull()))
         named = named.withColumn("subdomain", names.subdomain_under("query_name", "parent"))
         sums = ["queries", "txt", "null_type", "responses", "response_bytes"]
         return (
@@ -51,10 +43,13 @@ class DnsTunnelDetector:
 
     def domain_profiles(self, dns: DataFrame) -> DataFrame:
         """One row per parent: volumes, mean entropy per query, mean length per distinct subdomain."""
+        return self._profiles(self.subdomains(names_of(dns)))
+
+    @staticmethod
+    def _profiles(subdomains: DataFrame) -> DataFrame:
         with_sub = F.col("subdomain").isNotNull()
         return (
-            self.subdomains(dns)
-            .groupBy("parent")
+            subdomains.groupBy("parent")
             .agg(
                 F.sum("queries").alias("query_count"),
                 F.count("subdomain").alias("unique_subdomains"),
@@ -79,6 +74,9 @@ class DnsTunnelDetector:
 
     def scored(self, dns: DataFrame) -> DataFrame:
         """Profiles with points in whole hundredths, so thresholds are compared exactly."""
+        return self._scored(self.domain_profiles(dns))
+
+    def _scored(self, profiles: DataFrame) -> DataFrame:
         points = (
             F.when(F.col("avg_entropy") >= self.min_entropy, 30).otherwise(0)
             + F.when(F.col("unique_subdomains") >= self.many_subdomains, 25).otherwise(0)
@@ -87,13 +85,15 @@ class DnsTunnelDetector:
             + F.when(F.col("null_query_count") > 0, 10).otherwise(0)
         )
         kept = (F.col("query_count") >= self.min_queries) & ~names.has_benign_suffix("parent")
-        return self.domain_profiles(dns).where(in_place(kept)).withColumn("points", points)
+        return profiles.where(in_place(kept)).withColumn("points", points)
 
     def tunnels(self, dns: DataFrame) -> DataFrame:
         """Parents with enough points."""
+        return self._tunnels(self.scored(dns))
+
+    def _tunnels(self, scored: DataFrame) -> DataFrame:
         return (
-            self.scored(dns)
-            .where(F.col("points") >= self.min_points)
+            scored.where(F.col("points") >= self.min_points)
             .withColumns(
                 {
                     "confidence": F.least(F.lit(100), F.col("points") + 20) / 100.0,
@@ -106,7 +106,11 @@ class DnsTunnelDetector:
 
     def highest_entropies(self, dns: DataFrame, parents: DataFrame) -> DataFrame:
         """The three highest query entropies of the given parents, one array per parent."""
-        subs = self.subdomains(dns).where("subdomain IS NOT NULL").select("parent", "subdomain", "entropy", "queries")
+        return self._highest(self.subdomains(names_of(dns)), parents)
+
+    @staticmethod
+    def _highest(subdomains: DataFrame, parents: DataFrame) -> DataFrame:
+        subs = subdomains.where("subdomain IS NOT NULL").select("parent", "subdomain", "entropy", "queries")
         subs = subs.join(parents.select("parent"), "parent", "left_semi")
         best = top_per_key(subs, ["parent"], [F.col("entropy").desc(), F.col("subdomain")], 3)
         repeated = F.array_repeat(F.col("entropy"), F.least(F.col("queries"), F.lit(3)).cast("int"))
@@ -115,16 +119,17 @@ class DnsTunnelDetector:
 
     def known_tools(self, dns: DataFrame) -> DataFrame:
         """Queries per tunnel tool, with the first five distinct names."""
-        per_name = dns.groupBy("query_name").agg(F.count(F.lit(1)).alias("queries"))
+        return self._tools(names_of(dns))
+
+    @staticmethod
+    def _tools(per_name: DataFrame) -> DataFrame:
         hits = per_name.withColumn("tool", F.explode(names.tunnel_tools("query_name")))
         counts = hits.groupBy("tool").agg(F.sum("queries").alias("match_count"))
         first = top_per_key(hits, ["tool"], [F.col("query_name")], 5)
         samples = first.groupBy("tool").agg(F.array_sort(F.collect_list("query_name")).alias("sample_queries"))
         return counts.join(samples, "tool")
 
-    def _tunnel_findings(self, dns: DataFrame) -> DataFrame:
-        found = self.tunnels(dns)
-        rows = found.join(self.highest_entropies(dns, found), "parent", "left")
+    def _tunnel_findings(self, rows: DataFrame) -> DataFrame:
         c = F.col
         reasons = F.concat_ws(
             "; ",
@@ -159,10 +164,10 @@ class DnsTunnelDetector:
             display_filter=F.concat(F.lit('dns.qry.name contains "'), c("parent"), F.lit('"')),
         )
 
-    def _tool_findings(self, dns: DataFrame) -> DataFrame:
+    def _tool_findings(self, rows: DataFrame) -> DataFrame:
         c = F.col
         return make_findings(
-            self.known_tools(dns),
+            rows,
             self.name,
             "tool",
             c("tool"),
@@ -180,19 +185,25 @@ class DnsTunnelDetector:
             display_filter=F.concat(F.lit('dns.qry.name contains "'), c("tool"), F.lit('"')),
         )
 
-    def detect(self, tables: Tables) -> DataFrame:
-        return self._tunnel_findings(tables.dns).unionByName(self._tool_findings(tables.dns))
-
-    def addresses(self, tables: Tables) -> DataFrame:
-        asked = (
-            tables.dns.where(F.coalesce(F.col("src_ip"), F.lit("")) != "")
-            .select(names.registered_parent("query_name").alias("parent"), F.col("src_ip").alias("ip"))
-            .distinct()
-            .join(self.tunnels(tables.dns).select("parent"), "parent", "left_semi")
-        )
-        long_form = asked.select(
+    def measure(self, evidence: Evidence) -> dict[str, DataFrame]:
+        """Tunnels per parent domain, with their highest entropies, and queries per tool."""
+        subs = evidence.keep(self.subdomains(evidence.names))
+        found = evidence.keep(self._tunnels(self._scored(self._profiles(subs))))
+        return {
+            "parent": found.join(self._highest(subs, found), "parent", "left"),
+            "tool": self._tools(evidence.names),
+        }
+
+    def report(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
+        return self._tunnel_findings(measured["parent"]).unionByName(self._tool_findings(measured["tool"]))
+
+    def affected(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
+        """Who asked for names under a tunnel's parent. Parents are found per name, not per query."""
+        under = evidence.names.select("query_name", "parent").join(measured["parent"].select("parent"), "parent", "left_semi")
+        asked = evidence.tables.dns.where(F.coalesce(F.col("src_ip"), F.lit("")) != "").join(under, "query_name")
+        long_form = asked.select("parent", F.col("src_ip").alias("ip")).distinct().select(
             finding_key(self.name, "tunnel", F.col("parent")).alias("finding_id"),
             F.lit(self.name).alias("detector"),
             "ip",
         )
-        return long_form.unionByName(listed_addresses(self._tool_findings(tables.dns)))
+        return long_form.unionByName(listed_addresses(self._tool_findings(measured["tool"])))

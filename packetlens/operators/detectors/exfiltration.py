@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,15 +11,15 @@ from pyspark.sql import functions as F
 
 from packetlens import constants as K
 from packetlens.functions import names, net, text
-from packetlens.operators.detectors.base import finding_key, make_findings, register
-from packetlens.operators.flows import Tables
+from packetlens.operators.detectors.base import make_findings, register
+from packetlens.operators.detectors.ledger import Evidence, LedgerDetector, Measure, holding, names_of, rule_bits, single_flows
 
 MIB = 1024 * 1024
 
 
 @register
 @dataclass(frozen=True)
-class ExfiltrationDetector:
+class ExfiltrationDetector(LedgerDetector):
     min_bytes: int = 10 * MIB
     large_bytes: int = 50 * MIB
     high_ratio: float = 10.0
@@ -29,33 +30,56 @@ class ExfiltrationDetector:
 
     name = "exfiltration"
 
+    def flow_measures(self) -> dict[str, Measure]:
+        late = lambda value, merge=F.sum: Measure(lambda: F.when(self.in_off_hours(F.col("start_time")), value()), merge)
+        return {
+            self._late("connections"): late(lambda: F.lit(1)),
+            self._late("bytes"): late(lambda: F.col("byte_count")),
+            self._late("packets"): late(lambda: F.col("packet_count")),
+            self._late("first_start"): late(lambda: F.col("start_time"), F.min),
+            self._late("last_start"): late(lambda: F.col("start_time"), F.max),
+        }
+
+    def _late(self, measure: str) -> str:
+        """Name of a measure that counts off hours only; detectors with other hours have other names."""
+        return f"{measure}_{self.off_hours_start}_{self.off_hours_end}"
+
+    def _destination_aggregates(self, out: Column, named: Callable[[str], str]) -> list[Column]:
+        """Measures of what was sent to a destination, from the edge measures called ``named(...)``."""
+        sent = out & F.col(named("connections")).isNotNull()
+        when = lambda c: F.when(sent, F.col(c))
+        return [
+            F.sum(when(named("connections"))).alias(named("flow_count")),
+            F.count_distinct(when("src_ip")).alias(named("source_count")),
+            F.array_sort(F.collect_set(when("dst_port"))).alias(named("dst_ports")),
+            F.array_sort(F.collect_set(when("protocol"))).alias(named("protocols")),
+            F.sum(when(named("packets"))).alias(named("total_packets")),
+            F.sum(when(named("bytes"))).alias(named("bytes_out")),
+            F.sum(F.when(out, 0).otherwise(F.coalesce(F.col(named("bytes")), F.lit(0)))).alias(named("bytes_in")),
+            F.min(when(named("first_start"))).alias(named("first_start")),
+            F.max(when(named("last_start"))).alias(named("last_start")),
+        ]
+
+    def _destinations(self, edges: DataFrame, *variants: Callable[[str], str]) -> DataFrame:
+        """One row per external address that internal hosts sent to; both directions in one pass."""
+        src_private = net.is_private("src_ip", "detector")
+        dst_private = net.is_private("dst_ip", "detector")
+        sent = edges.withColumn("_out", src_private & ~dst_private).where(F.col("_out") | (dst_private & ~src_private))
+        out = F.col("_out")
+        external = F.when(out, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("dst_ip")
+        return sent.groupBy(external).agg(*[a for named in variants for a in self._destination_aggregates(out, named)])
+
+    @staticmethod
+    def _with_ratio(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("byte_ratio", net.byte_ratio("bytes_out", "bytes_in", both_zero=0.0))
+
     def destination_profiles(self, flows: DataFrame) -> DataFrame:
         """One row per external address that internal hosts sent to; both directions in one pass.
 
         Sources are counted as the one distinct aggregate; the port set is bounded by 65,535.
         """
-        src_private = net.is_private("src_ip", "detector")
-        dst_private = net.is_private("dst_ip", "detector")
-        sent = flows.withColumn("_out", src_private & ~dst_private).where(
-            F.col("_out") | (dst_private & ~src_private)
-        )
-        out = F.col("_out")
-        return (
-            sent.groupBy(F.when(out, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("dst_ip"))
-            .agg(
-                F.count(F.when(out, 1)).alias("flow_count"),
-                F.count_distinct(F.when(out, F.col("src_ip"))).alias("source_count"),
-                F.array_sort(F.collect_set(F.when(out, F.col("dst_port")))).alias("dst_ports"),
-                F.array_sort(F.collect_set(F.when(out, F.col("protocol")))).alias("protocols"),
-                F.sum(F.when(out, F.col("packet_count"))).alias("total_packets"),
-                F.sum(F.when(out, F.col("byte_count"))).alias("bytes_out"),
-                F.sum(F.when(out, 0).otherwise(F.col("byte_count"))).alias("bytes_in"),
-                F.min(F.when(out, F.col("start_time"))).alias("first_start"),
-                F.max(F.when(out, F.col("start_time"))).alias("last_start"),
-            )
-            .where(F.col("flow_count") > 0)
-            .withColumn("byte_ratio", net.byte_ratio("bytes_out", "bytes_in", both_zero=0.0))
-        )
+        rows = self._destinations(single_flows(flows, {}), str)
+        return self._with_ratio(rows.where(F.col("flow_count") > 0))
 
     def _sized(self, profiles: DataFrame) -> DataFrame:
         seconds = F.col("last_start") - F.col("first_start")
@@ -85,32 +109,37 @@ class ExfiltrationDetector:
         """Large transfers counting only flows that started off hours."""
         return self._sized(self.destination_profiles(flows.where(self.in_off_hours(F.col("start_time")))))
 
+    def _is_lopsided(self) -> Column:
+        return (F.col("bytes_out") >= self.min_bytes) & (F.col("byte_ratio") >= self.high_ratio)
+
+    def _ratio_measures(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns(
+            {
+                "severity": F.when(F.col("byte_ratio") < 50, "medium").otherwise("high"),
+                "confidence": F.least(F.lit(0.8), F.lit(0.4) + F.col("byte_ratio") / 100),
+            }
+        )
+
     def high_ratios(self, flows: DataFrame) -> DataFrame:
         """Destinations that got far more than they sent back."""
-        return (
-            self.destination_profiles(flows)
-            .where((F.col("bytes_out") >= self.min_bytes) & (F.col("byte_ratio") >= self.high_ratio))
-            .withColumns(
-                {
-                    "severity": F.when(F.col("byte_ratio") < 50, "medium").otherwise("high"),
-                    "confidence": F.least(F.lit(0.8), F.lit(0.4) + F.col("byte_ratio") / 100),
-                }
-            )
-        )
+        return self._ratio_measures(self.destination_profiles(flows).where(self._is_lopsided()))
 
     def protocol_volumes(self, flows: DataFrame, dns: DataFrame) -> DataFrame:
         """DNS payload and ICMP bytes of the whole input, where above their thresholds."""
-        dns_total = dns.agg(
+        return self._volumes(single_flows(flows, {}), names_of(dns))
+
+    def _volumes(self, edges: DataFrame, per_name: DataFrame) -> DataFrame:
+        dns_total = per_name.agg(
             F.lit("DNS").alias("protocol"),
-            F.coalesce(F.sum(F.length("query_name") + F.col("response_size")), F.lit(0)).alias("total_bytes"),
-            F.count(F.lit(1)).alias("item_count"),
+            F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("total_bytes"),
+            F.coalesce(F.sum("queries"), F.lit(0)).alias("item_count"),
         ).where(F.col("total_bytes") >= self.dns_bytes)
         icmp_total = (
-            flows.where(F.col("protocol") == "ICMP")
+            edges.where(F.col("protocol") == "ICMP")
             .agg(
                 F.lit("ICMP").alias("protocol"),
-                F.coalesce(F.sum("byte_count"), F.lit(0)).alias("total_bytes"),
-                F.count(F.lit(1)).alias("item_count"),
+                F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"),
+                F.coalesce(F.sum("connections"), F.lit(0)).alias("item_count"),
             )
             .where(F.col("total_bytes") >= self.icmp_bytes)
         )
@@ -169,13 +198,13 @@ class ExfiltrationDetector:
             display_filter=F.concat(F.lit("ip.dst == "), c("dst_ip")),
         )
 
-    def _ratio_findings(self, flows: DataFrame) -> DataFrame:
+    def _ratio_findings(self, rows: DataFrame) -> DataFrame:
         c = F.col
         ratio = F.when(c("byte_ratio") == float("inf"), "inf").otherwise(
             F.format_string("%.0f", F.bround("byte_ratio", 0))
         )
         return make_findings(
-            self.high_ratios(flows),
+            self._ratio_measures(rows),
             self.name,
             "high_ratio",
             c("dst_ip"),
@@ -191,12 +220,12 @@ class ExfiltrationDetector:
             display_filter=F.concat(F.lit("ip.dst == "), c("dst_ip")),
         )
 
-    def _protocol_findings(self, flows: DataFrame, dns: DataFrame) -> DataFrame:
+    def _protocol_findings(self, rows: DataFrame) -> DataFrame:
         c = F.col
         size = text.format_bytes("total_bytes", "binary_large")
         is_dns = c("protocol") == "DNS"
         return make_findings(
-            self.protocol_volumes(flows, dns),
+            rows,
             self.name,
             "protocol_volume",
             c("protocol"),
@@ -216,12 +245,12 @@ class ExfiltrationDetector:
             display_filter=F.lower("protocol"),
         )
 
-    def _hosting_findings(self, tls: DataFrame) -> DataFrame:
+    def _hosting_findings(self, rows: DataFrame) -> DataFrame:
         c = F.col
         is_paste = c("category") == "paste_site"
         label = F.when(is_paste, "Paste Site").otherwise("Cloud Storage")
         return make_findings(
-            self.hosting_access(tls),
+            rows,
             self.name,
             "hosting_access",
             c("domain"),
@@ -238,37 +267,58 @@ class ExfiltrationDetector:
             display_filter=F.concat(F.lit('tls.handshake.extensions_server_name contains "'), c("domain"), F.lit('"')),
         )
 
-    def detect(self, tables: Tables) -> DataFrame:
-        flows = tables.flows
+    def measure(self, evidence: Evidence) -> dict[str, DataFrame]:
+        """Destinations by all their flows and by those off hours, volumes per protocol, and services."""
+        all_day = self._destinations(evidence.edges, str, self._late)
+        judged = self._with_ratio(all_day).withColumn(
+            "rules",
+            rule_bits(
+                large_transfer=F.col("bytes_out") >= self.min_bytes,
+                off_hours_transfer=F.col(self._late("bytes_out")) >= self.min_bytes,
+                high_ratio=self._is_lopsided(),
+            ),
+        )
+        out = {"destination": judged.where(F.col("rules") > 0)}
+        if evidence.tables.dns is not None:
+            out["protocol"] = self._volumes(evidence.edges, evidence.names)
+        if evidence.tables.tls is not None:
+            out["service"] = self.hosting_access(evidence.tables.tls)
+        return out
+
+    def _off_hours(self, destinations: DataFrame) -> DataFrame:
+        """The destinations of the off-hours rule, with their off-hours measures under the common names."""
+        shared = ["flow_count", "source_count", "dst_ports", "protocols", "total_packets", "bytes_out", "bytes_in", "first_start", "last_start"]
+        rows = holding(destinations, 1).select("dst_ip", *[F.col(self._late(m)).alias(m) for m in shared])
+        return self._with_ratio(rows)
+
+    def report(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
+        destinations = measured["destination"]
         parts = [
-            self._transfer_findings(self.large_transfers(flows), "large_transfer", "Large Transfer", ""),
+            self._transfer_findings(self._sized(holding(destinations, 0)), "large_transfer", "Large Transfer", ""),
             self._transfer_findings(
-                self.off_hours_transfers(flows), "off_hours_transfer", "Off-Hours Transfer", " outside working hours"
+                self._sized(self._off_hours(destinations)), "off_hours_transfer", "Off-Hours Transfer", " outside working hours"
             ),
-            self._ratio_findings(flows),
+            self._ratio_findings(holding(destinations, 2)),
         ]
-        if tables.dns is not None:
-            parts.append(self._protocol_findings(flows, tables.dns))
-        if tables.tls is not None:
-            parts.append(self._hosting_findings(tables.tls))
+        if "protocol" in measured:
+            parts.append(self._protocol_findings(measured["protocol"]))
+        if "service" in measured:
+            parts.append(self._hosting_findings(measured["service"]))
         return reduce(DataFrame.unionByName, parts)
 
-    def addresses(self, tables: Tables) -> DataFrame:
-        flows = tables.flows
-        out = net.is_outbound(mode="detector")
-        pairs = flows.where(out).select("dst_ip", "src_ip").distinct()
-        late = flows.where(out & self.in_off_hours(F.col("start_time"))).select("dst_ip", "src_ip").distinct()
-        rules = [
-            ("large_transfer", self.large_transfers(flows), pairs),
-            ("off_hours_transfer", self.off_hours_transfers(flows), late),
-            ("high_ratio", self.high_ratios(flows), pairs),
-        ]
-
-        def long_form(rule, found, sources):
-            hit = sources.join(found.select("dst_ip"), "dst_ip", "left_semi")
-            ips = F.explode(F.array("dst_ip", "src_ip")).alias("ip")
-            return hit.select(
-                finding_key(self.name, rule, F.col("dst_ip")).alias("finding_id"), F.lit(self.name).alias("detector"), ips
-            ).distinct()
-
-        return reduce(DataFrame.unionByName, [long_form(*r) for r in rules])
+    def affected(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
+        """The destination of every rule and the hosts that sent to it; off hours, those that sent then."""
+        sent = evidence.edges.where(net.is_outbound(mode="detector"))
+        pairs = sent.groupBy("dst_ip", "src_ip").agg(F.max(F.col(self._late("connections")).isNotNull()).alias("late"))
+        met = pairs.join(measured["destination"].select("dst_ip", "rules"), "dst_ip")
+        held = F.array_compact(
+            F.array(
+                F.when(F.col("rules").bitwiseAND(F.lit(1)) > 0, F.lit("large_transfer")),
+                F.when((F.col("rules").bitwiseAND(F.lit(2)) > 0) & F.col("late"), F.lit("off_hours_transfer")),
+                F.when(F.col("rules").bitwiseAND(F.lit(4)) > 0, F.lit("high_ratio")),
+            )
+        )
+        rows = met.select("dst_ip", "src_ip", F.explode(held).alias("rule"))
+        key = F.md5(F.concat_ws("|", F.lit(self.name), F.col("rule"), F.col("dst_ip"))).alias("finding_id")
+        ips = F.explode(F.array("dst_ip", "src_ip")).alias("ip")
+        return rows.select(key, F.lit(self.name).alias("detector"), ips).distinct()

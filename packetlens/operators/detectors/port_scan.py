@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlens import constants as K
-from packetlens.operators.detectors.base import finding_key, listed_addresses, make_findings, register
-from packetlens.operators.flows import Tables
+from packetlens.operators.detectors.base import make_findings, register
+from packetlens.operators.detectors.ledger import Evidence, LedgerDetector, Measure, holding, rule_bits, single_flows
 from packetlens.operators.ranking import top_per_key
 from packetlens.operators.timing import first_busy_window
 
@@ -28,32 +28,38 @@ def sequential_runs(ports: Column) -> Column:
 
 @register
 @dataclass(frozen=True)
-class PortScanDetector:
+class PortScanDetector(LedgerDetector):
     min_hosts: int = 10
     min_ports: int = 20
     unanswered_share: float = 0.8
     min_connections: int = 15
     rapid_window: int = 60
     rapid_connections: int = 50
+    listed_hosts: int = 20
 
     name = "port_scan"
 
+    def flow_measures(self) -> dict[str, Measure]:
+        failed = lambda: ((F.col("packet_count") <= 3) & (F.col("byte_count") < 200)).cast("int")
+        return {"failed": Measure(failed)}
+
     def profiles(self, flows: DataFrame) -> DataFrame:
-        """One row per TCP source. Hosts are the one distinct count; the port set has at most 65,535 entries.
+        """One row per TCP source. Hosts are the one distinct count; the port set has at most 65,535 entries."""
+        found = self._sources(single_flows(flows, self.flow_measures()))
+        return found.where(F.col("total_connections") >= self.min_connections)
 
-        The findings of all rules read the same profile fields, so their plans share one aggregation.
-        """
-        failed = (F.col("packet_count") <= 3) & (F.col("byte_count") < 200)
+    @staticmethod
+    def _sources(edges: DataFrame) -> DataFrame:
         return (
-            flows.where(F.col("protocol") == "TCP")
+            edges.where(F.col("protocol") == "TCP")
             .groupBy("src_ip")
             .agg(
                 F.count_distinct("dst_ip").alias("unique_hosts"),
                 F.array_sort(F.collect_set("dst_port")).alias("ports"),
-                F.count(F.lit(1)).alias("total_connections"),
-                F.count_if(failed).alias("failed_connections"),
-                F.min("start_time").alias("first_start"),
-                F.max("start_time").alias("last_start"),
+                F.sum("connections").alias("total_connections"),
+                F.sum("failed").alias("failed_connections"),
+                F.min("first_start").alias("first_start"),
+                F.max("last_start").alias("last_start"),
             )
             .withColumns(
                 {
@@ -61,9 +67,18 @@ class PortScanDetector:
                     "failure_rate": F.col("failed_connections") / F.col("total_connections"),
                 }
             )
-            .where(F.col("total_connections") >= self.min_connections)
         )
 
+    def _is_horizontal(self) -> Column:
+        hosts, ports = F.col("unique_hosts"), F.col("unique_ports")
+        return (hosts >= self.min_hosts) & (ports <= 5) & (hosts / F.greatest(ports, F.lit(1)) >= 3)
+
+    def _is_vertical(self) -> Column:
+        return (F.col("unique_ports") >= self.min_ports) & (F.col("unique_hosts") <= 3)
+
+    def _is_stealth(self) -> Column:
+        return (F.col("failed_connections") > 0) & (F.col("failure_rate") >= self.unanswered_share)
+
     @staticmethod
     def _banded(rows: DataFrame, size: str) -> DataFrame:
         n = F.col(size)
@@ -76,11 +91,7 @@ class PortScanDetector:
 
     def horizontal(self, flows: DataFrame) -> DataFrame:
         """Many hosts on few ports."""
-        hosts, ports = F.col("unique_hosts"), F.col("unique_ports")
-        spread = hosts / F.greatest(ports, F.lit(1)) >= 3
-        return self._banded(
-            self.profiles(flows).where((hosts >= self.min_hosts) & (ports <= 5) & spread), "unique_hosts"
-        )
+        return self._banded(self.profiles(flows).where(self._is_horizontal()), "unique_hosts")
 
     def targeted_ports(self, flows: DataFrame, n: int = 5) -> DataFrame:
         """The n ports of each source that reach most hosts."""
@@ -91,9 +102,7 @@ class PortScanDetector:
         )
         return top_per_key(per_port, ["src_ip"], [F.col("hosts").desc(), F.col("dst_port")], n)
 
-    def vertical(self, flows: DataFrame) -> DataFrame:
-        """Many ports on few hosts."""
-        rows = self.profiles(flows).where((F.col("unique_ports") >= self.min_ports) & (F.col("unique_hosts") <= 3))
+    def _vertical_measures(self, rows: DataFrame) -> DataFrame:
         sensitive = F.array(*[F.lit(p) for p in K.SENSITIVE_PORTS])
         return self._banded(rows, "unique_ports").withColumns(
             {
@@ -104,48 +113,72 @@ class PortScanDetector:
             }
         )
 
+    def vertical(self, flows: DataFrame) -> DataFrame:
+        """Many ports on few hosts."""
+        return self._vertical_measures(self.profiles(flows).where(self._is_vertical()))
+
+    def _stealth_measures(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("confidence", F.least(F.lit(0.9), F.lit(0.5) + F.col("failure_rate") * 0.4))
+
     def stealth(self, flows: DataFrame) -> DataFrame:
         """Mostly unanswered connections."""
-        return (
-            self.profiles(flows)
-            .where((F.col("failed_connections") > 0) & (F.col("failure_rate") >= self.unanswered_share))
-            .withColumn("confidence", F.least(F.lit(0.9), F.lit(0.5) + F.col("failure_rate") * 0.4))
-        )
+        return self._stealth_measures(self.profiles(flows).where(self._is_stealth()))
 
-    def rapid(self, flows: DataFrame) -> DataFrame:
-        """The first minute in which a source opened 50 connections."""
+    def _windows(self, flows: DataFrame) -> DataFrame:
         tcp = flows.where(F.col("protocol") == "TCP")
-        found = first_busy_window(tcp, "src_ip", "start_time", self.rapid_window, self.rapid_connections)
+        return first_busy_window(tcp, "src_ip", "start_time", self.rapid_window, self.rapid_connections)
+
+    def _rapid_measures(self, rows: DataFrame) -> DataFrame:
         n = F.col("events_in_window")
-        return found.withColumns(
+        return rows.withColumns(
             {
                 "rate_per_second": n / self.rapid_window,
                 "confidence": F.least(F.lit(0.85), F.lit(0.5) + n / 200),
             }
         )
 
-    def _hosts_of(self, flows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-        """The first n target hosts, in text order, of the given sources."""
-        pairs = (
-            flows.where(F.col("protocol") == "TCP")
-            .select("src_ip", "dst_ip")
-            .distinct()
-            .join(sources.select("src_ip"), "src_ip", "left_semi")
-        )
-        first = top_per_key(pairs, ["src_ip"], [F.col("dst_ip")], n)
-        return first.groupBy("src_ip").agg(F.array_sort(F.collect_list("dst_ip")).alias("hosts"))
+    def rapid(self, flows: DataFrame) -> DataFrame:
+        """The first minute in which a source opened 50 connections."""
+        return self._rapid_measures(self._windows(flows))
 
-    def _horizontal_findings(self, flows: DataFrame) -> DataFrame:
-        c = F.col
-        found = self.horizontal(flows)
-        ranked = self.targeted_ports(flows.join(found.select("src_ip"), "src_ip", "left_semi"))
+    def measure(self, evidence: Evidence) -> dict[str, DataFrame]:
+        """Scanning sources. Windows are counted only for sources with enough connections in all."""
+        edges = evidence.edges.where(F.col("protocol") == "TCP")
+        sources = evidence.keep(
+            self._sources(edges).where(F.col("total_connections") >= min(self.min_connections, self.rapid_connections))
+        )
+        busy = sources.where(F.col("total_connections") >= self.rapid_connections).select("src_ip")
+        windows = self._windows(evidence.flows.join(busy, "src_ip", "left_semi"))
+        enough = F.col("total_connections") >= self.min_connections
+        judged = sources.join(windows, "src_ip", "left").withColumn(
+            "rules",
+            rule_bits(
+                horizontal=enough & self._is_horizontal(),
+                vertical=enough & self._is_vertical(),
+                stealth=enough & self._is_stealth(),
+                rapid=F.col("events_in_window").isNotNull(),
+            ),
+        )
+        found = evidence.keep(judged.where(F.col("rules") > 0))
+        # What reports list of the targets: the first hosts in text order, and the ports that reach most hosts.
+        wide = found.where(F.col("rules").bitwiseAND(F.lit(0b11)) > 0).select("src_ip")
+        tried = edges.join(wide, "src_ip", "left_semi")
+        first = top_per_key(tried.select("src_ip", "dst_ip").distinct(), ["src_ip"], [F.col("dst_ip")], self.listed_hosts)
+        hosts = first.groupBy("src_ip").agg(F.array_sort(F.collect_list("dst_ip")).alias("hosts"))
+        # An edge is one host on one port, so counting edges counts hosts.
+        per_port = tried.groupBy("src_ip", "dst_port").agg(F.count(F.lit(1)).alias("hosts"))
+        ranked = top_per_key(per_port, ["src_ip"], [F.col("hosts").desc(), F.col("dst_port")], 5)
         listed = F.array_sort(F.collect_list(F.struct("key_rank", "dst_port", "hosts")))
         top = ranked.groupBy("src_ip").agg(
             F.array_join(
                 F.transform(listed, lambda s: F.concat(s["dst_port"].cast("string"), F.lit(":"), s["hosts"].cast("string"))), ","
             ).alias("top_ports")
         )
-        rows = found.join(self._hosts_of(flows, found, 20), "src_ip", "left").join(top, "src_ip", "left")
+        return {"source": found.join(hosts, "src_ip", "left").join(top, "src_ip", "left")}
+
+    def _horizontal_findings(self, sources: DataFrame) -> DataFrame:
+        c = F.col
+        rows = self._banded(holding(sources, 0), "unique_hosts")
         return make_findings(
             rows,
             self.name,
@@ -175,10 +208,9 @@ class PortScanDetector:
             display_filter=F.concat(F.lit("ip.src == "), c("src_ip"), F.lit(" && tcp.flags.syn == 1")),
         )
 
-    def _vertical_findings(self, flows: DataFrame) -> DataFrame:
+    def _vertical_findings(self, sources: DataFrame) -> DataFrame:
         c = F.col
-        found = self.vertical(flows)
-        rows = found.join(self._hosts_of(flows, found, 5), "src_ip")
+        rows = self._vertical_measures(holding(sources, 1)).withColumn("hosts", F.slice("hosts", 1, 5))
         return make_findings(
             rows,
             self.name,
@@ -212,10 +244,10 @@ class PortScanDetector:
             ),
         )
 
-    def _stealth_findings(self, flows: DataFrame) -> DataFrame:
+    def _stealth_findings(self, sources: DataFrame) -> DataFrame:
         c = F.col
         return make_findings(
-            self.stealth(flows),
+            self._stealth_measures(holding(sources, 2)),
             self.name,
             "stealth",
             c("src_ip"),
@@ -242,10 +274,10 @@ class PortScanDetector:
             ),
         )
 
-    def _rapid_findings(self, flows: DataFrame) -> DataFrame:
+    def _rapid_findings(self, sources: DataFrame) -> DataFrame:
         c = F.col
         return make_findings(
-            self.rapid(flows),
+            self._rapid_measures(holding(sources, 3)),
             self.name,
             "rapid",
             c("src_ip"),
@@ -266,45 +298,25 @@ class PortScanDetector:
             display_filter=F.concat(F.lit("ip.src == "), c("src_ip")),
         )
 
-    def detect(self, tables: Tables) -> DataFrame:
-        flows = tables.flows
+    def report(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
+        sources = measured["source"]
         return reduce(
             DataFrame.unionByName,
             [
-                self._horizontal_findings(flows),
-                self._vertical_findings(flows),
-                self._stealth_findings(flows),
-                self._rapid_findings(flows),
+                self._horizontal_findings(sources),
+                self._vertical_findings(sources),
+                self._stealth_findings(sources),
+                self._rapid_findings(sources),
             ],
         )
 
-    def _scan_addresses(self, flows: DataFrame, found: DataFrame, rule: str) -> DataFrame:
-        """The scanner and every host it tried, as rows; only the list shown in the finding is cut."""
-        key = finding_key(self.name, rule, F.col("src_ip")).alias("finding_id")
-        scanners = found.select("src_ip")
-        tried = (
-            flows.where(F.col("protocol") == "TCP").select("src_ip", "dst_ip").distinct().join(scanners, "src_ip", "left_semi")
-        )
-        both = scanners.withColumn("ip", F.col("src_ip")).unionAll(tried)
+    def affected(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
+        """The scanner of every rule, and every host that a horizontal or vertical scan tried."""
+        rules = ("horizontal", "vertical", "stealth", "rapid")
+        keyed = [F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) > 0, F.lit(rule)) for i, rule in enumerate(rules)]
+        held = measured["source"].select("src_ip", F.explode(F.array_compact(F.array(*keyed))).alias("rule"))
+        tried = evidence.edges.where(F.col("protocol") == "TCP").select("src_ip", "dst_ip").distinct()
+        hosts = held.where(F.col("rule").isin("horizontal", "vertical")).join(tried, "src_ip")
+        both = held.withColumn("ip", F.col("src_ip")).unionAll(hosts.select("src_ip", "rule", "dst_ip"))
+        key = F.md5(F.concat_ws("|", F.lit(self.name), F.col("rule"), F.col("src_ip"))).alias("finding_id")
         return both.select(key, F.lit(self.name).alias("detector"), "ip")
-
-    def addresses(self, tables: Tables) -> DataFrame:
-        flows = tables.flows
-        listed = reduce(
-            DataFrame.unionByName,
-            [
-                self._scan_addresses(flows, self.horizontal(flows), "horizontal"),
-                self._scan_addresses(flows, self.vertical(flows), "vertical"),
-                self.stealth(flows).select(
-                    finding_key(self.name, "stealth", F.col("src_ip")).alias("finding_id"),
-                    F.lit(self.name).alias("detector"),
-                    F.col("src_ip").alias("ip"),
-                ),
-                self.rapid(flows).select(
-                    finding_key(self.name, "rapid", F.col("src_ip")).alias("finding_id"),
-                    F.lit(self.name).alias("detector"),
-                    F.col("src_ip").alias("ip"),
-                ),
-            ],
-        )
-        return listed

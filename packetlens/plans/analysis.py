@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.operators import anomalies, filters, indicators, intel, stats
-from packetlens.operators.detectors import finding_addresses, run_detectors
+from packetlens.operators.detectors import evaluate
 from packetlens.operators.flows import Tables, all_addresses, all_domains, build_conversations, build_flows
 from packetlens.sources.decode import dns_of, packets_of, tls_of
 from packetlens.session import cut_lineage
@@ -98,11 +98,12 @@ def analyze(
 ) -> dict[str, DataFrame]:
     """Statistics, findings, selected indicators, staged look-ups and display filters.
 
-    Findings and look-up results are few and dear to compute, and several outputs read them:
-    both are written to the checkpoint folder first.
+    Rules are evaluated once, into a stored ledger that findings and their addresses are read from. Look-up results
+    are few and dear to compute, so they are written to the checkpoint folder too.
     """
     legit = legit_domain_list(spark) if legit is None else legit
-    findings = cut_lineage(run_detectors(tables))
+    ledger = evaluate(tables)
+    findings = ledger.findings()
     selected = indicators.select_indicators(tables.flows, tables.dns, tables.tls, legit, share, largest)
     enriched = cut_lineage(intel.cascade(selected.select("value", "indicator_type"), otx, abuse, vt))
     sections = compute_statistics(tables)
@@ -110,7 +111,7 @@ def analyze(
     made = made.unionByName(filters.filters_from_anomalies(sections["anomalies"]))
     return sections | {
         "findings": findings,
-        "finding_ips": finding_addresses(tables),
+        "finding_ips": ledger.addresses(),
         "indicators": selected,
         "enriched": enriched,
         "flagged_indicators": intel.flagged_indicators(enriched),
@@ -122,12 +123,12 @@ def enrich_all(
     tables: Tables, otx: DataFrame | None = None, abuse: DataFrame | None = None, vt: DataFrame | None = None
 ) -> DataFrame:
     """The second path: every address and name, prioritised by findings, capped, then looked up."""
-    findings = cut_lineage(run_detectors(tables))
+    ledger = evaluate(tables)
     ranked = indicators.prioritize_indicators(
         all_addresses(tables.flows),
         all_domains(tables.dns, tables.tls),
-        finding_addresses(tables),
-        indicators.finding_domains(findings),
+        ledger.addresses(),
+        indicators.finding_domains(ledger.findings()),
     )
     capped = indicators.cap_by_priority(ranked)
     # The value column is called indicator once it is looked up.

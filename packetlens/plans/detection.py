@@ -20,7 +20,6 @@ from packetlens.plans import sqltext as S
 from packetlens.plans.catalog import query
 from packetlens.plans.traffic import FLOWS_CTE, _buckets, packets
 from packetlens.plans.views import view
-from packetlens.session import cut_lineage
 
 # ---- beacons -------------------------------------------------------------------------------
 
@@ -526,8 +525,7 @@ def finding_addresses_query(spark, sf):
 @query("display_filters_findings", _FINDING_VIEWS, """
 SELECT title AS name, display_filter AS filter, detector AS category, severity, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM found""", FINDING_CTE)
 def display_filters_findings(spark, sf):
-    # Findings are few and dear to compute: they are written once before filters are made of them.
-    made = D.filters_from_findings(cut_lineage(run_detectors(_finding_tables(spark, sf))))
+    made = D.filters_from_findings(run_detectors(_finding_tables(spark, sf)))
     return made.select("name", "filter", "category", "severity", F.round("confidence", 6).alias("confidence"))
 
 

@@ -15,7 +15,7 @@ from packetlens.operators import flows as fl
 from packetlens.operators import indicators as N
 from packetlens.operators import intel as X
 from packetlens.operators import textops
-from packetlens.operators.detectors import finding_addresses, run_detectors
+from packetlens.operators.detectors import evaluate
 from packetlens.operators.detectors.dns_tunnel import DnsTunnelDetector
 from packetlens.operators.detectors.exfiltration import ExfiltrationDetector
 from packetlens.plans import sqltext as S
@@ -23,7 +23,7 @@ from packetlens.plans.catalog import query
 from packetlens.plans.detection import DNS_CTE, EXFIL_CTE
 from packetlens.plans.traffic import FLOWS_CTE, packets
 from packetlens.plans.views import view
-from packetlens.session import cut_lineage
+from packetlens.session import write_once
 from packetlens.sources.lists import bundled_legit_domains, legit_domain_list
 
 # ---- tables --------------------------------------------------------------------------------
@@ -188,10 +188,10 @@ def _seen_and_flagged(spark, sf):
         used = [n for n in ("traffic_v", "dns_v", "tls_v") if "{" + n + "}" in text]
         seen.append(spark.sql(text, **{n: view(spark, sf, n) for n in used}))
     # Several rules read the flows: they are written once.
-    tables = fl.Tables(flows=cut_lineage(fl.build_flows(packets(spark, sf))), dns=view(spark, sf, "dns_v"), tls=view(spark, sf, "tls_v"))
+    tables = fl.Tables(flows=write_once(fl.build_flows(packets(spark, sf)), "flows"), dns=view(spark, sf, "dns_v"), tls=view(spark, sf, "tls_v"))
     detectors = [DnsTunnelDetector(), ExfiltrationDetector(min_bytes=_LARGE)]
-    found = run_detectors(tables, detectors=detectors)
-    return (*seen, finding_addresses(tables, detectors=detectors), N.finding_domains(found))
+    ledger = evaluate(tables, detectors=detectors)
+    return (*seen, ledger.addresses(), N.finding_domains(ledger.findings()))
 
 
 def _plain(text: str) -> str:

@@ -24,6 +24,7 @@ class DnsTunnelDetector(LedgerDetector):
     min_points: int = 35
 
     name = "dns_tunnel"
+    reads = ("names",)
 
     def subdomains(self, per_name: DataFrame) -> DataFrame:
         """One row per parent and subdomain. Entropy is computed here, once per distinct subdomain."""
@@ -188,7 +189,7 @@ class DnsTunnelDetector(LedgerDetector):
     def measure(self, evidence: Evidence) -> dict[str, DataFrame]:
         """Tunnels per parent domain, with their highest entropies, and queries per tool."""
         subs = evidence.keep(self.subdomains(evidence.names))
-        found = evidence.keep(self._tunnels(self._scored(self._profiles(subs))))
+        found = self._tunnels(self._scored(self._profiles(subs)))
         return {
             "parent": found.join(self._highest(subs, found), "parent", "left"),
             "tool": self._tools(evidence.names),

@@ -29,6 +29,7 @@ class ExfiltrationDetector(LedgerDetector):
     off_hours_end: int = 6
 
     name = "exfiltration"
+    reads = ("edges", "names")
 
     def flow_measures(self) -> dict[str, Measure]:
         late = lambda value, merge=F.sum: Measure(lambda: F.when(self.in_off_hours(F.col("start_time")), value()), merge)
@@ -44,30 +45,51 @@ class ExfiltrationDetector(LedgerDetector):
         """Name of a measure that counts off hours only; detectors with other hours have other names."""
         return f"{measure}_{self.off_hours_start}_{self.off_hours_end}"
 
-    def _destination_aggregates(self, out: Column, named: Callable[[str], str]) -> list[Column]:
-        """Measures of what was sent to a destination, from the edge measures called ``named(...)``."""
-        sent = out & F.col(named("connections")).isNotNull()
-        when = lambda c: F.when(sent, F.col(c))
-        return [
-            F.sum(when(named("connections"))).alias(named("flow_count")),
-            F.count_distinct(when("src_ip")).alias(named("source_count")),
-            F.array_sort(F.collect_set(when("dst_port"))).alias(named("dst_ports")),
-            F.array_sort(F.collect_set(when("protocol"))).alias(named("protocols")),
-            F.sum(when(named("packets"))).alias(named("total_packets")),
-            F.sum(when(named("bytes"))).alias(named("bytes_out")),
-            F.sum(F.when(out, 0).otherwise(F.coalesce(F.col(named("bytes")), F.lit(0)))).alias(named("bytes_in")),
-            F.min(when(named("first_start"))).alias(named("first_start")),
-            F.max(when(named("last_start"))).alias(named("last_start")),
-        ]
-
-    def _destinations(self, edges: DataFrame, *variants: Callable[[str], str]) -> DataFrame:
-        """One row per external address that internal hosts sent to; both directions in one pass."""
+    @staticmethod
+    def _pairs(edges: DataFrame, *variants: Callable[[str], str]) -> DataFrame:
+        """One row per external address and host, with what was sent and what came back."""
         src_private = net.is_private("src_ip", "detector")
         dst_private = net.is_private("dst_ip", "detector")
         sent = edges.withColumn("_out", src_private & ~dst_private).where(F.col("_out") | (dst_private & ~src_private))
         out = F.col("_out")
-        external = F.when(out, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("dst_ip")
-        return sent.groupBy(external).agg(*[a for named in variants for a in self._destination_aggregates(out, named)])
+        measures = []
+        for named in variants:
+            when = lambda m: F.when(out, F.col(named(m)))  # noqa: B023, E731
+            measures += [
+                F.sum(when("connections")).alias(named("flow_count")),
+                F.sum(when("packets")).alias(named("total_packets")),
+                F.sum(when("bytes")).alias(named("bytes_out")),
+                F.sum(F.when(~out, F.col(named("bytes")))).alias(named("bytes_in")),
+                F.min(when("first_start")).alias(named("first_start")),
+                F.max(when("last_start")).alias(named("last_start")),
+            ]
+        ends = [F.when(out, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("dst_ip"), F.when(out, F.col("src_ip")).otherwise(F.col("dst_ip")).alias("src_ip")]
+        return sent.groupBy(*ends).agg(*measures)
+
+    @staticmethod
+    def _destinations(pairs: DataFrame, *variants: Callable[[str], str]) -> DataFrame:
+        """One row per external address. A pair is one source, so sources are counted without a distinct."""
+        measures = []
+        for named in variants:
+            sums = [F.sum(named(m)).alias(named(m)) for m in ("flow_count", "total_packets", "bytes_out")]
+            measures += [
+                *sums,
+                F.count(named("flow_count")).alias(named("source_count")),
+                F.coalesce(F.sum(named("bytes_in")), F.lit(0)).alias(named("bytes_in")),
+                F.min(named("first_start")).alias(named("first_start")),
+                F.max(named("last_start")).alias(named("last_start")),
+            ]
+        return pairs.groupBy("dst_ip").agg(*measures)
+
+    def _sets(self, edges: DataFrame, destinations: DataFrame, *variants: Callable[[str], str]) -> DataFrame:
+        """``destinations`` with the ports and protocols used; sets are made for these destinations only."""
+        sent = edges.where(net.is_outbound(mode="detector")).join(destinations.select("dst_ip"), "dst_ip", "left_semi")
+        sets = [
+            F.array_sort(F.collect_set(F.when(F.col(named("connections")).isNotNull(), F.col(c)))).alias(named(c + "s"))
+            for named in variants
+            for c in ("dst_port", "protocol")
+        ]
+        return destinations.join(sent.groupBy("dst_ip").agg(*sets), "dst_ip", "left")
 
     @staticmethod
     def _with_ratio(rows: DataFrame) -> DataFrame:
@@ -78,8 +100,28 @@ class ExfiltrationDetector(LedgerDetector):
 
         Sources are counted as the one distinct aggregate; the port set is bounded by 65,535.
         """
-        rows = self._destinations(single_flows(flows, {}), str)
-        return self._with_ratio(rows.where(F.col("flow_count") > 0))
+        src_private = net.is_private("src_ip", "detector")
+        dst_private = net.is_private("dst_ip", "detector")
+        sent = flows.withColumn("_out", src_private & ~dst_private).where(
+            F.col("_out") | (dst_private & ~src_private)
+        )
+        out = F.col("_out")
+        found = (
+            sent.groupBy(F.when(out, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("dst_ip"))
+            .agg(
+                F.count(F.when(out, 1)).alias("flow_count"),
+                F.count_distinct(F.when(out, F.col("src_ip"))).alias("source_count"),
+                F.array_sort(F.collect_set(F.when(out, F.col("dst_port")))).alias("dst_ports"),
+                F.array_sort(F.collect_set(F.when(out, F.col("protocol")))).alias("protocols"),
+                F.sum(F.when(out, F.col("packet_count"))).alias("total_packets"),
+                F.sum(F.when(out, F.col("byte_count"))).alias("bytes_out"),
+                F.sum(F.when(out, 0).otherwise(F.col("byte_count"))).alias("bytes_in"),
+                F.min(F.when(out, F.col("start_time"))).alias("first_start"),
+                F.max(F.when(out, F.col("start_time"))).alias("last_start"),
+            )
+            .where(F.col("flow_count") > 0)
+        )
+        return self._with_ratio(found)
 
     def _sized(self, profiles: DataFrame) -> DataFrame:
         seconds = F.col("last_start") - F.col("first_start")
@@ -269,8 +311,8 @@ class ExfiltrationDetector(LedgerDetector):
 
     def measure(self, evidence: Evidence) -> dict[str, DataFrame]:
         """Destinations by all their flows and by those off hours, volumes per protocol, and services."""
-        all_day = self._destinations(evidence.edges, str, self._late)
-        judged = self._with_ratio(all_day).withColumn(
+        pairs = evidence.keep(self._pairs(evidence.edges, str, self._late))
+        judged = self._with_ratio(self._destinations(pairs, str, self._late)).withColumn(
             "rules",
             rule_bits(
                 large_transfer=F.col("bytes_out") >= self.min_bytes,
@@ -278,7 +320,8 @@ class ExfiltrationDetector(LedgerDetector):
                 high_ratio=self._is_lopsided(),
             ),
         )
-        out = {"destination": judged.where(F.col("rules") > 0)}
+        found = self._sets(evidence.edges, judged.where(F.col("rules") > 0), str, self._late)
+        out = {"pair": pairs, "destination": found}
         if evidence.tables.dns is not None:
             out["protocol"] = self._volumes(evidence.edges, evidence.names)
         if evidence.tables.tls is not None:
@@ -308,8 +351,8 @@ class ExfiltrationDetector(LedgerDetector):
 
     def affected(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
         """The destination of every rule and the hosts that sent to it; off hours, those that sent then."""
-        sent = evidence.edges.where(net.is_outbound(mode="detector"))
-        pairs = sent.groupBy("dst_ip", "src_ip").agg(F.max(F.col(self._late("connections")).isNotNull()).alias("late"))
+        late = F.col(self._late("flow_count")).isNotNull().alias("late")
+        pairs = measured["pair"].where("flow_count IS NOT NULL").select("dst_ip", "src_ip", late)
         met = pairs.join(measured["destination"].select("dst_ip", "rules"), "dst_ip")
         held = F.array_compact(
             F.array(

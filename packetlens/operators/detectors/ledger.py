@@ -12,10 +12,12 @@ Only rules about single instants read the flows again, and only flows of entitie
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.functions import names
@@ -70,11 +72,27 @@ def names_of(dns: DataFrame) -> DataFrame:
     )
 
 
+def _side_by_side(spark: SparkSession, jobs: list[Callable]) -> list:
+    """Results of some driver calls that each run Spark jobs, submitted together."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 class Evidence:
-    """The tables that rules read: the analysis's own, edges and names. ``keep`` stores what several rules read."""
+    """The tables that rules read: the analysis's own, edges and names. ``keep`` is for what several rules read."""
 
-    def __init__(self, tables: Tables, measures: dict[str, Measure], keep: Callable[[DataFrame], DataFrame] = lambda df: df):
-        self.tables, self.measures, self.keep = tables, measures, keep
+    def __init__(self, tables: Tables, measures: dict[str, Measure], store: Callable[[DataFrame], DataFrame] | None = None):
+        self.tables, self.measures, self.store = tables, measures, store
+        self.stored: list[DataFrame] = []
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """``rows``, stored if this evidence stores and they aren't yet."""
+        if self.store is None or any(rows is s for s in self.stored):
+            return rows
+        self.stored.append(self.store(rows))
+        return self.stored[-1]
 
     @property
     def flows(self) -> DataFrame:
@@ -93,9 +111,12 @@ class LedgerDetector:
     """A detector whose rules are evaluated once, into tables per grain.
 
     ``measure(evidence)`` gives the tables, ``report(measured, evidence)`` the findings and ``affected(measured, evidence)``
-    the addresses (``finding_id, detector, ip``). ``flow_measures`` are what it needs to know of flows per edge.
+    the addresses (``finding_id, detector, ip``). ``flow_measures`` are what it needs to know of flows per edge, ``reads``
+    which of the shared tables it uses.
     """
 
+    reads = ("edges",)
+
     def flow_measures(self) -> dict[str, Measure]:
         return {}
 
@@ -122,7 +143,10 @@ def holding(rows: DataFrame, bit: int) -> DataFrame:
 
 
 class Ledger:
-    """All rules of some detectors, each evaluated once and stored in the checkpoint folder."""
+    """All rules of some detectors, each evaluated once and stored in the checkpoint folder.
+
+    Detectors don't wait for each other: their jobs are submitted side by side.
+    """
 
     def __init__(self, tables: Tables, detectors: Iterable):
         self.detectors = list(detectors)
@@ -130,10 +154,18 @@ class Ledger:
         for d in self.detectors:
             measures |= d.flow_measures() if isinstance(d, LedgerDetector) else {}
         self.evidence = Evidence(tables, measures, write_once)
-        self.measured = [
-            {grain: write_once(rows) for grain, rows in d.measure(self.evidence).items()} if isinstance(d, LedgerDetector) else None
-            for d in self.detectors
-        ]
+        used = {name for d in self.detectors if isinstance(d, LedgerDetector) for name in d.reads}
+        present = [n for n, given in (("edges", tables.flows), ("names", tables.dns)) if n in used and given is not None]
+        self.spark = (tables.flows if tables.flows is not None else tables.dns).sparkSession
+        _side_by_side(self.spark, [lambda n=n: getattr(self.evidence, n) for n in present])
+        self.measured = _side_by_side(self.spark, [lambda d=d: self._measure(d) for d in self.detectors])
+
+    def _measure(self, detector) -> dict[str, DataFrame] | None:
+        if not isinstance(detector, LedgerDetector):
+            return None
+        tables = detector.measure(self.evidence)
+        stored = _side_by_side(self.spark, [lambda rows=rows: self.evidence.keep(rows) for rows in tables.values()])
+        return dict(zip(tables, stored))
 
     def findings(self) -> DataFrame:
         """Findings of all detectors. Detectors without ledger tables are asked directly."""

@@ -150,19 +150,9 @@ class PortScanDetector(LedgerDetector):
         busy = sources.where(F.col("total_connections") >= self.rapid_connections).select("src_ip")
         windows = self._windows(evidence.flows.join(busy, "src_ip", "left_semi"))
         enough = F.col("total_connections") >= self.min_connections
-        judged = sources.join(windows, "src_ip", "left").withColumn(
-            "rules",
-            rule_bits(
-                horizontal=enough & self._is_horizontal(),
-                vertical=enough & self._is_vertical(),
-                stealth=enough & self._is_stealth(),
-                rapid=F.col("events_in_window").isNotNull(),
-            ),
-        )
-        found = evidence.keep(judged.where(F.col("rules") > 0))
+        horizontal, vertical = enough & self._is_horizontal(), enough & self._is_vertical()
         # What reports list of the targets: the first hosts in text order, and the ports that reach most hosts.
-        wide = found.where(F.col("rules").bitwiseAND(F.lit(0b11)) > 0).select("src_ip")
-        tried = edges.join(wide, "src_ip", "left_semi")
+        tried = edges.join(sources.where(horizontal | vertical).select("src_ip"), "src_ip", "left_semi")
         first = top_per_key(tried.select("src_ip", "dst_ip").distinct(), ["src_ip"], [F.col("dst_ip")], self.listed_hosts)
         hosts = first.groupBy("src_ip").agg(F.array_sort(F.collect_list("dst_ip")).alias("hosts"))
         # An edge is one host on one port, so counting edges counts hosts.
@@ -174,6 +164,16 @@ class PortScanDetector(LedgerDetector):
                 F.transform(listed, lambda s: F.concat(s["dst_port"].cast("string"), F.lit(":"), s["hosts"].cast("string"))), ","
             ).alias("top_ports")
         )
+        judged = sources.join(windows, "src_ip", "left").withColumn(
+            "rules",
+            rule_bits(
+                horizontal=horizontal,
+                vertical=vertical,
+                stealth=enough & self._is_stealth(),
+                rapid=F.col("events_in_window").isNotNull(),
+            ),
+        )
+        found = judged.where(F.col("rules") > 0)
         return {"source": found.join(hosts, "src_ip", "left").join(top, "src_ip", "left")}
 
     def _horizontal_findings(self, sources: DataFrame) -> DataFrame:

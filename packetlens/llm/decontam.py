@@ -103,6 +103,8 @@ class Items:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+#: Marks that stand alone are no words and have no place, in documents as in items.
+_NO_WORD = -2
 TOKENS = "doc_id long, row long, n_words int, ids array<int>, gaps array<int>"
 
 
@@ -126,11 +128,13 @@ def tokens(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 for w in words:
                     k = get(w)
                     if k is None:
-                        k = known[w] = vocabulary.get(w.strip(_STRIP), -1)
-                    found.append(k)
+                        bare = w.strip(_STRIP)
+                        k = known[w] = vocabulary.get(bare, -1) if bare else _NO_WORD
+                    if k != _NO_WORD:
+                        found.append(k)
                 ids = np.array(found, "i4")
                 at = np.flatnonzero(ids >= 0)
-                for values, v in zip(out, (len(words), ids[at], np.diff(at, prepend=0).astype("i4"))):
+                for values, v in zip(out, (len(ids), ids[at], np.diff(at, prepend=0).astype("i4"))):
                     values.append(v)
             kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             arrays = [part.column(0), part.column(1), *(pa.array(v, t) for v, t in zip(out, kinds))]

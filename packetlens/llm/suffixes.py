@@ -17,8 +17,8 @@ Windows are compared as 64-bit hashes of the words; a block's hash covers all it
 
 Defined results: null and short texts have no span. Words are bytes between ASCII blanks, whole texts of any length.
 Rows with a null id count as one document, and so do rows that repeat an id: what they share with each other
-only is not repeated. (Where rows of one id have different texts, a block that one of them shares in part is placed
-as in one of them.) An empty table gives an empty table; other columns aren't read.
+only is not repeated. Their texts have their spans each (``row`` is a hash of the text); rows equal in both have them once.
+An empty table gives an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -89,10 +89,10 @@ def minimisers(rolling: Rolling) -> np.ndarray:
 
 
 def _suffixes(batches):
-    """(key, doc_id, at) of the suffixes kept."""
+    """(key, doc_id, row, at) of the suffixes kept."""
     for part in slices(batches):
-        keys, docs, places = [], [], []
-        for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
+        keys, docs, rows, places = [], [], [], []
+        for doc, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
             words = words_of(text.as_py())
             if len(words) < LENGTH:
                 continue
@@ -101,19 +101,21 @@ def _suffixes(batches):
             keys.append(rolling.runs(PREFIX)[at])
             places.append(at.astype("i4"))
             docs += [doc] * len(at)
+            rows += [row] * len(at)
         if docs:
-            arrays = [pa.array(np.concatenate(keys).view("i8")), pa.array(docs, pa.int64()), pa.array(np.concatenate(places))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "at"])
+            numbers = [pa.array(docs, pa.int64()), pa.array(rows, pa.int64())]
+            arrays = [pa.array(np.concatenate(keys).view("i8")), *numbers, pa.array(np.concatenate(places))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "row", "at"])
 
 
-BLOCK = "block long, doc_id long, starts array<int>, windows array<long>"
+BLOCK = "block long, doc_id long, row long, starts array<int>, windows array<long>"
 
 
 def _blocks(batches):
-    """Blocks of the kept suffixes (doc_id, text, at): the hashes of its windows and where the block starts."""
+    """Blocks of the kept suffixes (doc_id, row, text, at): the hashes of its windows and where the block starts."""
     for part in slices(batches):
-        rows: list[tuple[int, int | None, list[int], np.ndarray]] = []
-        for doc, text, at in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
+        rows: list[tuple[int, int, int, list[int], np.ndarray]] = []
+        for doc, row, text, at in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)):
             words = words_of(text.as_py())
             if len(words) < LENGTH:
                 continue
@@ -126,11 +128,11 @@ def _blocks(batches):
                 mine.setdefault(windows[first[k] : last[k]].tobytes(), []).append(int(first[k]))
             for raw, starts in mine.items():
                 own = np.frombuffer(raw, "i8")
-                rows.append((xxhash.xxh64_intdigest(raw, len(own)) - (1 << 63), doc, starts, own))
+                rows.append((xxhash.xxh64_intdigest(raw, len(own)) - (1 << 63), doc, row, starts, own))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
             arrays = [pa.array(c, t) for c, t in zip(map(list, zip(*rows)), kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "doc_id", "starts", "windows"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "doc_id", "row", "starts", "windows"])
 
 
 def _two_documents() -> list[F.Column]:
@@ -138,44 +140,47 @@ def _two_documents() -> list[F.Column]:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, n_words): maximal spans of repeated words of each document (doc_id, text), end excluded."""
+    """(doc_id, row, start, end, n_words): maximal spans of repeated words of each document (doc_id, text), end excluded."""
     nobody = -(1 << 63)
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nobody)).alias("doc_id"), "text")
-    suffixes = stored(named.mapInArrow(_suffixes, "key long, doc_id long, at int"), "suffixes")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nobody)).alias("doc_id"), F.xxhash64(text).alias("row"), "text")
+    suffixes = stored(named.mapInArrow(_suffixes, "key long, doc_id long, row long, at int"), "suffixes")
     # Stored, so that both sides of the join are plain exchanges and a hot prefix is split there.
     shared = stored(suffixes.groupBy("key").agg(*_two_documents()).filter("low <> high").select("key"), "shared-keys")
-    kept = suffixes.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    kept = suffixes.join(shared, "key", "left_semi").groupBy("doc_id", "row").agg(F.collect_set("at").alias("at"))
 
-    found = named.join(kept.hint("shuffle_hash"), "doc_id")
-    blocks = stored(found.select("doc_id", "text", "at").mapInArrow(_blocks, BLOCK), "blocks")
-    once = blocks.groupBy("block").agg(*_two_documents(), F.first("starts").alias("starts"), F.first("windows").alias("windows"))
-    once = stored(once, "block-groups")
+    found = named.join(kept.hint("shuffle_hash"), ["doc_id", "row"])
+    blocks = stored(found.select("doc_id", "row", "text", "at").mapInArrow(_blocks, BLOCK), "blocks")
+    once = stored(blocks.groupBy("block").agg(*_two_documents(), F.first("windows").alias("windows")), "block-groups")
 
     whole = once.filter("low <> high").select("block")
-    starts = blocks.select("block", "doc_id", F.explode("starts").alias("start"), F.size("windows").alias("n"))
-    spans = starts.join(whole, "block").select("doc_id", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
+    starts = blocks.select("block", "doc_id", "row", F.explode("starts").alias("start"), F.size("windows").alias("n"))
+    spans = starts.join(whole, "block").select("doc_id", "row", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
 
     each = once.select("low", "high", F.explode("windows").alias("window"))
     twice = each.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high")
     twice = stored(twice.select("window"), "shared-windows")
-    part = once.filter("low = high").select(F.col("low").alias("doc_id"), "starts", F.posexplode("windows").alias("k", "window"))
-    part = part.join(twice, "window").select("doc_id", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"))
-    spans = spans.unionAll(part.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
+    # A block that one document has alone may be in several of its rows.
+    part = once.filter("low = high").select("block", F.posexplode("windows").alias("k", "window")).join(twice, "window")
+    part = stored(part.select("block", "k"), "shared-parts")
+    part = blocks.select("block", "doc_id", "row", "starts").join(part, "block")
+    part = part.select("doc_id", "row", F.explode(F.transform("starts", lambda x: x + F.col("k"))).alias("start"))
+    spans = spans.unionAll(part.select("doc_id", "row", "start", (F.col("start") + LENGTH).alias("end"))).distinct()
     return _merged(spans).withColumn("doc_id", F.when(F.col("doc_id") != nobody, F.col("doc_id")))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """Overlapping or touching spans of a document as one. A document's spans are bounded by its own length."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    """Overlapping or touching spans of a text as one. A text's spans are bounded by its own length."""
+    order = Window.partitionBy("doc_id", "row").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("opens", F.when(F.col("start") <= before, 0).otherwise(1))
     numbered = marked.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = numbered.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return merged.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
+    merged = numbered.groupBy("doc_id", "row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.select("doc_id", "row", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
 
 
 OP10_SQL = f"""

@@ -332,6 +332,15 @@ def test_short_items_are_found_word_for_word(spark):
     assert {(x.doc_id, x.item_id) for x in decontam.leaks(rows, benchmark).collect()} == want
 
 
+def test_items_with_lone_marks(spark):
+    items = ["the 5 % rule always holds", "cats & dogs live together", "* * *", "one word more ; or - less than that"]
+    texts = items + ["so the 5 % rule always holds , yes", "CATS dogs | live together", "cats and dogs live together", "the 5 rule never holds"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.leaks(rows, benchmark).collect()}
+    assert got == {(0, 0), (1, 1), (3, 3), (4, 0), (5, 1)}
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(200):
@@ -390,6 +399,25 @@ def test_repeated_passages_against_brute_force(spark):
     texts += ["again and again " * 40] * 2 + ["again and again " * 30 + "x"]
     docs = odd_documents(spark, texts)
     rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
-    got = {(x.doc_id, x.start, x.end) for x in suffixes.repeated_passages(docs).collect()}
+    found = suffixes.repeated_passages(docs).collect()
+    got = {(x.doc_id, x.start, x.end) for x in found}
     assert got == slow_spans(rows) and len(got) > 50
     assert suffixes.repeated_passages(no_documents(spark)).count() == 0
+
+
+def test_rows_of_one_id_keep_their_own_places(spark):
+    r = random.Random(9)
+    a, b, tail = sentence(r, 90), sentence(r, 70), sentence(r, 200)
+    texts = [(1, f"{sentence(r, 7)} {a} x"), (1, f"y {sentence(r, 31)} {a} z"), (2, a), (None, f"q {b}"), (None, f"p {tail} {b}"), (3, b), (1, sentence(r, 60)), (4, f"{a[:300]} {tail}")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(repr((d, a, b, t)) for d, t in texts for _, a, b in slow_spans_of(t, d, texts))
+    got = suffixes.repeated_passages(rows).join(rows.selectExpr("doc_id as id", "text", "xxhash64(text) as row"), "row").collect()
+    assert sorted(repr((x.doc_id, x.start, x.end, x.text)) for x in got) == want
+
+
+def slow_spans_of(text, doc, rows):
+    others = {tuple(w[k : k + 50]) for d, t in rows if d != doc for w in [t.split()] for k in range(len(w) - 49)}
+    words = text.split()
+    covered = {k + i for k in range(len(words) - 49) if tuple(words[k : k + 50]) in others for i in range(50)}
+    edges = sorted(x for x in covered if x - 1 not in covered), sorted(x + 1 for x in covered if x + 1 not in covered)
+    return [(doc, a, b) for a, b in zip(*edges)]

@@ -82,6 +82,9 @@ _SPECIAL = re.compile("[\"'>]")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+NOT_P, NO_TAGS = BLOCK - {"p"}, frozenset()
+#: Open elements that are looked at one by one; of more, the places per tag are compared.
+NEAR = 32
 PLACED = BLOCK - MAIN - {"html", "body", "head"}
 #: Elements that hold a piece of an article's text.
 TEXTUAL = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr blockquote pre address figcaption summary legend option".split())
@@ -177,7 +180,7 @@ class Page:
 
     def _data(self, text: str) -> None:
         if self.stack[-1].tag == "head" and text.strip():
-            self._end_open({"head"}, frozenset())
+            self._end_open(("head",), NO_TAGS)
         top = self.stack[-1]
         if "&" in text:
             text = entities.unescape(text)
@@ -194,8 +197,8 @@ class Page:
         self.text, self.gone = [], []
 
     def _start(self, tag: str, rest: str) -> None:
-        if tag not in HEAD_TAGS:
-            self._end_open({"head"}, frozenset())
+        if tag not in HEAD_TAGS and self.open.get("head"):
+            self._end_open(("head",), NO_TAGS)
         if tag in VOID:
             if tag == "hr":
                 self._flush()
@@ -203,7 +206,7 @@ class Page:
                 (self.gone if self.stack[-1].dropped else self.text).append(" ")
             return
         if tag in BLOCK:
-            self._end_open({"p"}, BLOCK - {"p"})
+            self._end_open(("p",), NOT_P)
             if tag in ENDS:
                 self._end_open(*ENDS[tag])
             self._flush()
@@ -240,16 +243,23 @@ class Page:
                 found |= known
         return found & FOREIGN_NAMES if tag == "article" else found
 
-    def _end_open(self, tags: set[str], limits) -> None:
+    def _end_open(self, tags, limits) -> None:
         """Closes the innermost open element of ``tags``, unless one of ``limits`` is open within."""
-        at = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
-        if at and at > max((self.open[t][-1] for t in limits if self.open.get(t)), default=0):
-            while len(self.stack) > at:
-                self._close()
+        held = [self.open[t][-1] for t in tags if self.open.get(t)]
+        if not held:
+            return
+        at, size = max(held), len(self.stack)
+        if size - at <= NEAR:
+            if any(self.stack[i].tag in limits for i in range(at + 1, size)):
+                return
+        elif at < max((self.open[t][-1] for t in limits if self.open.get(t)), default=0):
+            return
+        while len(self.stack) > at:
+            self._close()
 
     def _end(self, tag: str) -> None:
-        limits = frozenset() if tag in BLOCK and tag != "p" else BLOCK - {tag}
-        self._end_open({tag}, limits)
+        limits = NOT_P if tag == "p" else NO_TAGS if tag in BLOCK else BLOCK
+        self._end_open((tag,), limits)
 
     def _close(self) -> None:
         element = self.stack[-1]

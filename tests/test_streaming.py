@@ -1,11 +1,16 @@
 """Streams run to the end of their input and are compared with the batch operators."""
 
+import random
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from packetlens.operators import stats
 from packetlens.operators.flows import build_flows
 from packetlens.sources import captures, decode
+from packetlens.operators.timing import first_busy_window
 from packetlens.streaming import live
+from packetlens.streaming.rapid import first_window, stream_rapid_scan_alerts
 from tests.conftest import rows_of
 from tests.test_captures import FRAMES, classic
 
@@ -59,6 +64,34 @@ def test_rapid_scan_stream(spark, tmp_path):
     assert rows_of(run(spark, live.stream_rapid_scans(packets, time="ts", min_connections=25), "scan_none", str(tmp_path / "cp2"))) == []
 
 
+def test_first_window_of_sorted_times():
+    assert first_window([0.0, 1.0, 60.0, 61.0], 60, 3, 1e9) == ((0.0, 3), 1)
+    assert first_window([0.0, 1.0, 60.5], 60, 3, 1e9) == (None, 3)
+    assert first_window([0.0, 1.0, 2.0], 60, 2, 60.0) == (None, 0) and first_window([0.0, 0.0], 60, 2, 61.0) == ((0.0, 2), 1)
+
+
+def test_exact_rapid_alert_on_shuffled_and_late_input(spark, tmp_path):
+    """Files hold slices of 40 s, but a third of each slice comes one or two files late; equals the batch rule."""
+    rng, path = random.Random(2), str(tmp_path / "flows")
+    events = [(f"10.0.0.{i % 4}", BASE + rng.random() * 600 / (1 + i % 4)) for i in range(1200)]
+    events += [("10.0.0.8", BASE + 300 + k / 8) for k in range(60)] * 2 + [("10.0.0.9", BASE + 100.0)] * 49
+    files = defaultdict(list)
+    for source, t in events:
+        files[int((t - BASE) // 40) + rng.choice([0, 0, 0, 0, 1, 2])].append((source, "TCP", t))
+    schema = "src_ip string, protocol string, start_time double"
+    for n in sorted(files):
+        rng.shuffle(files[n])
+        spark.createDataFrame(files[n] + [(None, "TCP", BASE), ("10.0.0.9", "UDP", BASE + 100), ("10.0.0.9", "TCP", None)], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([("10.9.9.9", "TCP", LAST)], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(path)
+    rows = spark.createDataFrame(events, "src_ip string, start_time double")
+    for need in (50,):
+        alerts = stream_rapid_scan_alerts(stream, min_connections=need)
+        got = run(spark, alerts, f"alerts_{need}", str(tmp_path / f"cp{need}")).select("src_ip", "window_start", "events_in_window").collect()
+        want = first_busy_window(rows, "src_ip", "start_time", 60, need).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and 2 <= len(got) < 6
+
+
 def test_capture_stream_equals_batch(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -9,6 +9,7 @@ from packetlens import constants as K
 from packetlens.functions import net, text
 from packetlens.operators import flows as fl
 from packetlens.operators import ranking, stats
+from packetlens.operators.ranges import narrowest_ranges
 from packetlens.plans import sqltext as S
 from packetlens.plans.catalog import query
 from packetlens.plans.views import view
@@ -325,3 +326,20 @@ def all_addresses(spark, sf):
 SELECT query_name AS domain FROM dns_v WHERE query_name <> '' UNION SELECT sni FROM tls_v WHERE sni <> ''""")
 def all_domains(spark, sf):
     return fl.all_domains(view(spark, sf, "dns_v"), view(spark, sf, "tls_v"))
+
+
+# ---- address ranges ------------------------------------------------------------------------
+
+#: Ranges of one to some hundred addresses that overlap and nest, one per supplier.
+_RANGES = """SELECT concat('45.33.', CAST(floor(s_suppkey * 3 % 2048 / 256) AS INT), '.', CAST(s_suppkey * 3 % 256 AS INT)) AS low,
+  concat('45.33.', CAST(floor((s_suppkey * 3 % 2048 + s_suppkey % 7 * 40) / 256) AS INT), '.', CAST((s_suppkey * 3 % 2048 + s_suppkey % 7 * 40) % 256 AS INT)) AS high,
+  concat('net-', s_suppkey) AS value FROM {supplier}"""
+
+
+@query("address_ranges", ["traffic_v"], f"""
+SELECT ip, arg_min(value, (high_n - low_n, value)) AS value FROM (SELECT src_ip AS ip FROM traffic_v UNION SELECT dst_ip FROM traffic_v) a
+JOIN (SELECT *, {S.ip_number('low')} AS low_n, {S.ip_number('high')} AS high_n FROM ({_RANGES.replace('{supplier}', 'supplier')}) r) r
+  ON {S.ip_number('ip')} BETWEEN low_n AND high_n GROUP BY ip""")
+def address_ranges(spark, sf):
+    ranges = spark.sql(_RANGES, supplier=view(spark, sf, "supplier"))
+    return narrowest_ranges(fl.all_addresses(packets(spark, sf)), ranges)

@@ -16,6 +16,7 @@ from packetlens.operators import indicators as N
 from packetlens.operators import intel as X
 from packetlens.operators import textops
 from packetlens.operators.detectors import evaluate
+from packetlens.operators.lookalikes import imitated_brands
 from packetlens.operators.detectors.dns_tunnel import DnsTunnelDetector
 from packetlens.operators.detectors.exfiltration import ExfiltrationDetector
 from packetlens.plans import sqltext as S
@@ -99,6 +100,20 @@ def typosquats(spark, sf):
     return _all_names(spark, sf).withColumn("spoofed_brand", names.imitated_brand("domain")).where("spoofed_brand IS NOT NULL")
 
 
+#: Brands as a table: the listed ones, and one per customer that some names of the views are an edit or two away from.
+_MANY_BRANDS = "SELECT concat('sit', c_custkey % 5000) AS brand FROM {customer}"
+
+
+@query("typosquats_of_many", ["dns_v", "tls_v"], f"""
+SELECT domain, min(brand) AS spoofed_brand FROM mains, (SELECT brand FROM brands UNION {_MANY_BRANDS.replace('{customer}', 'customer')}) b
+WHERE main IS NOT NULL AND main NOT IN (SELECT brand FROM brands UNION {_MANY_BRANDS.replace('{customer}', 'customer')})
+  AND ({_normal('main')} = brand OR levenshtein(main, brand) <= 2 OR (contains(full_norm, brand) AND NOT contains(domain, brand))) GROUP BY domain""", BRAND_CTE)
+def typosquats_of_many(spark, sf):
+    many = spark.sql(_MANY_BRANDS, customer=view(spark, sf, "customer"))
+    listed = spark.createDataFrame([(b,) for b in K.BRANDS], "brand string")
+    return imitated_brands(_all_names(spark, sf), listed.union(many))
+
+
 @query("legit_domains_removed", ["dns_v", "tls_v"], "SELECT domain FROM known WHERE is_legit", BRAND_CTE)
 def legit_domains_removed(spark, sf):
     found = N.classify_domains(_all_names(spark, sf), legit_domain_list(spark))

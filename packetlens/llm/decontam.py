@@ -130,9 +130,9 @@ def tokens(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                     if k is None:
                         bare = w.strip(_STRIP)
                         k = known[w] = vocabulary.get(bare, -1) if bare else _NO_WORD
-                    if k != _NO_WORD:
-                        found.append(k)
+                    found.append(k)
                 ids = np.array(found, "i4")
+                ids = ids[ids != _NO_WORD]
                 at = np.flatnonzero(ids >= 0)
                 for values, v in zip(out, (len(ids), ids[at], np.diff(at, prepend=0).astype("i4"))):
                     values.append(v)

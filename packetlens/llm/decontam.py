@@ -29,6 +29,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,21 @@ _KNOWN_WORDS = 1_000_000
 PART_WORDS = 30_000
 BATCH_WORDS = 30_000
 
+
+
+class _Ids(dict):
+    """The ids of words as they are spelt, each normalised once. Arrow looks up ASCII words among ``words``."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+        self.words = pa.array(list(vocabulary), pa.string())
+
+    def __missing__(self, word: str) -> int:
+        bare = normal(word)
+        found = self[word] = self.vocabulary.get(bare, -1) if bare else _NO_WORD
+        return found
+
+
 #: Per worker: the vocabulary seen last and the ids of raw words.
 _known: dict = {"of": None, "ids": {}}
 
@@ -108,6 +124,26 @@ _NO_WORD = -2
 TOKENS = "doc_id long, row long, n_words int, ids array<int>, gaps array<int>"
 
 
+def _places(texts: pa.Array, known: _Ids) -> list[pa.Array]:
+    """Per text: its number of words, the ids of those in the vocabulary, and their places as differences."""
+    words = pc.utf8_split_whitespace(texts)
+    bounds = words.offsets.to_numpy()
+    bare = pc.ascii_trim(pc.ascii_lower(words.values), characters=_STRIP)
+    ids = pc.fill_null(pc.index_in(bare, value_set=known.words), -1).to_numpy().copy()
+    ids[pc.binary_length(bare).to_numpy() == 0] = _NO_WORD
+    other = np.flatnonzero(~pc.string_is_ascii(words.values).to_numpy(zero_copy_only=False))
+    ids[other] = [known[w] for w in words.values.take(pa.array(other)).to_pylist()]
+    passed = np.concatenate([[0], np.cumsum(ids != _NO_WORD)])
+    before, found = passed[bounds], np.flatnonzero(ids >= 0)
+    cuts, at = np.searchsorted(found, bounds), passed[found]
+    gaps = np.diff(at, prepend=0)
+    filled = np.flatnonzero(np.diff(cuts))
+    gaps[cuts[filled]] = at[cuts[filled]] - before[filled]
+    offsets = pa.array(cuts, pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (ids[found], gaps)]
+    return [pa.array(np.diff(before), pa.int32()), *lists]
+
+
 def tokens(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """Vocabulary words of every document and their places, as differences. ``row``: a hash of the text."""
 
@@ -115,31 +151,14 @@ def tokens(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
     def run(batches):
         if _known["of"] != name:
-            _known.update(of=name, ids={})
+            _known.update(of=name, ids=_Ids(vocabulary))
         known = _known["ids"]
-        get = known.get
         for part in slices(batches):
-            out: tuple[list, list, list] = ([], [], [])
-            for text in part.column(2):
-                words = (text.as_py() or "").lower().split()
-                if len(known) > _KNOWN_WORDS:
-                    known.clear()
-                found = []
-                for w in words:
-                    k = get(w)
-                    if k is None:
-                        bare = w.strip(_STRIP)
-                        k = known[w] = vocabulary.get(bare, -1) if bare else _NO_WORD
-                    found.append(k)
-                ids = np.array(found, "i4")
-                ids = ids[ids != _NO_WORD]
-                at = np.flatnonzero(ids >= 0)
-                for values, v in zip(out, (len(ids), ids[at], np.diff(at, prepend=0).astype("i4"))):
-                    values.append(v)
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            arrays = [part.column(0), part.column(1), *(pa.array(v, t) for v, t in zip(out, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_words", "ids", "gaps"])
+            if len(known) > _KNOWN_WORDS:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_places(part.column(2), known)], names=names)
 
+    names = ["doc_id", "row", "n_words", "ids", "gaps"]
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text"))
     return stored(rows.mapInArrow(run, TOKENS), "tokens")
@@ -226,7 +245,8 @@ class Searcher:
 
     def __init__(self, items: Items, idf: np.ndarray, space: np.ndarray, cosine: float = COSINE):
         self.items, self.cosine = items, cosine
-        self.words = (space * (idf**IDF_POWER)[:, None]).astype("f4")
+        #: The last row stands for places without a vocabulary word.
+        self.words = np.pad(space * (idf**IDF_POWER)[:, None], ((0, 1), (0, 0))).astype("f4")
         vectors = (items.matrix(idf) @ space).astype("f4")
         norm = np.linalg.norm(vectors, axis=1, keepdims=True)
         vectors = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 1e-6)
@@ -297,10 +317,11 @@ class Searcher:
         ids = np.concatenate([p[2] for p in parts])
         at = np.concatenate([p[3] + b for p, b in zip(parts, base)])
         # Sums of the vectors of every eight places, then running sums of those: windows are differences.
-        cell = at // CELL
-        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        line = np.full(ends[-1], len(self.words) - 1)
+        line[at] = ids
         running = np.zeros((ends[-1] // CELL + 1, self.words.shape[1]), "f4")
-        running[cell[starts] + 1] = np.add.reduceat(self.words[ids], starts, axis=0)
+        for column in line.reshape(-1, CELL).T:
+            running[1:] += self.words.take(column, axis=0)
         np.cumsum(running, axis=0, out=running)
         counted, text = self._counted(ids, at, base), ids.tolist()
         for window, own, vectors in self.classes:
@@ -314,7 +335,7 @@ class Searcher:
             v = running[lo + window // CELL] - running[lo]
             norm = np.sqrt(np.einsum("ij,ij->i", v, v))
             near = (v @ vectors) >= (self.cosine * np.maximum(norm, 1e-3))[:, None]
-            w, j = np.nonzero(near)
+            w, j = np.divmod(np.flatnonzero(near), len(own))
             # The windows that have these words, themselves or in their surroundings.
             item, of, begin, end = (c[self.window[counted[0]] == window] for c in counted)
             low = np.maximum((end - window - step) // step + 1, 0)

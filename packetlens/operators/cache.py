@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetlens import constants as K
 from packetlens.functions import as_col
 from packetlens.functions.intel import cache_ttl
+from packetlens.operators.intel import enrichment_stats, sort_enriched
 from packetlens.operators.ranking import with_row_rank
+from packetlens.session import write_once
 
 
 def cache_key(indicator: Column | str = "indicator", indicator_type: Column | str = "indicator_type") -> Column:
@@ -53,11 +58,61 @@ def merge_cache(cache: DataFrame, results: DataFrame, now: float) -> DataFrame:
 
 
 def prune_cache(cache: DataFrame, now: float, max_size: int = K.CACHE_MAX_SIZE) -> DataFrame:
-    """Live entries; if they still fill the cache, without the oldest tenth."""
-    ranked = with_row_rank(cache.where(F.col("expires_at") >= now), [F.col("created_at"), F.col("cache_key")])
-    size = ranked.select(F.count(F.lit(1)).alias("n")).scalar()
-    evicted = F.when(size >= max_size, F.greatest(F.lit(1), F.floor(size / 10))).otherwise(0)
-    return ranked.where(F.col("row_rank") >= evicted).drop("row_rank")
+    """Live entries; if they still fill the cache, without the oldest tenth (ties by key).
+
+    Entries are counted per second of their making. Live ones are at most as old as the longest life, which bounds
+    these counts. They give the second in which the cut lies, and only the entries of that second are ranked.
+    """
+    # An entry without a time is the oldest.
+    made = F.coalesce(F.floor("created_at"), F.lit(-(1 << 62)))
+    live = cache.where(F.col("expires_at") >= now)
+    counts = live.groupBy(made.alias("made")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("made").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seconds = counts.select("made", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("size"))
+    evicted = F.when(F.col("size") >= max_size, F.greatest(F.lit(1), F.floor(F.col("size") / 10))).otherwise(0)
+    cut = seconds.select("made", (evicted - F.col("upto") + F.col("n")).alias("oldest")).where("oldest > 0")
+    last = cut.orderBy(F.desc("made")).first()
+    if last is None:
+        return live
+    ranked = with_row_rank(live.where(made == last["made"]), [F.col("created_at"), F.col("cache_key")])
+    return live.where(made > last["made"]).unionByName(ranked.where(F.col("row_rank") >= last["oldest"]).drop("row_rank"))
+
+
+@dataclass(frozen=True)
+class CachedLookups:
+    """Results of a batch (``cached``: from the cache), the cache after it, and one row of counts."""
+
+    results: DataFrame
+    cache: DataFrame
+    stats: DataFrame
+
+
+def enrich_with_cache(
+    indicators: DataFrame, cache: DataFrame, now: float, look_up: Callable[[DataFrame], DataFrame]
+) -> CachedLookups:
+    """Look up only what has no live entry, keep the answers, and give both, most serious first.
+
+    ``indicators`` has ``value`` and ``indicator_type``; one asked for twice (also in another case) is looked up once.
+    ``look_up`` takes such rows and returns results as :func:`intel.enrich` does. Its answers are written once, as the
+    results, the cache and the counts all read them. Threat levels are counted for what was looked up, as are errors: answers of a
+    source that hold one. An empty batch looks nothing up and keeps the cache.
+    """
+    whole = F.struct(*indicators.columns)
+    once = indicators.groupBy(cache_key("value")).agg(F.min_by(whole, "value").alias("_i")).select("_i.*")
+    hits, misses = split_by_cache(once, cache, now)
+    fresh = write_once(look_up(misses), "lookups")
+    own = [c for c in hits.columns if c not in ("cache_key", "created_at", "expires_at", "ttl_remaining")]
+    results = hits.select(*own).unionByName(fresh.withColumn("cached", F.lit(False)), allowMissingColumns=True)
+    sources = [c for c in ("otx", "abuse", "vt") if c in fresh.columns]
+    errors = sum((F.count_if(F.col(f"{c}.error").isNotNull()) for c in sources), F.lit(0))
+    stats = enrichment_stats(fresh).withColumnRenamed("total_indicators", "api_lookups").withColumns(
+        {
+            "cached_hits": hits.select(F.count(F.lit(1)).alias("n")).scalar(),
+            "errors": fresh.select(errors.alias("n")).scalar(),
+        }
+    )
+    stats = stats.withColumn("total_indicators", F.col("cached_hits") + F.col("api_lookups"))
+    return CachedLookups(sort_enriched(results), merge_cache(cache, fresh, now), stats)
 
 
 def cache_stats(indicators: DataFrame, cache: DataFrame, now: float, max_size: int = K.CACHE_MAX_SIZE) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.operators import anomalies, filters, indicators, intel, stats
+from packetlens.operators.cache import CachedLookups, enrich_with_cache
 from packetlens.operators.detectors import evaluate
 from packetlens.operators.flows import Tables, all_addresses, all_domains, build_conversations, build_flows
 from packetlens.sources.decode import dns_of, packets_of, tls_of
@@ -119,10 +120,8 @@ def analyze(
     }
 
 
-def enrich_all(
-    tables: Tables, otx: DataFrame | None = None, abuse: DataFrame | None = None, vt: DataFrame | None = None
-) -> DataFrame:
-    """The second path: every address and name, prioritised by findings, capped, then looked up."""
+def _prioritised(tables: Tables) -> DataFrame:
+    """Every address and name, prioritised by findings and capped."""
     ledger = evaluate(tables)
     ranked = indicators.prioritize_indicators(
         all_addresses(tables.flows),
@@ -130,7 +129,29 @@ def enrich_all(
         ledger.addresses(),
         indicators.finding_domains(ledger.findings()),
     )
-    capped = indicators.cap_by_priority(ranked)
+    return indicators.cap_by_priority(ranked)
+
+
+def enrich_all(
+    tables: Tables, otx: DataFrame | None = None, abuse: DataFrame | None = None, vt: DataFrame | None = None
+) -> DataFrame:
+    """The second path: every address and name, prioritised by findings, capped, then looked up."""
+    return _look_up(_prioritised(tables), otx, abuse, vt)
+
+
+def enrich_all_cached(
+    tables: Tables,
+    cache: DataFrame,
+    now: float,
+    otx: DataFrame | None = None,
+    abuse: DataFrame | None = None,
+    vt: DataFrame | None = None,
+) -> CachedLookups:
+    """The second path with a cache: only what has no live entry is looked up. The returned cache replaces the given one."""
+    return enrich_with_cache(_prioritised(tables), cache, now, lambda misses: _look_up(misses, otx, abuse, vt))
+
+
+def _look_up(capped: DataFrame, otx: DataFrame | None, abuse: DataFrame | None, vt: DataFrame | None) -> DataFrame:
     # The value column is called indicator once it is looked up.
     order = [*indicators.indicator_order()[:-1], F.col("indicator")]
     return intel.enrich(capped, otx, abuse, vt, order=order)

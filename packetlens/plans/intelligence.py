@@ -343,8 +343,10 @@ def flagged_indicators(spark, sf):
         "malware_families", F.array_join("malware_families", ","))
 
 
-TWO_PHASE_CTE = INTEL_CTE.strip() + """,
-prelim AS (SELECT *, CASE WHEN 'malicious' IN (abuse_level, otx_level) THEN 'malicious' WHEN 'suspicious' IN (abuse_level, otx_level) THEN 'suspicious' WHEN 'clean' IN (abuse_level, otx_level) THEN 'clean' ELSE 'unknown' END AS pre FROM lv),
+def _two_phase(indicators: str) -> str:
+    """CTEs of both phases over a table like ``lv``; ``done`` has the results."""
+    return f""",
+prelim AS (SELECT *, CASE WHEN 'malicious' IN (abuse_level, otx_level) THEN 'malicious' WHEN 'suspicious' IN (abuse_level, otx_level) THEN 'suspicious' WHEN 'clean' IN (abuse_level, otx_level) THEN 'clean' ELSE 'unknown' END AS pre FROM {indicators}),
 slow AS (SELECT indicator, CASE WHEN (SELECT count(*) FROM prelim) <= 10 THEN 'auto-selected (small set)'
     WHEN (SELECT count(*) FROM prelim WHERE pre IN ('malicious', 'suspicious')) >= 10 THEN 'marked suspicious by preliminary scan' ELSE 'fallback selection' END AS selection_reason
   FROM prelim ORDER BY CASE WHEN (SELECT count(*) FROM prelim) <= 10 THEN 0 WHEN pre IN ('malicious', 'suspicious') THEN 0 ELSE 1 END, indicator LIMIT 10),
@@ -353,6 +355,9 @@ done AS (SELECT p.*, s.indicator IS NOT NULL AS slow_selected, CASE WHEN 'malici
 """
 
 
+TWO_PHASE_CTE = INTEL_CTE.strip() + _two_phase("lv")
+
+
 @query("vt_priority", ["intel_v"], "SELECT indicator, selection_reason FROM slow", TWO_PHASE_CTE)
 def vt_priority(spark, sf):
     otx, abuse, _ = intel_tables(spark, sf)
@@ -424,6 +429,37 @@ def cache_stats(spark, sf):
     return C.cache_stats(_indicators(spark, sf), _cache(spark, sf), _NOW)
 
 
+CACHED_TWO_PHASE_CTE = CACHE_CTE.strip() + f""",
+missed AS (SELECT * FROM lv WHERE indicator IN (SELECT indicator FROM entries WHERE expires_at < {_NOW}))""" + _two_phase("missed")
+
+
+def _with_cache(spark, sf):
+    sources = intel_tables(spark, sf)
+    return C.enrich_with_cache(_indicators(spark, sf), _cache(spark, sf), _NOW, lambda misses: X.enrich(misses, *sources))
+
+
+@query("enrich_with_cache", ["intel_v"], f"""
+SELECT indicator, level AS overall_threat_level, true AS cached, CAST(NULL AS BOOLEAN) AS slow_selected, CAST(NULL AS INTEGER) AS source_count FROM entries WHERE expires_at >= {_NOW}
+UNION ALL SELECT indicator, level, false, slow_selected, CASE WHEN slow_selected THEN 3 ELSE 2 END FROM done""", CACHED_TWO_PHASE_CTE)
+def enrich_with_cache(spark, sf):
+    return _with_cache(spark, sf).results.select("indicator", "overall_threat_level", "cached", "slow_selected", "source_count")
+
+
+@query("cache_after_lookups", ["intel_v"], f"""
+SELECT cache_key, level AS overall_threat_level, created_at FROM entries WHERE expires_at >= {_NOW}
+UNION ALL SELECT 'ip:' || lower(indicator), level, {_NOW}::DOUBLE FROM done""", CACHED_TWO_PHASE_CTE)
+def cache_after_lookups(spark, sf):
+    return _with_cache(spark, sf).cache.select("cache_key", "overall_threat_level", "created_at")
+
+
+@query("enrich_with_cache_stats", ["intel_v"], f"""
+SELECT (SELECT count(*) FROM entries WHERE expires_at >= {_NOW}) AS cached_hits, (SELECT count(*) FROM entries) AS total_indicators, count(*) AS api_lookups, 0::BIGINT AS errors,
+  count(*) AS otx_queries, count(*) AS abuse_queries, count(*) FILTER (slow_selected) AS vt_queries, count(*) FILTER (NOT slow_selected) AS vt_skipped,
+  count(*) FILTER (level = 'malicious') AS malicious_found, count(*) FILTER (level = 'suspicious') AS suspicious_found FROM done""", CACHED_TWO_PHASE_CTE)
+def enrich_with_cache_stats(spark, sf):
+    return _with_cache(spark, sf).stats
+
+
 # ---- display filters -----------------------------------------------------------------------
 
 _F = "'{category}' AS category, '{severity}' AS severity, {confidence}::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS related_finding_id"

@@ -52,12 +52,30 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+#: Spark keeps at most this many rows a key in every task before a shuffle for a window's rank.
+_PRUNED_RANKS = 1000
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each key. The rank bound is applied in every task before the shuffle.
 
-    Spark does so up to 1,000 rows a key; above that a hot key would be sorted in one task, so it is refused.
+    Spark does so up to 1,000 rows a key; above that a hot key would be sorted in one task, so :func:`ranked_per_key`
+    takes over, for which ``order`` must break all ties that matter.
     """
-    if n > 1000:
-        raise ValueError("top_per_key keeps at most 1000 rows of a key; use with_row_rank for more")
+    if n > _PRUNED_RANKS:
+        return ranked_per_key(df, keys, order).where(F.col("key_rank") <= n)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("key_rank", rank).where(F.col("key_rank") <= n)
+
+
+def ranked_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Adds ``key_rank`` (from 1) of every row within its key; a key's rows may lie in many tasks.
+
+    Rows are ranked over all keys, by key and then ``order``, in range partitions. A key's first rank, one row per
+    key that combines before its shuffle, is taken off. Null keys are keys like others.
+    """
+    ranked = with_row_rank(df, [*map(F.col, keys), *order])
+    first = ranked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("row_rank").alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    placed = ranked.join(first, same)
+    return placed.withColumn("key_rank", F.col("row_rank") - F.col("_first") + 1).select(*df.columns, "key_rank")

@@ -147,6 +147,37 @@ def timeline(packets: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     )
 
 
+#: A sketch of 2**12 registers: its count errs by 1.6 % in the standard deviation.
+SKETCH_LG_K = 12
+
+
+def timeline_sketches(packets: DataFrame, bucket_seconds: int = 60, origin: float = 0.0, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """Totals per time bucket with a sketch of its addresses (``ips``), to be stored and widened later.
+
+    Buckets are counted from ``origin`` (the epoch, so that tables of several captures fit together). Sketches have a
+    fixed size and combine before the shuffle, so a hot bucket costs no more than others. No packets: no rows; null
+    addresses are not counted.
+    """
+    src_private, dst_private = net.is_private("src_ip"), net.is_private("dst_ip")
+    return packets.groupBy(F.floor((F.col("ts") - F.lit(origin)) / bucket_seconds).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("packet_count"),
+        F.sum("length").alias("byte_count"),
+        F.sum(F.when(~src_private & dst_private, F.col("length")).otherwise(0)).alias("inbound_bytes"),
+        F.sum(F.when(src_private & ~dst_private, F.col("length")).otherwise(0)).alias("outbound_bytes"),
+        F.hll_union(F.hll_sketch_agg("src_ip", lg_k), F.hll_sketch_agg("dst_ip", lg_k)).alias("ips"),
+    )
+
+
+def widen_timeline(sketches: DataFrame, factor: int = 1) -> DataFrame:
+    """Buckets ``factor`` times as wide, from stored sketches alone, of one table or several united.
+
+    ``unique_ips`` is an estimate (see ``SKETCH_LG_K``); the other columns are exact.
+    """
+    sums = [F.sum(c).alias(c) for c in ("packet_count", "byte_count", "inbound_bytes", "outbound_bytes")]
+    wide = sketches.groupBy(F.floor(F.col("bucket") / factor).alias("bucket")).agg(*sums, F.hll_union_agg("ips").alias("ips"))
+    return wide.withColumn("unique_ips", F.hll_sketch_estimate("ips"))
+
+
 # ---- DNS -----------------------------------------------------------------------------------
 
 

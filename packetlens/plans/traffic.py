@@ -295,6 +295,33 @@ def timeline_minutes(spark, sf):
     return stats.timeline(packets(spark, sf))
 
 
+@query("timeline_from_minutes", ["traffic_v"], f"""
+SELECT CAST(floor(ts / 3600) AS BIGINT) AS bucket, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count,
+  CAST(coalesce(sum(length) FILTER (NOT {S.private_core("src_ip")} AND {S.private_core("dst_ip")}), 0) AS BIGINT) AS inbound_bytes,
+  CAST(coalesce(sum(length) FILTER ({S.private_core("src_ip")} AND NOT {S.private_core("dst_ip")}), 0) AS BIGINT) AS outbound_bytes, true AS ips_close
+FROM traffic_v GROUP BY 1""")
+def timeline_from_minutes(spark, sf):
+    # Hours from the sketches of minutes alone. Their address counts are held against exact ones, within three deviations.
+    rows = packets(spark, sf)
+    hours = stats.widen_timeline(stats.timeline_sketches(rows), 60)
+    ends = rows.select(F.floor(F.col("ts") / 3600).alias("bucket"), F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
+    exact = ends.distinct().groupBy("bucket").agg(F.count("ip").alias("exact"))
+    close = F.abs(F.col("unique_ips") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.049 * F.col("exact"))
+    return hours.join(exact, "bucket").select(
+        "bucket", "packet_count", "byte_count", "inbound_bytes", "outbound_bytes", close.alias("ips_close"))
+
+
+_PER_SOURCE = 2000
+
+
+@query("largest_packets_per_source", ["traffic_v"], f"""
+SELECT src_ip, key_rank, length, ts, seq, dst_ip FROM (
+  SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY length DESC, ts, seq, dst_ip) AS key_rank FROM traffic_v) r WHERE key_rank <= {_PER_SOURCE}""")
+def largest_packets_per_source(spark, sf):
+    rows = packets(spark, sf).select("src_ip", "length", "ts", "seq", "dst_ip")
+    return ranking.top_per_key(rows, ["src_ip"], [F.col("length").desc(), F.col("ts"), F.col("seq"), F.col("dst_ip")], _PER_SOURCE)
+
+
 def _share_sql(direction: str, share: float) -> str:
     return f"""
 SELECT src_ip, dst_ip, src_port, dst_port, protocol, byte_count FROM (

@@ -334,6 +334,16 @@ def cascade_stats(spark, sf):
     return X.cascade_stats(_cascade(spark, sf))
 
 
+@query("cascade_without_pulses", ["intel_v"], """
+SELECT indicator, abuse_flag AS abuse_flagged, indicator IN (SELECT indicator FROM lv WHERE abuse_flag ORDER BY indicator LIMIT 9) AS slow_selected,
+  CASE WHEN 'malicious' IN (abuse_level, v) THEN 'malicious' WHEN 'suspicious' IN (abuse_level, v) THEN 'suspicious' WHEN 'clean' IN (abuse_level, v) THEN 'clean' ELSE 'unknown' END AS overall_threat_level
+FROM (SELECT *, CASE WHEN indicator IN (SELECT indicator FROM lv WHERE abuse_flag ORDER BY indicator LIMIT 9) THEN vt_level ELSE 'unknown' END AS v FROM lv) l""", INTEL_CTE)
+def cascade_without_pulses(spark, sf):
+    # Without pulses every address is asked for abuse reports.
+    _, abuse, vt = intel_tables(spark, sf)
+    return X.cascade(_indicators(spark, sf), None, abuse, vt).select("indicator", "abuse_flagged", "slow_selected", "overall_threat_level")
+
+
 @query("flagged_indicators", ["intel_v"], f"""
 SELECT indicator, indicator_type, level AS threat_level, array_to_string({_sources('slow_selected', 'abuse_wanted', '', '')}, ' | ') AS summary,
   array_to_string(list_sort(list_distinct(CASE WHEN has_malware_tag THEN ['apt-tool', 'botnet'] ELSE [] END || CASE WHEN slow_selected AND s_suppkey % 2 = 0 THEN ['scanner'] ELSE [] END)), ',') AS malware_families

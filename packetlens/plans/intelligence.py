@@ -569,7 +569,7 @@ def filter_protocol(spark, sf):
 
 @query("filter_beacon", ["beacon_flows_v"], f"""
 SELECT concat('Beacon: ', src_ip, ' → ', dst_ip, ':', dst_port) AS name, concat('ip.src == ', src_ip, ' && ip.dst == ', dst_ip, ' && tcp.dstport == ', dst_port) AS filter,
-  concat('Potential C2 beacon traffic (interval: ~', printf('%.1f', 60.0 + n % 7), 's)') AS description, {_f('beacon', 'high', 0.7)}
+  concat('Regular call-backs (interval: ~', printf('%.1f', 60.0 + n % 7), 's)') AS description, {_f('beacon', 'high', 0.7)}
 FROM (SELECT src_ip, dst_ip, dst_port, count(*) AS n FROM beacon_flows_v GROUP BY ALL) t""")
 def filter_beacon(spark, sf):
     rows = view(spark, sf, "beacon_flows_v").groupBy("src_ip", "dst_ip", "dst_port", "protocol").agg(
@@ -578,7 +578,7 @@ def filter_beacon(spark, sf):
 
 
 @query("filter_dns_tunnel", ["dns_v"], f"""
-SELECT 'DNS Tunnel: ' || p AS name, 'dns.qry.name contains "' || p || '"' AS filter, 'DNS tunneling via ' || p AS description, {_f('dns_tunnel', 'high', 0.7)}
+SELECT 'DNS Tunnel: ' || p AS name, 'dns.qry.name contains "' || p || '"' AS filter, 'Data carried in names below ' || p AS description, {_f('dns_tunnel', 'high', 0.7)}
 FROM (SELECT DISTINCT {S.registered_parent('query_name')} AS p FROM dns_v) t WHERE p <> ''""")
 def filter_dns_tunnel(spark, sf):
     return D.dns_tunnel_filter(view(spark, sf, "dns_v").select(names.registered_parent("query_name").alias("domain")).distinct())
@@ -586,7 +586,7 @@ def filter_dns_tunnel(spark, sf):
 
 @query("filter_exfiltration", ["traffic_v"], f"""
 SELECT concat('Exfiltration: ', src_ip, ' → ', dst_ip) AS name, concat('ip.src == ', src_ip, ' && ip.dst == ', dst_ip, ' && tcp.len > ', b) AS filter,
-  'Potential data exfiltration to ' || dst_ip AS description, {_f('exfiltration', 'high', 0.6)}
+  'Large transfer out to ' || dst_ip AS description, {_f('exfiltration', 'high', 0.6)}
 FROM (SELECT src_ip, dst_ip, max(length) AS b FROM traffic_v GROUP BY ALL) t""")
 def filter_exfiltration(spark, sf):
     rows = packets(spark, sf).groupBy("src_ip", "dst_ip").agg(F.max("length").alias("min_bytes"))
@@ -595,14 +595,14 @@ def filter_exfiltration(spark, sf):
 
 @query("filter_port_scan", ["traffic_v"], f"""
 SELECT concat('Port Scan: ', src_ip, ' → ', dst_ip) AS name, concat('ip.src == ', src_ip, ' && ip.dst == ', dst_ip, ' && tcp.flags.syn == 1 && tcp.flags.ack == 0') AS filter,
-  'SYN scan traffic from ' || src_ip AS description, {_f('port_scan', 'medium', 0.8)} FROM {_PAIRS}""")
+  'Connection attempts by ' || src_ip AS description, {_f('port_scan', 'medium', 0.8)} FROM {_PAIRS}""")
 def filter_port_scan(spark, sf):
     return D.port_scan_filter(_pairs(spark, sf), "src_ip", "dst_ip")
 
 
 @query("filter_malicious_ip", ["intel_v"], f"""
 SELECT concat('Malicious: ', indicator, CASE WHEN pulse_count > 2 THEN ' (C2)' ELSE '' END) AS name, 'ip.addr == ' || indicator AS filter,
-  concat('Traffic involving malicious IP ', indicator, ' [via OTX]') AS description, {_f('malicious_ip', 'critical', 0.9)} FROM intel_v""")
+  concat('Packets of the reported address ', indicator, ' [via OTX]') AS description, {_f('malicious_ip', 'critical', 0.9)} FROM intel_v""")
 def filter_malicious_ip(spark, sf):
     rows = view(spark, sf, "intel_v").select(F.col("indicator").alias("ip"), F.when(F.col("pulse_count") > 2, "C2").alias("kind"), F.lit("OTX").alias("src"))
     return D.malicious_ip_filter(rows, threat_type="kind", source="src")
@@ -641,7 +641,7 @@ def _vt_confidence(selected="slow_selected", abuse="abuse_wanted"):
 
 @query("display_filters_intel", ["intel_v"], f"""
 SELECT concat('Malicious: ', indicator, CASE WHEN kind <> '' THEN ' (' || kind || ')' ELSE '' END) AS name, 'ip.addr == ' || indicator AS filter,
-  concat('Traffic involving malicious IP ', indicator, CASE WHEN src <> '' THEN ' [via ' || src || ']' ELSE '' END) AS description,
+  concat('Packets of the reported address ', indicator, CASE WHEN src <> '' THEN ' [via ' || src || ']' ELSE '' END) AS description,
   'malicious_ip' AS category, 'critical' AS severity, round({_vt_confidence()}, 6) AS confidence, CAST(NULL AS VARCHAR) AS related_finding_id
 FROM (SELECT *, array_to_string((CASE WHEN abuse_wanted AND abuse_score > 50 AND s_suppkey % 3 = 0 THEN ['Port Scan', 'Brute-Force', 'Category-99'] ELSE [] END || CASE WHEN pulse_count > 0 AND has_malware_tag THEN ['apt-tool', 'botnet'] ELSE [] END)[1:2], ', ') AS kind,
   concat_ws(', ', CASE WHEN slow_selected AND malicious_count > 0 THEN 'VirusTotal' END, CASE WHEN abuse_wanted AND abuse_score > 50 THEN 'AbuseIPDB' END, CASE WHEN pulse_count > 0 THEN 'OTX' END) AS src

@@ -5,7 +5,8 @@ row per record with its header block, byte for byte as in a WARC file, and the d
 are put together again by a join on the digest; ``export`` writes them as WARC files.
 
 Digests are verified: on writing, all payloads of a digest must agree in length and in a second hash; on
-reading, the digest is taken again from the stored bytes. Either failing ends the job.
+reading, the digest is taken again from the stored bytes or, where records are put together (``rebuilt``), from each
+record's own block, whose length must be the stated one. Any of these failing ends the job.
 
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes the one with the smallest page id is the response
 and the others are revisits of it; smaller payloads give responses only. The aggregate by digest combines copies
@@ -22,16 +23,22 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import shared_folder, table
+from packetlens.llm.common import shared_folder, table, to_batch
 
 MIN_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 _ID = "urn:x-page:"
+#: Bytes of an exported file, unless one record is larger, and the sizes up to which records share files.
+FILE_BYTES = 512 * 1024 * 1024
+SIZE_CLASSES = (16 * 1024, 256 * 1024, 4 * 1024 * 1024, 64 * 1024 * 1024)
+READ_BYTES = 8 * 1024 * 1024
+BATCH_RECORDS = 10_000
 
 
 def _payloads(pages: DataFrame) -> DataFrame:
@@ -128,48 +135,129 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     )
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def rebuilt(spark: SparkSession, path: str, above: int = -1, most: int | None = None) -> DataFrame:
+    """The records put together again: head, block (HTTP head, then a response's payload) and what was read from them.
+
+    ``above`` and ``most`` bound the payloads' sizes, so that only these payloads are read.
+
+    Every block must have the length that its head states, and a response's payload, taken from its own block, the
+    digest that its head states; else the job fails. A revisit has no payload: its ``payload_bytes`` are those of the
+    stored payload, which the response that it refers to is verified with.
+    """
+    stored = spark.read.parquet(f"{path}/payloads").filter(F.col("size") > above)
+    if most is not None:
+        stored = stored.filter(F.col("size") <= most)
+    stored = stored.select("digest", "payload")
+    rows = spark.read.parquet(f"{path}/records").join(stored, "digest").select(
+        "head", "payload", F.substring_index("head", END, 1).alias("warc"), _field("WARC-Type").alias("record_type")
+    )
+    http = F.expr(f"substring(head, char_length(warc) + {len(END) + 1})").cast("binary")
+    revisit = F.col("record_type") == "revisit"
+    rows = rows.withColumn("http_bytes", F.octet_length(http)).withColumn(
+        "block", F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
+    )
+    stated = F.regexp_extract("warc", r"\r\nContent-Length: (\d+)$", 1).cast("long")
+    stated_digest = F.regexp_extract("warc", r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1)
+    body = F.expr("substring(block, http_bytes + 1)")
+    digest = F.when(revisit, stated_digest).otherwise(F.sha2(body, 256))
+    return rows.select(
+        _page("WARC-Record-ID").alias("page_id"),
+        _field("WARC-Target-URI").alias("url"),
+        "record_type",
+        _page("WARC-Refers-To").alias("refers_to"),
+        "head",
+        F.when(F.octet_length("block") == stated, F.col("block"))
+        .otherwise(F.raise_error(F.lit("a block differs from its stated length")).cast("binary"))
+        .alias("block"),
+        F.when(digest == stated_digest, digest)
+        .otherwise(F.raise_error(F.lit("a payload differs from its digest")))
+        .alias("digest"),
+        F.when(revisit, F.octet_length("payload")).otherwise(F.octet_length(body)).cast("long").alias("payload_bytes"),
+    )
+
+
+def records(spark: SparkSession, path: str, above: int = -1, most: int | None = None) -> DataFrame:
     """(page_id, record): each original record but its closing line ends; a revisit has no payload."""
-    rows = read_archive(spark, path)
-    body = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
-    return rows.select("page_id", F.concat("head", body).alias("record"))
+    warc = F.concat(F.substring_index("head", END, 1), F.lit(END))
+    rows = rebuilt(spark, path, above, most)
+    return rows.select("page_id", F.concat(warc, F.col("block").cast("string")).alias("record"))
+
 
+def export(spark: SparkSession, path: str, out: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write the records as WARC files below ``out``; the line separator is the end that WARC asks for.
+
+    Files are bounded by bytes of payloads: each class of payload sizes is written by a job of its own, as many records
+    a file as fit at the class's largest size. Payloads beyond the last class have a file each.
+    """
+    above = -1
+    for most in (*SIZE_CLASSES, None):
+        per_file = 1 if most is None else max(1, file_bytes // most)
+        lines = records(spark, path, above, most).select("record").write.mode("append").option("lineSep", END)
+        lines.option("maxRecordsPerFile", per_file).text(out)
+        above = most
 
-def export(spark: SparkSession, path: str, out: str, per_file: int = 10_000) -> None:
-    """Write the records as WARC files below ``out``; the line separator is the end that WARC asks for."""
-    lines = records(spark, path).select("record").write.option("lineSep", END)
-    lines.option("maxRecordsPerFile", per_file).text(out)
 
+def _parse(source):
+    """(head, block) of each record of an open file, which is read forward; one record is held at a time.
 
-def _parse(data: bytes):
-    at, out = 0, []
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at) + 4
-        head = data[at:stop]
-        size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
-        out.append((head.decode(), data[stop : stop + size]))
-        at = stop + size + len(END)
-    return out
+    The first empty line ends the WARC head; the block begins with the HTTP head.
+    """
+    held = b""
+    while True:
+        while (stop := held.find(END.encode())) < 0:
+            more = source.read(READ_BYTES)
+            if not more:
+                if held.strip():
+                    raise ValueError("a record's head has no end")
+                return
+            held += more
+        stop += len(END)
+        head = held[:stop]
+        stated = re.search(rb"\r\nContent-Length: (\d+)", head)
+        if stated is None:
+            raise ValueError("a record's head states no length")
+        size = int(stated[1])
+        missing = stop + size + len(END) - len(held)
+        if missing > 0:
+            held += source.read(max(missing, READ_BYTES))
+        if len(held) < stop + size + len(END) or held[stop + size : stop + size + len(END)] != END.encode():
+            raise ValueError("a record is cut off or longer than stated")
+        yield head.decode(), held[stop : stop + size]
+        held = held[stop + size + len(END) :]
 
 
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
-    """(head, block) of every record in WARC files. A file is read as a whole: ``per_file`` of export bounds it."""
+    """(head, block) of every record in WARC files of any size: ``head`` is the WARC head with its empty line.
+
+    A task reads its files forward, a record at a time. A file that is cut off or misstates a length ends the job.
+    """
+
+    def opened(path: str):
+        files, inner = pafs.FileSystem.from_uri(path)
+        return files.open_input_stream(inner)
 
     def run(batches):
         for batch in batches:
-            for data in batch.column(0):
-                heads, blocks = zip(*_parse(data.as_py())) if len(data.as_py()) else ((), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(heads, pa.string()), pa.array(blocks, pa.binary())], names=["head", "block"]
-                )
-
-    return spark.read.format("binaryFile").load(out).select("content").mapInArrow(run, "head string, block binary")
+            for path in batch.column(0).to_pylist():
+                heads, blocks, size = [], [], 0
+                with opened(path) as source:
+                    for head, block in _parse(source):
+                        heads.append(head)
+                        blocks.append(block)
+                        size += len(block)
+                        if size >= READ_BYTES or len(heads) == BATCH_RECORDS:
+                            yield to_batch({"head": (heads, pa.string()), "block": (blocks, pa.binary())})
+                            heads, blocks, size = [], [], 0
+                yield to_batch({"head": (heads, pa.string()), "block": (blocks, pa.binary())})
+
+    files = spark.read.format("binaryFile").load(out).select("path")
+    return files.mapInArrow(run, "head string, block binary")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    return read_archive(spark, path, payload=False).select(
+    return rebuilt(spark, path).select(
         "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"
     )
 

@@ -1,12 +1,14 @@
 """Archives, pages, conversations and the pipeline."""
 
 import hashlib
+import io
 import os
 import random
 import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetlens.llm import chat, html_extract, queries, warc
 from packetlens.llm.common import connected_components, shared_folder, stored
@@ -38,6 +40,11 @@ def test_archive_round_trip(spark):
     read = {(r.head, bytes(r.block)) for r in warc.read_warc(spark, out).collect()}
     assert len(read) == 9
     assert all(b.endswith(b"\r\n\r\n") if "revisit" in h else any(b.endswith(p) for p in (big.encode(), small.encode(), b"\r\n\r\n")) for h, b in read)
+    again = warc.rebuilt(spark, path).collect()
+    assert {(r.head.split(warc.END)[0] + warc.END, bytes(r.block)) for r in again} == read
+    assert sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes, r.digest) for r in again), key=repr) == got
+    for h, b in read:
+        assert f"\r\nContent-Length: {len(b)}{warc.END}" in h and h.startswith("WARC/1.1\r\n")
     empty = shared_folder(spark, "archive")
     warc.write_archive(pages(spark, []), empty)
     assert warc.read_archive(spark, empty).count() == 0
@@ -51,6 +58,33 @@ def test_damaged_payload_ends_the_job(spark):
     spark.read.parquet(f"{path}/records").write.parquet(f"{path}/bad/records")
     with pytest.raises(Exception, match="differs from its digest"):
         warc.read_archive(spark, f"{path}/bad").collect()
+    with pytest.raises(Exception, match="differs from its stated length"):
+        warc.rebuilt(spark, f"{path}/bad").collect()
+    same_size = rows.withColumn("payload", F.expr("cast(repeat('z', 200) as binary)"))
+    same_size.write.parquet(f"{path}/worse/payloads")
+    spark.read.parquet(f"{path}/records").write.parquet(f"{path}/worse/records")
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.rebuilt(spark, f"{path}/worse").collect()
+
+
+def test_files_are_bounded_by_bytes_and_read_forward(spark, tmp_path, monkeypatch):
+    """Records of all size classes, files of a few records, reads smaller than a record; damage ends the job."""
+    rows = [(i, f"u{i}", chr(97 + i % 26) * (i * i * 7)) for i in range(60)]
+    path, out = shared_folder(spark, "archive"), str(tmp_path / "files")
+    warc.write_archive(pages(spark, rows), path)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (1000, 8000))
+    warc.export(spark, path, out, file_bytes=16_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "files").glob("part-*")]
+    assert len(sizes) > 20 and max(sizes) < 16 * 1500 + 16_000 and sum(n > 16_000 for n in sizes) >= 12
+    got = [(r.head, bytes(r.block)) for r in warc.read_warc(spark, out).collect()]
+    assert sorted(b.split(b"\r\n\r\n", 1)[1].decode() for _, b in got) == sorted(r[2] for r in rows)
+    data = b"".join(h.encode() + b + warc.END.encode() for h, b in got)
+    for step in (37, 4096):
+        monkeypatch.setattr(warc, "READ_BYTES", step)
+        assert list(warc._parse(io.BytesIO(data))) == got and list(warc._parse(io.BytesIO(b""))) == []
+    for bad in (data[:-9], data.replace(b"Content-Length", b"Content-Strength"), b"WARC/1.1\r\nno end"):
+        with pytest.raises(ValueError):
+            list(warc._parse(io.BytesIO(bad)))
 
 
 def test_extraction_rules():

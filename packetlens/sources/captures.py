@@ -1,9 +1,11 @@
 """Packet captures (classic pcap and pcapng) as a table of raw frames.
 
 Captures are cut into byte ranges so that one large file is read by many tasks. Small files
-are one range. For large files an index job (one task per file) walks the record headers and
-notes where each range starts, with the state a reader needs there. Paths must be readable by
-the executors: a shared mount, or any URI that ``pyarrow.fs`` opens.
+are one range. Of large classic files every part is walked by a task of its own, from the first
+record border that it finds (``borders``) to the first border of the part after it; where these agree along the
+whole file, the ranges are those of a reader from the start. Other large files (pcapng, whose packets
+need the interfaces stated before, or borders that disagree) are walked by one task each, by headers only. Paths must
+be readable by the executors: a shared mount, or any URI that ``pyarrow.fs`` opens.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens import schemas
+from packetlens.sources.borders import SECTION, SECTION_ORDERS, next_block, next_record
 
 EXTENSIONS = "*.{pcap,pcapng,cap}"
 SPLIT_BYTES = 128 * 1024 * 1024
@@ -30,6 +33,11 @@ _FRAME_ARROW = pa.schema(
     [("capture", pa.string()), ("seq", pa.int64()), ("ts", pa.float64()), ("link_type", pa.int32()), ("frame", pa.binary()),
      ("problem", pa.string()), ("place", pa.int64())]
 )
+_PARTS = "path STRING, part BIGINT, start BIGINT, following BIGINT, records BIGINT, state STRING"
+_PART_ARROW = pa.schema(
+    [("path", pa.string()), ("part", pa.int64()), ("start", pa.int64()), ("following", pa.int64()), ("records", pa.int64()),
+     ("state", pa.string())]
+)
 _RANGE_ARROW = pa.schema(
     [("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("first_seq", pa.int64()), ("state", pa.string())]
 )
@@ -41,7 +49,6 @@ _MAGIC = {
     b"\x4d\x3c\xb2\xa1": ("<", 1e9),
     b"\xa1\xb2\x3c\x4d": (">", 1e9),
 }
-_SECTION = 0x0A0D0D0A
 
 
 # ---- files ---------------------------------------------------------------------------------
@@ -86,7 +93,8 @@ class _Window:
 
 
 # A record that can't be read is yielded too, with a problem instead of a frame: ``damaged`` (impossible lengths or
-# references) or ``truncated`` (the file ends inside it). Nothing is dropped without such a row, nothing raises.
+# references) or ``truncated`` (the file ends inside it). Reading goes on at the next chain of plausible records, so such
+# a row stands for the bytes up to there. Nothing is dropped without such a row, nothing raises.
 _MAX_FRAME = 256 * 1024
 
 
@@ -99,10 +107,7 @@ def _classic_state(head: bytes) -> dict | None:
 
 
 def _classic_records(window: _Window, at: int, end: int, state: dict, want_data: bool):
-    """(position, next position, time, link type, frame, problem) of each record that starts before ``end``.
-
-    After a record with impossible lengths the next one can't be found: the rest of the file is that one row.
-    """
+    """(position, next position, time, link type, frame, problem) of each record that starts before ``end``."""
     header, link, size_of_file = struct.Struct(state["order"] + "IIII"), state["link"], window.length
     while at < end:
         head = window.take(at, 16)
@@ -113,8 +118,10 @@ def _classic_records(window: _Window, at: int, end: int, state: dict, want_data:
         following = at + 16 + size
         problem = "damaged" if size > state["most"] or frac >= state["fraction"] else "truncated" if following > size_of_file else None
         if problem:
-            yield at, size_of_file, 0.0, link, None, problem
-            return
+            found = next_record(window, at + 1, size_of_file, state)
+            yield at, found or size_of_file, 0.0, link, None, "damaged" if found else problem
+            at = found or size_of_file
+            continue
         data = window.take(at + 16, size) if want_data else b""
         yield at, following, sec + frac / state["fraction"], link, data, None
         at = following
@@ -143,14 +150,15 @@ def _interface(body: bytes, order: str) -> dict:
 def _ng_records(window: _Window, at: int, end: int, state: dict, want_data: bool):
     """The same for pcapng. ``state`` follows sections and interfaces as blocks go by.
 
-    A block whose own lengths agree is skipped when its content is damaged, and reading goes on after it.
+    A block whose own lengths agree is skipped when its content is damaged, and reading goes on after it; else at the
+    next chain of blocks.
     """
     size_of_file = window.length
     while at < end:
         head = window.take(at, 12)
         problem = "truncated" if len(head) < 12 else None
-        if not problem and struct.unpack_from("<I", head)[0] == _SECTION:
-            order = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}.get(head[8:12])
+        if not problem and struct.unpack_from("<I", head)[0] == SECTION:
+            order = SECTION_ORDERS.get(head[8:12])
             if order is None:
                 problem = "damaged"
             else:
@@ -164,8 +172,10 @@ def _ng_records(window: _Window, at: int, end: int, state: dict, want_data: bool
         if not problem and window.take(at + size - 4, 4) != head[4:8]:
             problem = "damaged"
         if problem:
-            yield at, size_of_file, 0.0, -1, None, problem
-            return
+            found = next_block(window, at + 1, size_of_file, order)
+            yield at, found or size_of_file, 0.0, -1, None, "damaged" if found else problem
+            at = found or size_of_file
+            continue
         if kind == 1:
             face = _interface(window.take(at + 8, size - 12), order) if size >= 20 else None
             state["interfaces"].append(face)
@@ -221,37 +231,103 @@ def _records(window: _Window, at: int, end: int, state: dict, want_data: bool):
 # ---- jobs ----------------------------------------------------------------------------------
 
 
-def _index_files(split_bytes: int):
-    """Arrow job: file rows -> range rows."""
+def _walk(path: str, length: int, split_bytes: int) -> list[tuple]:
+    """The ranges of a file by a walk along its headers from the start."""
+    with _open(path) as source:
+        window = _Window(source, 0)
+        begun = _start_state(window)
+        if begun is None:
+            return [(path, 0, length, 0, None)]
+        state, start = begun
+        found, first_seq, seq, mark = [], 0, 0, json.dumps(state)
+        for _, following, *_ in _records(window, start, length, state, want_data=False):
+            seq += 1
+            if following - start >= split_bytes:
+                found.append((path, start, following, first_seq, mark))
+                start, first_seq, mark = following, seq, json.dumps(state)
+        if start < length:
+            found.append((path, start, length, first_seq, mark))
+        return found
 
-    def ranges_of(path: str, length: int) -> list[tuple]:
-        with _open(path) as source:
-            window = _Window(source, 0)
-            begun = _start_state(window)
-            if begun is None:
-                return [(path, 0, length, 0, None)]
-            state, start = begun
-            found, first_seq, seq, mark = [], 0, 0, json.dumps(state)
-            for _, following, *_ in _records(window, start, length, state, want_data=False):
-                seq += 1
-                if following - start >= split_bytes:
-                    found.append((path, start, following, first_seq, mark))
-                    start, first_seq, mark = following, seq, json.dumps(state)
-            if start < length:
-                found.append((path, start, length, first_seq, mark))
-            return found
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def _index_files(split_bytes: int):
+    """Arrow job: file rows -> range rows, by walks."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, length in zip(batch["path"].to_pylist(), batch["length"].to_pylist()):
-                rows = ranges_of(path, length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), _RANGE_ARROW.types)], schema=_RANGE_ARROW
-                )
+                if length <= split_bytes:
+                    yield _batch([(path, 0, length, 0, None)], _RANGE_ARROW)
+                elif rows := _walk(path, length, split_bytes):
+                    yield _batch(rows, _RANGE_ARROW)
+
+    return job
+
+
+def _probe(path: str, length: int, part: int, split_bytes: int) -> tuple | None:
+    """One part of a file: its first record border, the first border after it and the records between.
+
+    None if no record begins in the part. Without a border (part 0 of files that need a walk), the walk is asked for.
+    """
+    with _open(path) as source:
+        begun = _start_state(_Window(source, 0, block=24))
+        if begun is None or begun[0]["kind"] != "pcap":
+            return (path, 0, None, None, None, None) if part == 0 else None
+        state, first = begun
+        window, end = _Window(source, part * split_bytes), min((part + 1) * split_bytes, length)
+        start = first if part == 0 else next_record(window, max(part * split_bytes, first), end, state)
+        if start is None:
+            return None
+        following, count = start, 0
+        for _, following, *_ in _records(window, start, end, state, want_data=False):
+            count += 1
+        return path, part, start, following, count, json.dumps(state)
+
+
+def _probe_parts(split_bytes: int):
+    """Arrow job: (path, length, part) -> part rows."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_probe(r["path"], r["length"], r["part"], split_bytes) for r in batch.to_pylist()]
+            if rows := [r for r in rows if r]:
+                yield _batch(rows, _PART_ARROW)
 
     return job
 
 
+def _join_parts(split_bytes: int):
+    """Arrow job for the parts of one file: ranges if every part ends where the next begins, else those of a walk."""
+
+    def job(parts: pa.Table) -> pa.Table:
+        rows = sorted(parts.to_pylist(), key=lambda r: r["part"])
+        path = rows[0]["path"]
+        with _open(path) as source:
+            length = source.size()
+        starts = [r["start"] for r in rows] + [length]
+        if rows[0]["part"] == 0 and [r["following"] for r in rows] == starts[1:]:
+            ranges, seq = [], 0
+            for r in rows:
+                ranges.append((path, r["start"], r["following"], seq, r["state"]))
+                seq += r["records"]
+        else:
+            ranges = _walk(path, length, split_bytes)
+        return pa.Table.from_batches([_batch(ranges, _RANGE_ARROW)] if ranges else [], _RANGE_ARROW)
+
+    return job
+
+
+def _large_ranges(files: DataFrame, count: int, parts: int, split_bytes: int) -> DataFrame:
+    """Range rows of ``count`` large files with ``parts`` parts in all: a row per part meets the others of its file."""
+    each = files.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / split_bytes))))
+    probed = each.repartition(parts).mapInArrow(_probe_parts(split_bytes), _PARTS)
+    return probed.repartition(count, "path").groupBy("path").applyInArrow(_join_parts(split_bytes), _RANGES)
+
+
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow job: range rows -> frame rows. A file that is no capture gives one row without a frame."""
     for batch in batches:
@@ -294,13 +370,16 @@ def read_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
 
     A record that can't be read is a row with a null frame, its ``problem`` and its byte offset in ``place``.
 
-
-    The driver sees two totals only: bytes, for the number of reading tasks, and the number of
-    large files, for the number of indexing tasks.
+    The driver sees three totals only: bytes, for the number of reading tasks, and the numbers of
+    large files and of their parts, for the numbers of indexing tasks.
     """
     files = list_captures(spark, path).select("path", "length")
     is_large = F.col("length") > split_bytes
-    totals = files.agg(F.sum("length").alias("bytes"), F.count_if(is_large).alias("large")).first()
+    totals = files.agg(
+        F.sum("length").alias("bytes"),
+        F.count_if(is_large).alias("large"),
+        F.sum(F.when(is_large, F.ceil(F.col("length") / split_bytes))).alias("parts"),
+    ).first()
     whole = files.where(~is_large).select(
         "path",
         F.lit(0).cast("bigint").alias("start"),
@@ -310,19 +389,19 @@ def read_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     )
     ranges = whole
     if totals["large"]:
-        large = files.where(is_large).repartition(totals["large"], "path")
-        ranges = whole.unionByName(large.mapInArrow(_index_files(split_bytes), _RANGES))
+        large = _large_ranges(files.where(is_large), totals["large"], totals["parts"], split_bytes)
+        ranges = whole.unionByName(large)
     tasks = max(1, -(-(totals["bytes"] or 0) // split_bytes))
     return ranges.repartition(tasks).mapInArrow(_read_ranges, schemas.FRAMES)
 
 
-def read_capture_rows(files: DataFrame) -> DataFrame:
-    """Frames of the files in a (batch or streaming) table with ``path`` and ``length``; one range per file."""
-    ranges = files.select(
-        "path",
-        F.lit(0).cast("bigint").alias("start"),
-        F.col("length").alias("end"),
-        F.lit(0).cast("bigint").alias("first_seq"),
-        F.lit(None).cast("string").alias("state"),
-    )
-    return ranges.mapInArrow(_read_ranges, schemas.FRAMES)
+def read_capture_rows(files: DataFrame, split_bytes: int = SPLIT_BYTES, tasks: int | None = None) -> DataFrame:
+    """Frames of the files in a (batch or streaming) table with ``path`` and ``length``.
+
+    One task walks the headers of a large file, then its ranges go round all ``tasks`` (by default as many as cores
+    are known), a number that adaptive execution leaves alone: ranges are small rows that stand for much work. A stream
+    can't compare borders found by several tasks without state, and a walk is exact.
+    """
+    tasks = tasks or max(1, files.sparkSession.sparkContext.defaultParallelism)
+    ranges = files.select("path", "length").mapInArrow(_index_files(split_bytes), _RANGES)
+    return ranges.repartition(tasks).mapInArrow(_read_ranges, schemas.FRAMES)

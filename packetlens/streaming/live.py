@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from packetlens import schemas
 from packetlens.functions import net
 from packetlens.operators.flows import FLOW_KEYS, app_protocol_name, last_app_protocol
-from packetlens.sources.captures import EXTENSIONS, read_capture_rows
+from packetlens.sources.captures import EXTENSIONS, SPLIT_BYTES, read_capture_rows
 from packetlens.sources.decode import decode_packets
 
 _FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -25,8 +25,13 @@ def stream_packets(spark: SparkSession, path: str, max_files_per_trigger: int =
     )
 
 
-def stream_captures(spark: SparkSession, path: str, max_files_per_trigger: int = 100) -> DataFrame:
-    """A folder capture files are dropped into, as packets. Contents are read by the decoding tasks."""
+def stream_captures(
+    spark: SparkSession, path: str, max_files_per_trigger: int = 100, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """A folder capture files are dropped into whole, as packets. A large file is cut into ranges that many tasks decode.
+
+    The source's log of files in the query's checkpoint says what was read: a restart neither loses nor repeats a file.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema(_FILES)
@@ -35,7 +40,7 @@ def stream_captures(spark: SparkSession, path: str, max_files_per_trigger: int =
         .load(path)
         .select("path", "length")
     )
-    return decode_packets(read_capture_rows(files))
+    return decode_packets(read_capture_rows(files, split_bytes))
 
 
 def _with_event_time(rows: DataFrame, time: str, watermark: str) -> DataFrame:

@@ -100,3 +100,23 @@ def test_capture_stream_equals_batch(spark, tmp_path):
     got = run(spark, live.stream_captures(spark, str(folder), 2), "capture_out", str(tmp_path / "cp"))
     expected = decode.decode_packets(captures.read_captures(spark, str(folder)))
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.select(*got.columns).collect())) and got.count() == 48
+
+
+def test_one_large_capture_is_read_by_many_tasks_and_a_restart_repeats_nothing(spark, tmp_path):
+    folder, checkpoint, sink = tmp_path / "in", str(tmp_path / "cp"), str(tmp_path / "out")
+    folder.mkdir()
+
+    def drain():
+        packets = live.stream_captures(spark, str(folder), split_bytes=2000).withColumn("task", F.spark_partition_id())
+        q = packets.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
+        q.awaitTermination(180)
+        return spark.read.parquet(sink)
+
+    (folder / "large.pcap").write_bytes(classic(FRAMES * 20))
+    first = drain()
+    assert first.select("task").distinct().count() > 1
+    (folder / "more.pcap").write_bytes(classic(FRAMES * 3))
+    got = drain()
+    expected = decode.decode_packets(captures.read_captures(spark, str(folder)))
+    assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
+    assert drain().count() == got.count() > first.count()

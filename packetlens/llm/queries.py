@@ -32,6 +32,7 @@ QUERIES = {
     "op11_exact_dedup": exact_dedup.op11,
     "op12_merkle_manifest": merkle.op12,
     "op13_hard_negatives": hard_negatives.op13,
+    "rule_ablations": rules.rule_ablations,
 }
 
 ORACLE_SQL = {
@@ -43,4 +44,5 @@ ORACLE_SQL = {
     "op11_exact_dedup": exact_dedup.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
     "op13_hard_negatives": hard_negatives.OP13_SQL,
+    "rule_ablations": rules.RULE_ABLATIONS_SQL,
 }

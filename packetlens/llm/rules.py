@@ -165,17 +165,21 @@ def keep_good(docs: DataFrame, policy: str = DEFAULT) -> DataFrame:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     rows = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select(
         "doc_id",
-        *[F.col(f"_q_{m}").alias(m) for m in base],
+        *[F.col(f"_q_{m}").alias(m) for m in MEASURES],
         (~passes("base-1")).alias("base_failed"),
         passes(DEFAULT).alias("kept"),
         F.col("_q_failed").alias("failed_bits"),
     )
 
 
-OP2_SQL = r"""
+def rule_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs and what it alone rejects, over all documents."""
+    return ablations(ledger(table(spark, sf_dir, "documents").select("text")))
+
+
+_BITS_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), words AS (
@@ -203,6 +207,16 @@ WITH d AS (
   FROM d JOIN dups USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT JOIN repeats USING (doc_id)
 ), bits AS (
   SELECT *, CAST(""" + " + ".join(f"CASE WHEN {r.failed} THEN {BIT[r.name]} ELSE 0 END" for r in RULES) + r""" AS BIGINT) AS failed_bits FROM m
+)"""
+
+OP2_SQL = f"""{_BITS_SQL}
+SELECT doc_id, {", ".join(MEASURES)}, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM bits
+"""
+
+RULE_ABLATIONS_SQL = f"""{_BITS_SQL}, r(policy, rule, mask, bit) AS (
+  VALUES {", ".join(f"('{p}', '{r}', {mask_of(p)}, {BIT[r]})" for p in POLICIES for r in POLICIES[p])}
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM bits
+SELECT policy, rule, count(*) AS n_docs, count(*) FILTER (failed_bits & mask = 0) AS n_kept,
+  count(*) FILTER (failed_bits & mask & (mask - bit) = 0) AS n_kept_without, count(*) FILTER (failed_bits & mask = bit) AS n_only
+FROM bits, r GROUP BY policy, rule
 """

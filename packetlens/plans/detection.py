@@ -551,3 +551,82 @@ def _anomaly_rows(spark, sf):
 @query("anomalies_by_severity", ["scan_flows_v", "dns_v"], f"SELECT severity, count(*) AS finding_count FROM ({_ANOMALY_ROWS}) t GROUP BY 1", NAMES_CTE)
 def anomalies_by_severity(spark, sf):
     return count_by_severity(_anomaly_rows(spark, sf))
+
+
+# Anomalies of all kinds that give expressions, over the views that hold such traffic.
+_ALL_ANOMALY_CTE = ", ".join(x.strip() for x in (NAMES_CTE, BEACON_CTE, FLOWS_CTE))
+_ALL_ANOMALY_ROWS = _ANOMALY_ROWS + f"""
+UNION ALL SELECT 'Beacon: ' || src_ip || ' → ' || dst_ip, 'ip.addr == ' || src_ip || ' && ip.addr == ' || dst_ip, 'beacon', CASE WHEN s / m * 100 < 5 THEN 'high' ELSE 'medium' END
+FROM (SELECT src_ip, dst_ip, count(*) AS n, avg(gap) AS m, stddev_pop(gap) AS s FROM gaps GROUP BY src_ip, dst_ip, dst_port, protocol) t
+WHERE n >= 11 AND m >= 5 AND s / m * 100 < 15
+UNION ALL SELECT 'Exfiltration to ' || ip, 'ip.dst == ' || ip, 'exfiltration', severity FROM (
+  SELECT unnest([ip_a, ip_b]) AS ip, CASE WHEN CASE WHEN NOT {S.private_core('ip_a')} THEN bytes_b_to_a ELSE bytes_a_to_b END > 52428800 THEN 'high' ELSE 'medium' END AS severity
+  FROM conv WHERE NOT ({S.private_core('ip_a')} AND {S.private_core('ip_b')}) AND (bytes_b_to_a = 0 OR bytes_a_to_b / bytes_b_to_a > 10)
+    AND bytes_a_to_b + bytes_b_to_a > 200000) x WHERE NOT {S.private_api('ip')}"""
+
+
+@query("display_filters_every_anomaly", ["scan_flows_v", "dns_v", "beacon_flows_v", "traffic_v"], _ALL_ANOMALY_ROWS, _ALL_ANOMALY_CTE)
+def display_filters_every_anomaly(spark, sf):
+    regular = view(spark, sf, "beacon_flows_v").withColumns({"src_port": F.lit(40000), "ts": F.col("start_time")})
+    conversations = fl.build_conversations(packets(spark, sf))
+    rows = (
+        _anomaly_rows(spark, sf)
+        .unionByName(anomalies.beacon_anomalies(regular))
+        .unionByName(anomalies.transfer_anomalies(conversations, min_bytes=200_000))
+    )
+    return D.filters_from_anomalies(rows).select("name", "filter", "category", "severity")
+
+
+# Findings on traffic with every column; the values of the indicators stand in columns of their own.
+_MOVED = 3_000_000
+_INDICATORS = {
+    "destination_ip": "string", "total_bytes": "bigint", "outbound_inbound_ratio": "double", "ports": "string", "source_count": "bigint",
+    "flow_count": "bigint", "duration_seconds": "double", "rate_mbps": "double", "protocol": "string", "query_count": "bigint",
+    "domain": "string", "category": "string", "connection_count": "bigint",
+}
+_NIGHT = "hour(make_timestamp(CAST(floor(start_time) AS BIGINT) * 1000000))"
+
+
+def _moved_sql(rule: str, rows: str, title: str, note: str) -> str:
+    size = S.format_binary("bytes_out")
+    return f"""
+SELECT md5('exfiltration|{rule}|' || dst_ip) AS finding_id, 'exfiltration' AS detector, '{rule}' AS rule, severity, confidence, '{title}: ' || ({size}) || ' to ' || dst_ip AS title,
+  concat({size}, ' left for one external address{note} over ', CAST(floor(duration + 0.5) AS BIGINT), ' s (', printf('%.1f', rate), ' Mbps) from ', source_count, ' hosts.') AS description,
+  dst_ip AS affected_ips, '' AS affected_flows, first_start AS timestamp_start, last_start AS timestamp_end, 'T1048,T1041' AS mitre_techniques, 'ip.dst == ' || dst_ip AS display_filter,
+  dst_ip AS destination_ip, bytes_out AS total_bytes, round_even(ratio, 2) AS outbound_inbound_ratio, dst_ports AS ports, source_count, flow_count,
+  round_even(duration, 2) AS duration_seconds, round_even(rate, 2) AS rate_mbps, NULL::VARCHAR AS protocol, NULL::BIGINT AS query_count, NULL::VARCHAR AS domain, NULL::VARCHAR AS category, NULL::BIGINT AS connection_count
+FROM {rows}"""
+
+
+_MOVED_CTE = EXFIL_CTE.rstrip() + f""",
+latedest AS (SELECT dst_ip, count(*) AS flow_count, count(DISTINCT src_ip) AS source_count, CAST(sum(byte_count) AS BIGINT) AS bytes_out, coalesce(any_value(bytes_in), 0) AS bytes_in,
+  min(start_time) AS first_start, max(start_time) AS last_start, array_to_string(list_sort(list_distinct(list(dst_port))), ',') AS dst_ports
+  FROM (SELECT * FROM outf WHERE {_NIGHT} >= 22 OR {_NIGHT} < 6) o
+  LEFT JOIN (SELECT src_ip AS dst_ip, CAST(sum(byte_count) AS BIGINT) AS bytes_in FROM flows WHERE {S.private_detector('dst_ip')} AND NOT {S.private_detector('src_ip')}
+    AND ({_NIGHT} >= 22 OR {_NIGHT} < 6) GROUP BY 1) i USING (dst_ip) GROUP BY dst_ip),
+judged AS (SELECT *, last_start - first_start AS duration, CASE WHEN last_start > first_start THEN bytes_out * 8.0::DOUBLE / ((last_start - first_start) * 1000000.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
+  CASE WHEN bytes_in <> 0 THEN bytes_out / bytes_in ELSE 'inf'::DOUBLE END AS ratio, CASE WHEN bytes_out >= 52428800 THEN 'high' ELSE 'medium' END AS severity,
+  CASE WHEN bytes_out >= 52428800 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence
+  FROM (SELECT 'day' AS span, dst_ip, flow_count, source_count, bytes_out, bytes_in, first_start, last_start, dst_ports FROM dest
+    UNION ALL SELECT 'night', dst_ip, flow_count, source_count, bytes_out, bytes_in, first_start, last_start, dst_ports FROM latedest) x WHERE bytes_out >= {_MOVED}),
+lopsided AS (SELECT * REPLACE (CASE WHEN ratio < 50 THEN 'medium' ELSE 'high' END AS severity, least(0.8::DOUBLE, 0.4::DOUBLE + ratio / 100) AS confidence) FROM judged WHERE span = 'day' AND ratio >= 2),
+times AS (SELECT *, CASE WHEN isinf(ratio) THEN 'inf' ELSE CAST(CAST(round_even(ratio, 0) AS BIGINT) AS VARCHAR) END AS fold FROM lopsided)
+"""
+_MOVED_SQL = (
+    _moved_sql("large_transfer", "judged WHERE span = 'day'", "Large Transfer", "")
+    + " UNION ALL " + _moved_sql("off_hours_transfer", "judged WHERE span = 'night'", "Off-Hours Transfer", " outside working hours")
+    + """ UNION ALL
+SELECT md5('exfiltration|high_ratio|' || dst_ip), 'exfiltration', 'high_ratio', severity, confidence, 'High Outbound Ratio: ' || fold || ':1 to ' || dst_ip,
+  'Hosts sent ' || fold || ' times what this address returned; downloads look the other way round.', dst_ip, '', first_start, last_start, 'T1048,T1041', 'ip.dst == ' || dst_ip,
+  dst_ip, bytes_out, round_even(ratio, 2), dst_ports, source_count, flow_count, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM times"""
+)
+
+
+@query("transfer_findings", ["traffic_v"], _MOVED_SQL, _MOVED_CTE)
+def transfer_findings(spark, sf):
+    # Both limits are parameters of the detector; few destinations of the views reach 10 MiB or ten times.
+    detector = ExfiltrationDetector(min_bytes=_MOVED, high_ratio=2.0)
+    found = run_detectors(fl.Tables(flows=fl.build_flows(packets(spark, sf))), detectors=[detector])
+    lists = {c: F.concat_ws(",", c) for c in ("affected_ips", "affected_flows", "mitre_techniques")}
+    values = [F.try_element_at("indicators", F.lit(k)).cast(t).alias(k) for k, t in _INDICATORS.items()]
+    return found.withColumns(lists).select("*", *values).drop("indicators")

@@ -563,8 +563,8 @@ def filter_time_range(spark, sf):
 SELECT 'Protocol: ' || upper(p) AS name, {S.case_of('lower(p)', K.PROTOCOL_FILTER_WORDS, 'lower(p)')} AS filter, concat('All ', upper(p), ' traffic') AS description, {_f('protocol', 'info', 1.0)}
 FROM (SELECT DISTINCT protocol AS p FROM traffic_v UNION SELECT DISTINCT {S.app_protocol()} FROM traffic_v) t""")
 def filter_protocol(spark, sf):
-    p = packets(spark, sf)
-    return D.protocol_filter(p.select("protocol").union(p.select("app_protocol")).distinct())
+    pairs = packets(spark, sf).select("protocol", "app_protocol").distinct()
+    return D.protocol_filter(pairs.select(F.explode(F.array("protocol", "app_protocol")).alias("protocol")).distinct())
 
 
 @query("filter_beacon", ["beacon_flows_v"], f"""

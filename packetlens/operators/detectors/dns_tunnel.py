@@ -25,6 +25,7 @@ class DnsTunnelDetector(LedgerDetector):
 
     name = "dns_tunnel"
     reads = ("names",)
+    lists_once = True
 
     def subdomains(self, per_name: DataFrame) -> DataFrame:
         """One row per parent and subdomain. Entropy is computed here, once per distinct subdomain."""

@@ -30,6 +30,8 @@ class ExfiltrationDetector(LedgerDetector):
 
     name = "exfiltration"
     reads = ("edges", "names")
+    adds_up = ("packet_count", "byte_count", "start_time")
+    lists_once = True
 
     def flow_measures(self) -> dict[str, Measure]:
         late = lambda value, merge=F.sum: Measure(lambda: F.when(self.in_off_hours(F.col("start_time")), value()), merge)
@@ -47,43 +49,37 @@ class ExfiltrationDetector(LedgerDetector):
 
     @staticmethod
     def _pairs(edges: DataFrame, *variants: Callable[[str], str]) -> DataFrame:
-        """One row per external address and host, with what was sent and what came back."""
+        """One row per external address and host that sent to it, with the number of flows. Their other measures add up without hosts."""
+        flows = [F.sum(named("connections")).alias(named("flow_count")) for named in variants]
+        return edges.where(net.is_outbound(mode="detector")).groupBy("dst_ip", "src_ip").agg(*flows)
+
+    @staticmethod
+    def _destinations(edges: DataFrame, pairs: DataFrame, *variants: Callable[[str], str]) -> DataFrame:
+        """One row per external address, with what was sent and what came back. A pair is one source, so sources are counted without a distinct."""
         src_private = net.is_private("src_ip", "detector")
         dst_private = net.is_private("dst_ip", "detector")
         sent = edges.withColumn("_out", src_private & ~dst_private).where(F.col("_out") | (dst_private & ~src_private))
         out = F.col("_out")
-        measures = []
+        measures, sources = [], []
         for named in variants:
             when = lambda m: F.when(out, F.col(named(m)))  # noqa: B023, E731
             measures += [
                 F.sum(when("connections")).alias(named("flow_count")),
                 F.sum(when("packets")).alias(named("total_packets")),
                 F.sum(when("bytes")).alias(named("bytes_out")),
-                F.sum(F.when(~out, F.col(named("bytes")))).alias(named("bytes_in")),
+                F.coalesce(F.sum(F.when(~out, F.col(named("bytes")))), F.lit(0)).alias(named("bytes_in")),
                 F.min(when("first_start")).alias(named("first_start")),
                 F.max(when("last_start")).alias(named("last_start")),
             ]
-        ends = [F.when(out, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("dst_ip"), F.when(out, F.col("src_ip")).otherwise(F.col("dst_ip")).alias("src_ip")]
-        return sent.groupBy(*ends).agg(*measures)
-
-    @staticmethod
-    def _destinations(pairs: DataFrame, *variants: Callable[[str], str]) -> DataFrame:
-        """One row per external address. A pair is one source, so sources are counted without a distinct."""
-        measures = []
-        for named in variants:
-            sums = [F.sum(named(m)).alias(named(m)) for m in ("flow_count", "total_packets", "bytes_out")]
-            measures += [
-                *sums,
-                F.count(named("flow_count")).alias(named("source_count")),
-                F.coalesce(F.sum(named("bytes_in")), F.lit(0)).alias(named("bytes_in")),
-                F.min(named("first_start")).alias(named("first_start")),
-                F.max(named("last_start")).alias(named("last_start")),
-            ]
-        return pairs.groupBy("dst_ip").agg(*measures)
+            sources.append(F.count(named("flow_count")).alias(named("source_count")))
+        external = F.when(out, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("dst_ip")
+        return sent.groupBy(external).agg(*measures).join(pairs.groupBy("dst_ip").agg(*sources), "dst_ip")
 
     def _sets(self, edges: DataFrame, destinations: DataFrame, *variants: Callable[[str], str]) -> DataFrame:
-        """``destinations`` with the ports and protocols used; sets are made for these destinations only."""
-        sent = edges.where(net.is_outbound(mode="detector")).join(destinations.select("dst_ip"), "dst_ip", "left_semi")
+        """``destinations`` with the ports and protocols used; sets are made for these destinations only, of each port and protocol once."""
+        flows = [F.sum(named("connections")).alias(named("connections")) for named in variants]
+        used = edges.where(net.is_outbound(mode="detector")).groupBy("dst_ip", "dst_port", "protocol").agg(*flows)
+        sent = used.join(destinations.select("dst_ip"), "dst_ip", "left_semi")
         sets = [
             F.array_sort(F.collect_set(F.when(F.col(named("connections")).isNotNull(), F.col(c)))).alias(named(c + "s"))
             for named in variants
@@ -312,7 +308,7 @@ class ExfiltrationDetector(LedgerDetector):
     def measure(self, evidence: Evidence) -> dict[str, DataFrame]:
         """Destinations by all their flows and by those off hours, volumes per protocol, and services."""
         pairs = evidence.keep(self._pairs(evidence.edges, str, self._late))
-        judged = self._with_ratio(self._destinations(pairs, str, self._late)).withColumn(
+        judged = self._with_ratio(self._destinations(evidence.edges, pairs, str, self._late)).withColumn(
             "rules",
             rule_bits(
                 large_transfer=F.col("bytes_out") >= self.min_bytes,
@@ -351,17 +347,21 @@ class ExfiltrationDetector(LedgerDetector):
 
     def affected(self, measured: dict[str, DataFrame], evidence: Evidence) -> DataFrame:
         """The destination of every rule and the hosts that sent to it; off hours, those that sent then."""
-        late = F.col(self._late("flow_count")).isNotNull().alias("late")
-        pairs = measured["pair"].where("flow_count IS NOT NULL").select("dst_ip", "src_ip", late)
-        met = pairs.join(measured["destination"].select("dst_ip", "rules"), "dst_ip")
-        held = F.array_compact(
-            F.array(
-                F.when(F.col("rules").bitwiseAND(F.lit(1)) > 0, F.lit("large_transfer")),
-                F.when((F.col("rules").bitwiseAND(F.lit(2)) > 0) & F.col("late"), F.lit("off_hours_transfer")),
-                F.when(F.col("rules").bitwiseAND(F.lit(4)) > 0, F.lit("high_ratio")),
+        late = F.col(self._late("flow_count")).isNotNull()
+
+        def per_rule(rows: DataFrame, in_late: Column, ip: str) -> DataFrame:
+            held = F.array_compact(
+                F.array(
+                    F.when(F.col("rules").bitwiseAND(F.lit(1)) > 0, F.lit("large_transfer")),
+                    F.when((F.col("rules").bitwiseAND(F.lit(2)) > 0) & in_late, F.lit("off_hours_transfer")),
+                    F.when(F.col("rules").bitwiseAND(F.lit(4)) > 0, F.lit("high_ratio")),
+                )
             )
-        )
-        rows = met.select("dst_ip", "src_ip", F.explode(held).alias("rule"))
+            return rows.select("dst_ip", F.col(ip).alias("ip"), F.explode(held).alias("rule"))
+
+        destinations = measured["destination"]
+        hosts = measured["pair"].select("dst_ip", "src_ip", late.alias("late")).join(destinations.select("dst_ip", "rules"), "dst_ip")
+        # Hosts are internal and destinations external: no address is both.
+        rows = per_rule(hosts, F.col("late"), "src_ip").unionAll(per_rule(destinations, F.lit(True), "dst_ip"))
         key = F.md5(F.concat_ws("|", F.lit(self.name), F.col("rule"), F.col("dst_ip"))).alias("finding_id")
-        ips = F.explode(F.array("dst_ip", "src_ip")).alias("ip")
-        return rows.select(key, F.lit(self.name).alias("detector"), ips).distinct()
+        return rows.select(key, F.lit(self.name).alias("detector"), "ip")

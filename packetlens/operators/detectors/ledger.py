@@ -81,10 +81,16 @@ def _side_by_side(spark: SparkSession, jobs: list[Callable]) -> list:
 
 
 class Evidence:
-    """The tables that rules read: the analysis's own, edges and names. ``keep`` is for what several rules read."""
+    """The tables that rules read: the analysis's own, edges and names. ``keep`` is for what several rules read.
 
-    def __init__(self, tables: Tables, measures: dict[str, Measure], store: Callable[[DataFrame], DataFrame] | None = None):
-        self.tables, self.measures, self.store = tables, measures, store
+    Where edges are only added up further, every flow stands for an edge of its own: flows are stored with the columns that are
+    ``added_up``, and none is shuffled for its edge.
+    """
+
+    def __init__(
+        self, tables: Tables, measures: dict[str, Measure], store: Callable[[DataFrame], DataFrame] | None = None, added_up: tuple = ()
+    ):
+        self.tables, self.measures, self.store, self.added_up = tables, measures, store, added_up
         self.stored: list[DataFrame] = []
 
     def keep(self, rows: DataFrame) -> DataFrame:
@@ -100,6 +106,8 @@ class Evidence:
 
     @cached_property
     def edges(self) -> DataFrame:
+        if self.added_up:
+            return single_flows(self.keep(self.tables.flows.select(*EDGE, *self.added_up)), self.measures)
         return self.keep(edges_of(self.tables.flows, self.measures))
 
     @cached_property
@@ -112,22 +120,25 @@ class LedgerDetector:
 
     ``measure(evidence)`` gives the tables, ``report(measured, evidence)`` the findings and ``affected(measured, evidence)``
     the addresses (``finding_id, detector, ip``). ``flow_measures`` are what it needs to know of flows per edge, ``reads``
-    which of the shared tables it uses.
+    which of the shared tables it uses. ``adds_up`` names the columns of flows that it reads if it reads edges only to add them up,
+    ``lists_once`` says that ``affected`` gives no pair twice.
     """
 
     reads = ("edges",)
+    adds_up = ()
+    lists_once = False
 
     def flow_measures(self) -> dict[str, Measure]:
         return {}
 
     def detect(self, tables: Tables) -> DataFrame:
         """Findings of this detector alone, planned without storing anything."""
-        evidence = Evidence(tables, self.flow_measures())
+        evidence = Evidence(tables, self.flow_measures(), added_up=self.adds_up)
         return self.report(self.measure(evidence), evidence)
 
     def addresses(self, tables: Tables) -> DataFrame:
         """Addresses of this detector's findings, planned without storing anything."""
-        evidence = Evidence(tables, self.flow_measures())
+        evidence = Evidence(tables, self.flow_measures(), added_up=self.adds_up)
         return self.affected(self.measure(evidence), evidence)
 
 
@@ -153,7 +164,8 @@ class Ledger:
         measures: dict[str, Measure] = {}
         for d in self.detectors:
             measures |= d.flow_measures() if isinstance(d, LedgerDetector) else {}
-        self.evidence = Evidence(tables, measures, write_once)
+        readers = [d for d in self.detectors if isinstance(d, LedgerDetector) and "edges" in d.reads]
+        self.evidence = Evidence(tables, measures, write_once, added_up=readers[0].adds_up if len(readers) == 1 else ())
         used = {name for d in self.detectors if isinstance(d, LedgerDetector) for name in d.reads}
         present = [n for n, given in (("edges", tables.flows), ("names", tables.dns)) if n in used and given is not None]
         self.spark = (tables.flows if tables.flows is not None else tables.dns).sparkSession
@@ -181,4 +193,6 @@ class Ledger:
             d.addresses(self.evidence.tables) if m is None else d.affected(m, self.evidence)
             for d, m in zip(self.detectors, self.measured)
         ]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).distinct()
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        once = len({d.name for d in self.detectors}) == len(parts) and all(getattr(d, "lists_once", False) for d in self.detectors)
+        return rows if once else rows.distinct()

@@ -3,8 +3,9 @@
 Two words are within two edits exactly if some deletions of at most two letters from each give the same word and their
 distance, which is then checked, is two or less. So names and brands meet on their words with letters left out, and no name is
 held against a brand that it shares none with. A brand hidden in a name by look-alike characters is found among the
-name's parts of the brands' lengths. Every step works on distinct names, labels or brands; a label of n letters has
-1 + n + n(n - 1)/2 such words.
+name's parts that begin like a brand: the first letters of all brands are few (their number is bounded by the alphabet, not
+by the brands) and sent to every task, so of the parts only those go on that begin like a brand and are as long. Every step
+works on distinct names, labels or brands; a label of n letters has 1 + n + n(n - 1)/2 such words.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from packetlens.functions import in_place, names
 
 EDITS = 2
+#: Letters of a brand by which parts of names are looked for; shorter brands are looked for whole.
+HEAD = 3
 
 
 def _without_one(word: Column) -> Column:
@@ -41,6 +44,24 @@ def near_words(words: DataFrame, brands: DataFrame, edits: int = EDITS) -> DataF
     return met.where(in_place(names.is_similar(F.col("word"), F.col("brand"), edits)))
 
 
+def hidden_brands(names_written: DataFrame, brands: DataFrame) -> DataFrame:
+    """(domain, brand) where ``full_normal`` holds the brand and the domain itself does not. Distinct ``brands``."""
+    heads = brands.groupBy(F.substring("brand", 1, HEAD).alias("_head")).agg(F.collect_set(F.length("brand")).alias("_sizes"))
+    shown = heads.agg(F.collect_set(F.length("_head"))).scalar()
+    places = names_written.select(
+        "domain", "full_normal", F.explode(F.sequence(F.lit(1), F.length("full_normal"))).alias("_at"), shown.alias("_shown")
+    )
+    starts = places.select("domain", "full_normal", "_at", F.explode("_shown").alias("_n")).where(
+        F.col("_at") + F.col("_n") - 1 <= F.length("full_normal")
+    )
+    starts = starts.withColumn("_head", F.substring(F.col("full_normal"), F.col("_at"), F.col("_n")))
+    met = starts.join(F.broadcast(heads), "_head")
+    fits = F.filter("_sizes", lambda n: F.col("_at") + n - 1 <= F.length("full_normal"))
+    parts = F.transform(fits, lambda n: F.substring(F.col("full_normal"), F.col("_at"), n))
+    pieces = met.select("domain", F.explode(parts).alias("brand")).where(~F.contains("domain", "brand"))
+    return pieces.join(brands, "brand").select("domain", "brand")
+
+
 def imitated_brands(domains: DataFrame, brands: DataFrame) -> DataFrame:
     """(domain, spoofed_brand): the alphabetically first of the ``brands`` that each distinct ``domain`` imitates.
 
@@ -59,16 +80,6 @@ def imitated_brands(domains: DataFrame, brands: DataFrame) -> DataFrame:
     near = near_words(parts.select(F.col("main").alias("word")).distinct(), brands)
     near = parts.join(near, F.col("main") == F.col("word")).select("domain", "brand")
     # A name that no character changes in hides nothing.
-    lengths = brands.agg(F.array_sort(F.collect_set(F.length("brand"))).alias("sizes"))
-    changed = written.where("full_normal <> domain").select("domain", "full_normal")
-    stretches = changed.select(
-        "domain",
-        F.explode(F.sequence(F.lit(1), F.length("full_normal"))).alias("at"),
-        "full_normal",
-        lengths.scalar().alias("sizes"),
-    )
-    fits = F.filter("sizes", lambda n: F.col("at") + n - 1 <= F.length("full_normal"))
-    pieces = stretches.select("domain", F.explode(F.transform(fits, lambda n: F.substring(F.col("full_normal"), F.col("at"), n))).alias("brand"))
-    hidden = pieces.distinct().join(brands, "brand").where(~F.contains("domain", "brand")).select("domain", "brand")
+    hidden = hidden_brands(written.where("full_normal <> domain"), brands)
     found = reduce(DataFrame.unionAll, [same, near, hidden])
     return found.groupBy("domain").agg(F.min("brand").alias("spoofed_brand"))

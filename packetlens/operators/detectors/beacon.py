@@ -34,6 +34,7 @@ class BeaconDetector(LedgerDetector):
             EDGE,
             "start_time",
             sums={"packet_count": F.col("packet_count"), "byte_count": F.col("byte_count")},
+            whole=0,  # Flows are costlier to read again than their few groups are to merge.
         )
         span = F.col("last_time") - F.col("first_time")
         return stats.where((F.col("event_count") >= self.min_connections) & (span >= self.min_duration)).withColumn(

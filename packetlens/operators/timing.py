@@ -6,6 +6,9 @@ reduced to a state that merges in time order (first, last, count, moments of gap
 blocks within their key. A chunk holds at most as many rows as there are distinct times in 1/64 s, a block 4096, a key
 one for each 64 s that it was seen in, so no task depends on how many events a key or a minute has. Widths are powers of
 two: cutting times by them is exact.
+
+Few keys need this. Events are counted by a hash of their key first, in a fixed number of buckets; a key whose bucket has no
+more events than a chunk may have instants is one chunk as a whole, and moves once. Only keys of crowded buckets are cut.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from pyspark.sql import functions as F
 
 CHUNK_SECONDS = 2.0**-6
 BLOCK_CHUNKS = 4096
+#: Events of a bucket up to which its keys are not cut, about as many as there are microseconds in a chunk; and buckets.
+WHOLE_EVENTS = 1 << 14
+BUCKETS = 1 << 17
 
 
 def _merged(parts: DataFrame, group: Sequence[str], mean: Callable[[WindowSpec], Column], sums: Sequence[str]) -> DataFrame:
@@ -52,35 +58,51 @@ def gap_statistics(
     keys: Sequence[str],
     time: str,
     sums: dict[str, Column] | None = None,
+    whole: int = WHOLE_EVENTS,
 ) -> DataFrame:
     """Per key: event count, first and last time, mean gap, gap deviations and extra sums.
 
     ``mean_gap`` is NULL below two events, ``stdev_samp`` below three. Deviations are merged
     from the chunks' moments around the overall mean, not from sums of squares, so nearly
-    equal gaps do not cancel.
+    equal gaps do not cancel. Keys that surely have at most ``whole`` events are one chunk each and need no
+    merging; with 0 nothing is counted first and all keys are cut.
     """
     keys = list(keys)
     sums = sums or {}
     extra = [F.sum(c).alias(f"_x_{name}") for name, c in sums.items()]
-    instants = (
-        events.withColumn("_chunk", F.floor(F.col(time) / F.lit(CHUNK_SECONDS)))
-        .groupBy(*keys, "_chunk", F.col(time).alias("_t"))
-        .agg(F.count(F.lit(1)).alias("_n"), *extra)
+    if whole:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+        counts = events.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+        crowded = counts.where(F.col("_n") > whole).select("_bucket", F.lit(True).alias("_cut"))
+        events = events.withColumn("_bucket", bucket).join(F.broadcast(crowded), "_bucket", "left")
+    else:
+        events = events.withColumn("_cut", F.lit(True))
+    chunk = F.when(F.col("_cut"), F.floor(F.col(time) / F.lit(CHUNK_SECONDS))).alias("_chunk")
+    instants = events.groupBy(*keys, chunk).agg(
+        F.count(F.lit(1)).alias("_n"), F.collect_set(time).alias("_times"), F.max("_cut").alias("_cut"), *extra
+    )
+    gaps = F.greatest(F.size("_times") - 1, F.lit(0)).cast("long")
+    own_mean = (F.array_max("_times") - F.array_min("_times")) / gaps
+    later, earlier = (F.slice(F.sort_array("_times"), i, F.size("_times") - 1) for i in (2, 1))
+    moment = F.aggregate(
+        F.zip_with(later, earlier, lambda t, u: (t - u).cast("double")),
+        F.lit(0.0),
+        lambda m2, gap: m2 + (gap - F.col("_own")) * (gap - F.col("_own")),
     )
-    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy("_t")
     chunks = (
-        instants.withColumn("_gap", F.col("_t") - F.lag("_t").over(in_chunk))
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.sum("_n").alias("_n"),
-            F.min("_t").alias("_first"),
-            F.max("_t").alias("_last"),
-            F.count("_gap").alias("_gaps"),
-            F.coalesce(F.var_pop("_gap") * F.count("_gap"), F.lit(0.0)).alias("_m2"),
-            *[F.sum(f"_x_{name}").alias(f"_x_{name}") for name in sums],
+        instants.withColumn("_own", F.when(gaps > 0, own_mean))
+        .withColumns(
+            {
+                "_first": F.array_min("_times"),
+                "_last": F.array_max("_times"),
+                "_gaps": gaps,
+                "_m2": F.when(F.col("_own").isNotNull(), moment).otherwise(0.0),
+                "_block": F.floor(F.col("_chunk") / BLOCK_CHUNKS),
+            }
         )
-        .withColumn("_block", F.floor(F.col("_chunk") / BLOCK_CHUNKS))
+        .drop("_times")
     )
+    cut = F.coalesce("_cut", F.lit(False))
 
     def over_gaps(count: Callable[[WindowSpec], Column]) -> Callable[[WindowSpec], Column]:
         return lambda w: F.try_divide(F.max("_last").over(w) - F.min("_first").over(w), count(w))
@@ -88,8 +110,14 @@ def gap_statistics(
     # Gaps between different times in a block, then all gaps of a key, those of length zero included.
     between = over_gaps(lambda w: F.sum("_gaps").over(w) + F.count(F.lit(1)).over(w) - 1)
     all_gaps = over_gaps(lambda w: F.sum("_n").over(w) - 1)
-    blocks = _merged(chunks, [*keys, "_block"], between, list(sums))
-    stats = _merged(blocks, keys, all_gaps, list(sums)).select(
+    blocks = _merged(chunks.where(cut), [*keys, "_block"], between, list(sums))
+    found = _merged(blocks, keys, all_gaps, list(sums))
+    if whole:
+        mean = F.try_divide(F.col("_last") - F.col("_first"), F.col("_n") - 1)
+        off = F.coalesce((F.col("_own") - F.col("_mean")) * (F.col("_own") - F.col("_mean")) * F.col("_gaps"), F.lit(0.0))
+        single = chunks.where(~cut).withColumn("_mean", mean).withColumn("_m2", F.col("_m2") + off)
+        found = found.unionByName(single.select(*found.columns))
+    stats = found.select(
         *keys,
         F.col("_n").alias("event_count"),
         F.col("_first").alias("first_time"),

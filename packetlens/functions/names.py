@@ -77,12 +77,26 @@ def clean_domain(name: Column | str) -> Column:
     return F.trim(F.lower(as_col(name)), F.lit("."))
 
 
+def suffix_sizes(name: Column | str) -> Column:
+    """Numbers of labels, from all down to two, that a clean name's suffixes have; NULL if it has one label."""
+    name = as_col(name)
+    n = F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
+    return F.when(n >= 2, F.sequence(n, F.lit(2), F.lit(-1)))
+
+
+def last_labels(name: Column, n: Column) -> Column:
+    """The last ``n`` labels, where ``n`` is a column."""
+    return F.call_function("substring_index", name, F.lit("."), -n)
+
+
 def domain_suffixes(name: Column | str) -> Column:
     """The name and each parent that still has two labels, longest first."""
-    labels = F.split(clean_domain(name), r"\.")
-    n = F.size(labels)
-    starts = F.when(n >= 2, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, n), "."))
+
+    def of(clean):
+        sizes = F.coalesce(suffix_sizes(clean), F.array().cast("array<int>"))
+        return F.transform(sizes, lambda n: last_labels(clean, n))
+
+    return let(clean_domain(name), of)
 
 
 def listed_suffix(name: Column | str, listed: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packetlens import constants as K
 from packetlens.functions import net
+from packetlens.session import shuffled_once
 
 FLOW_KEYS = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
 
@@ -24,18 +26,18 @@ class Tables:
     tls: DataFrame | None = None
 
 
-def last_app_protocol(seq: Column | None) -> Column:
+def last_app_protocol(seq: Column | None, which: Column | None = None) -> Column:
     """Last application protocol that is not UNKNOWN, as one number: time in microseconds, place in the file, protocol.
 
     A number keeps the aggregate in the hash table; text or struct state would make Spark sort instead. Without
-    ``seq``, of packets in one microsecond the highest protocol number counts.
+    ``seq``, of packets in one microsecond the highest protocol number counts. ``which`` limits it to some packets.
     """
     number = F.array_position(F.array(*[F.lit(p) for p in K.APP_PROTOCOLS]), F.col("app_protocol"))
     micros = F.round(F.col("ts") * 1_000_000).cast("bigint")
     if seq is not None:
         place = F.pmod(F.coalesce(seq.cast("bigint"), F.lit(0)), F.lit(1 << 44)).cast("decimal(14,0)")
         micros = (micros.cast("decimal(19,0)") * F.lit(1 << 44).cast("decimal(15,0)") + place).cast("decimal(36,0)")
-    return F.max(F.when(number > 0, micros * 16 + number))
+    return F.max(F.when(number > 0 if which is None else which & (number > 0), micros * 16 + number))
 
 
 def app_protocol_name(packed: Column) -> Column:
@@ -43,26 +45,68 @@ def app_protocol_name(packed: Column) -> Column:
     return F.coalesce(F.get(names, (F.pmod(packed, F.lit(16)) - 1).cast("int")), F.lit(K.UNKNOWN))
 
 
+def _flow_sums(packets: DataFrame, which: Column | None = None) -> dict[str, Column]:
+    """The aggregates of flows by name; with ``which``, those of the packets it is true for."""
+
+    def of(c: str) -> Column:
+        return F.col(c) if which is None else F.when(which, F.col(c))
+
+    return {
+        "packet_count": F.count(F.lit(1)) if which is None else F.count_if(which),
+        "byte_count": F.sum(of("length")),
+        "payload_bytes": F.sum(of("payload_length")),
+        "start_time": F.min(of("ts")),
+        "end_time": F.max(of("ts")),
+        "flag_bits": F.bit_or(of("flag_bits")),
+        "app_protocol": last_app_protocol(F.col("seq") if "seq" in packets.columns else None, which),
+    }
+
+
 def build_flows(packets: DataFrame) -> DataFrame:
     """One row per directed 5-tuple.
 
     Every aggregate keeps fixed-size state (flags are OR-ed as bits), so the map-side
     combine reduces even a 5-tuple that carries a third of all packets to one row per task.
     """
-    return (
-        packets.groupBy(*FLOW_KEYS)
+    flows = packets.groupBy(*FLOW_KEYS).agg(*[c.alias(name) for name, c in _flow_sums(packets).items()])
+    return flows.withColumn("app_protocol", app_protocol_name(F.col("app_protocol")))
+
+
+def shuffled_flows(packets: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Flows with some of their measures, for plans that read them several times: packets are shuffled now, and once.
+
+    A flow and its answers move as one row, with the sums of each direction. Its ends move as few bytes.
+    """
+    src_ip, dst_ip, src_port, dst_port = (F.col(c) for c in FLOW_KEYS[:4])
+    # Null ends come first, so that a flow and its answers agree about the order.
+    ports = F.coalesce(src_port <= dst_port, src_port.isNull())
+    ahead = F.when(src_ip.eqNullSafe(dst_ip), ports).otherwise(F.coalesce(src_ip < dst_ip, src_ip.isNull()))
+    way = F.col("_ahead")
+
+    def ends(mark: str) -> dict[str, Column]:
+        swapped = {"src_ip": "dst_ip", "dst_ip": "src_ip", "src_port": "dst_port", "dst_port": "src_port"}
+        return {c: F.when(way, F.col(mark + c)).otherwise(F.col(mark + other)) for c, other in swapped.items()}
+
+    rows = packets.withColumn("_ahead", ahead).withColumns({f"_{c}": end for c, end in ends("").items()})
+    there, back = _flow_sums(packets, way), _flow_sums(packets, ~way)
+    pairs = shuffled_once(
+        rows.withColumns(net.packed_ends(*[f"_{c}" for c in FLOW_KEYS[:4]]))
+        .groupBy("packed", "first_text", "second_text", "protocol")
         .agg(
-            F.count(F.lit(1)).alias("packet_count"),
-            F.sum("length").alias("byte_count"),
-            F.sum("payload_length").alias("payload_bytes"),
-            F.min("ts").alias("start_time"),
-            F.max("ts").alias("end_time"),
-            F.bit_or("flag_bits").alias("flag_bits"),
-            last_app_protocol(F.col("seq") if "seq" in packets.columns else None).alias("_app"),
+            F.bit_or(F.when(way, 1).otherwise(2)).alias("_ways"),
+            *[there[m].alias(m) for m in measures],
+            *[back[m].alias(f"{m}_back") for m in measures],
         )
-        .withColumn("app_protocol", app_protocol_name(F.col("_app")))
-        .drop("_app")
     )
+    types = [packets.schema[c].dataType for c in ("src_port", "dst_port")]
+    seen = F.when(F.col("_ways") == 3, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.col("_ways") == 1))
+    rows = pairs.withColumn("_ahead", F.explode(seen)).withColumn("packed", F.hex("packed"))
+    rows = rows.withColumns({f"_{c}": end for c, end in zip(FLOW_KEYS, net.unpacked_ends(types))})
+    found = {**ends("_"), "protocol": F.col("protocol")}
+    found |= {m: F.when(way, F.col(m)).otherwise(F.col(f"{m}_back")) for m in measures}
+    if "app_protocol" in found:
+        found["app_protocol"] = app_protocol_name(found["app_protocol"])
+    return rows.select(*[c.alias(name) for name, c in found.items()])
 
 
 def with_flow_measures(flows: DataFrame) -> DataFrame:

@@ -8,23 +8,38 @@ from pyspark.sql import functions as F
 from packetlens import constants as K
 from packetlens.functions import in_place, names, net, rank_of
 from packetlens.operators.flows import FLOW_KEYS
-from packetlens.operators.ranking import extreme_share, top_per_key
+from packetlens.operators.ranking import extreme_share, top_per_key, value_counts
+from packetlens.session import shuffled_once, write_once
 
 # ---- names and addresses -------------------------------------------------------------------
 
 
-def public_addresses(flows: DataFrame) -> DataFrame:
-    """Distinct public ends of flows; of two public ends only the source.
+def flow_ends(flows: DataFrame) -> DataFrame:
+    """Flows (``flow_count``) by the end that may be public: the source, or the destination if the source is private.
 
-    Address rules run on distinct pairs of addresses, not on every flow.
+    ``is_source``: some flow has it as its source, which then is public. One row per address arrives, not one per pair.
     """
-    pairs = flows.select("src_ip", "dst_ip").distinct()
-    return pairs.select(net.public_ip().alias("ip")).where(in_place(F.col("ip").isNotNull())).distinct()
+    rows = flows.select("src_ip", "dst_ip", net.is_private("src_ip", "registry").alias("_behind"))
+    end = F.when(F.col("_behind"), F.col("dst_ip")).otherwise(F.col("src_ip"))
+    return (
+        rows.select(end.alias("ip"), (~F.col("_behind")).alias("is_source"))
+        .groupBy("ip")
+        .agg(F.count(F.lit(1)).alias("flow_count"), F.max("is_source").alias("is_source"))
+    )
+
+
+def public_addresses(flows: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Distinct public ends of flows; of two public ends only the source. ``ends``: their :func:`flow_ends`, if there already.
+
+    Destinations are tested once per address.
+    """
+    ends = flow_ends(flows) if ends is None else ends
+    return ends.where(F.col("ip").isNotNull() & (F.col("is_source") | ~net.is_private("ip", "registry"))).select("ip")
 
 
 def address_names(dns: DataFrame, tls: DataFrame) -> DataFrame:
     """Distinct (ip, domain) pairs from DNS answers and TLS server names."""
-    answered = dns.where(F.col("query_name") != "").select(
+    answered = dns.where(in_place(F.col("query_name") != "")).select(
         F.explode("response_ips").alias("ip"), F.col("query_name").alias("domain")
     )
     contacted = tls.where(F.col("sni") != "").select(F.col("dst_ip").alias("ip"), F.col("sni").alias("domain"))
@@ -47,7 +62,10 @@ def under_listed(domains: DataFrame, listed: DataFrame, column: str = "domain")
     Each name is expanded to its suffixes, which makes this an equi-join: the list may be of
     any size, and Spark broadcasts it only when it is measured to be small.
     """
-    suffixes = domains.select(column, F.explode(names.domain_suffixes(column)).alias("_suffix"))
+    labels = domains.select(column, names.clean_domain(column).alias("_name")).select(
+        column, "_name", F.explode(names.suffix_sizes("_name")).alias("_labels")
+    )
+    suffixes = labels.select(column, names.last_labels(F.col("_name"), F.col("_labels")).alias("_suffix"))
     entries = listed.select(F.col("domain").alias("_suffix"))
     return suffixes.join(entries, "_suffix", "left_semi").select(column).distinct()
 
@@ -76,9 +94,11 @@ def _as_indicators(values: DataFrame, column: str, kind: str) -> DataFrame:
     return typed.select("value", "indicator_type", "is_typosquat", "spoofed_brand")
 
 
-def select_flows(flows: DataFrame, share: float = 0.4, largest: bool = True) -> DataFrame:
+def select_flows(
+    flows: DataFrame, share: float = 0.4, largest: bool = True, counts: DataFrame | None = None
+) -> DataFrame:
     """Keys and bytes of the top (or bottom) share of flows by bytes; ties follow the key columns."""
-    return extreme_share(flows.select(*FLOW_KEYS, "byte_count"), "byte_count", FLOW_KEYS, share, largest)
+    return extreme_share(flows.select(*FLOW_KEYS, "byte_count"), "byte_count", FLOW_KEYS, share, largest, counts)
 
 
 def select_indicators(
@@ -88,29 +108,40 @@ def select_indicators(
 
     Well-known domains are left out; look-alikes of brands are kept and marked.
     """
-    addresses = public_addresses(select_flows(flows, share, largest))
-    domains = classify_domains(related_domains(addresses, dns, tls), legit).where(~F.col("is_legit"))
+    addresses = write_once(public_addresses(select_flows(flows, share, largest)), "addresses")
+    related = write_once(related_domains(addresses, dns, tls), "domains")
+    domains = classify_domains(related, legit).where(~F.col("is_legit"))
     return _as_indicators(addresses, "ip", "ip").unionByName(_as_indicators(domains, "domain", "domain"))
 
 
 def selection_summary(
     flows: DataFrame, dns: DataFrame, tls: DataFrame, legit: DataFrame, share: float = 0.4, largest: bool = True
 ) -> DataFrame:
-    """One row: flows seen and selected, addresses, domains, look-alikes and names left out as known."""
-    chosen = select_flows(flows, share, largest)
-    addresses = public_addresses(chosen)
-    classified = classify_domains(related_domains(addresses, dns, tls), legit)
+    """One row: flows seen and selected, addresses, domains, look-alikes and names left out as known.
+
+    Flows are shuffled once. What is read more than once and is small beside them is written: flows per number of
+    bytes, selected flows per address, and domains.
+    """
+    flows = shuffled_once(flows.select(*FLOW_KEYS, "byte_count"))
+    counts = value_counts(flows, "byte_count")
+    chosen = select_flows(flows, share, largest, counts)
+    ends = write_once(flow_ends(chosen), "ends")
+    addresses = public_addresses(chosen, ends)
+    classified = classify_domains(write_once(related_domains(addresses, dns, tls), "domains"), legit)
 
     def one(df: DataFrame, c: Column = F.count(F.lit(1))):
         return df.select(c.alias("x")).scalar()
 
+    def total(df: DataFrame, column: str) -> Column:
+        return one(df, F.coalesce(F.sum(column), F.lit(0).cast("bigint")))
+
     return classified.agg(
         F.count_if(~F.col("is_legit")).alias("domains"),
         F.count_if(F.col("is_typosquat")).alias("typosquat_suspects"),
         F.count_if(F.col("is_legit")).alias("domains_filtered_by_legit"),
     ).select(
-        one(flows).alias("total_conversations"),
-        one(chosen).alias("selected_conversations"),
+        total(counts, "row_count").alias("total_conversations"),
+        total(ends, "flow_count").alias("selected_conversations"),
         one(addresses).alias("public_ips"),
         "domains",
         "typosquat_suspects",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetlens.session import cut_lineage
+from packetlens.session import cut_lineage, shuffled_once, write_once
 
 
 def with_row_rank(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -36,15 +37,75 @@ def with_row_rank(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
+#: Tied rows that are stored and ranked; of more, the next column's counts are taken first.
+_FEW_TIES = 1_000_000
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows (``row_count``) of each value of a column, written once."""
+    return write_once(df.groupBy(column).agg(F.count(F.lit(1)).alias("row_count")), "counts")
+
+
+def _rows_in(counts: DataFrame) -> int:
+    return counts.agg(F.sum("row_count")).first()[0] or 0
+
+
+def _last_value(counts: DataFrame, column: str, descending: bool, wanted: int) -> tuple[object, int, int]:
+    """The value that holds the row number ``wanted`` (from 1) in order, the rows before that value, and its rows."""
+    order = F.col(column).desc() if descending else F.col(column).asc()
+    placed = cut_lineage(counts.orderBy(order).withColumn("_part", F.spark_partition_id()))
+    before = 0
+    # One row per partition of the sort.
+    for part, size in sorted(placed.groupBy("_part").agg(F.sum("row_count")).collect()):
+        if before + size >= wanted:
+            break
+        before += size
+    upto = F.sum("row_count").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    here = placed.where(F.col("_part") == part).withColumn("_upto", upto)
+    last = here.where(F.col("_upto") >= wanted - before).orderBy("_upto").first()
+    return last[column], before + last["_upto"] - last["row_count"], last["row_count"]
+
+
+def _stands_before(column: Column, value: Column, descending: bool) -> Column:
+    """Whether a column comes before a value; null is the last of descending and the first of ascending values."""
+    if descending:
+        return F.coalesce(column > value, column.isNotNull() & value.isNull())
+    return F.coalesce(column < value, column.isNull() & value.isNotNull())
+
+
 def extreme_share(
-    df: DataFrame, value: str, tie_break: Sequence[str], share: float, largest: bool = True
+    df: DataFrame,
+    value: str,
+    tie_break: Sequence[str],
+    share: float,
+    largest: bool = True,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """The top (or bottom) share of rows by ``value``: ``max(1, floor(n * share))`` rows, exactly."""
-    lead = F.col(value).desc() if largest else F.col(value).asc()
-    ranked = with_row_rank(df, [lead, *[F.col(c).asc() for c in tie_break]])
-    total = ranked.select(F.count(F.lit(1)).alias("n")).scalar()
-    keep = F.greatest(F.lit(1), F.floor(total * F.lit(share)))
-    return ranked.where(F.col("row_rank") < keep).drop("row_rank")
+    """The top (or bottom) share of rows by ``value``: ``max(1, floor(n * share))`` rows, exactly.
+
+    No row moves for its rank. Rows are counted per value, and the counts (``counts``, if there already) tell in which
+    value the share ends. That value's rows are counted per value of the first tie-break column, and so on until few
+    rows are tied; only these are stored and ranked.
+    """
+    df = shuffled_once(df)
+    counts = value_counts(df, value) if counts is None else counts
+    total = _rows_in(counts)
+    wanted = max(1, math.floor(total * share))
+    if wanted >= total:
+        return df
+    inside, tied = F.lit(False), F.lit(True)
+    for column, descending in [(value, largest), *[(c, False) for c in tie_break]]:
+        counts = value_counts(df.where(tied), column) if counts is None else counts
+        found, before, rows = _last_value(counts, column, descending, wanted)
+        last, counts, wanted = F.lit(found).cast(df.schema[column].dataType), None, wanted - before
+        inside = inside | (tied & _stands_before(F.col(column), last, descending))
+        tied = tied & F.col(column).eqNullSafe(last)
+        if rows == wanted:
+            return df.where(inside | tied)
+        if rows <= _FEW_TIES:
+            break
+    ranked = with_row_rank(write_once(df.where(tied), "tied"), [F.col(c).asc() for c in tie_break])
+    return df.where(inside).unionByName(ranked.where(F.col("row_rank") < wanted).drop("row_rank"))
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

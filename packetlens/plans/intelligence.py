@@ -167,7 +167,7 @@ SELECT (SELECT count(*) FROM flows) AS total_conversations, (SELECT count(*) FRO
   count(*) FILTER (is_legit) AS domains_filtered_by_legit, (SELECT count(*) FROM pub) + count(*) FILTER (NOT is_legit) AS total_indicators
 FROM rel JOIN known USING (domain)""", SELECT_CTE)
 def selection_summary(spark, sf):
-    flows = fl.build_flows(packets(spark, sf))
+    flows = fl.shuffled_flows(packets(spark, sf), ["byte_count"])
     return N.selection_summary(flows, _dns(spark, sf), view(spark, sf, "tls_v"), legit_domain_list(spark))
 
 

@@ -68,3 +68,15 @@ def write_once(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled_once(df: DataFrame) -> DataFrame:
+    """``df`` from its shuffles, which run now and stay as long as it is in use: whatever reads it begins at their files.
+
+    Nothing is stored besides. Each reading repeats what stands above the last shuffle, and lost files are made again.
+    A plan without shuffles stays as it is.
+    """
+    spark, run = df.sparkSession, df._jdf.queryExecution()
+    if "Exchange" not in run.executedPlan().toString():
+        return df
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(run.toRdd(), df._jdf.schema(), False), spark)
